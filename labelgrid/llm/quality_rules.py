@@ -125,7 +125,7 @@ def default_rules() -> list[Rule]:
         Rule("repeated_words", lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w)),
         Rule("symbols", lambda t, w: 10 * n_symbols(t) > F.size(w)),
         Rule("capitals", lambda t, w: 10 * n_upper(t) > 4 * word_chars(w)),
-        Rule("repeated_lines", lambda t, w: bind(lines_with_words(t), lambda a: 10 * (F.size(a) - F.size(F.array_distinct(a))) > 3 * F.size(a))),
+        Rule("repeated_lines", lambda t, w: bind(lines_with_words(t), lambda a: 2 * (F.size(a) - F.size(F.array_distinct(a))) > F.size(a))),
         Rule("word_length", lambda t, w: (word_chars(w) < 2 * F.size(w)) | (word_chars(w) > 20 * F.size(w))),
     ]
 
