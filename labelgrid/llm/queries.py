@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import bpe, packing, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         sharding.op1_hash_tree_sharding,
         quality_rules.op3_quality_cascade,
+        packing.op6_online_packing,
+        bpe.op10_prefix_dp_bpe,
     ]
     return {f.__name__: f for f in found}
 
