@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, quality_rules, sharding
+from . import bpe, line_dedup, packing, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         sharding.op1_hash_tree_sharding,
+        simhash.op2_trie_simhash,
         quality_rules.op3_quality_cascade,
         line_dedup.op4_line_dedup,
         packing.op6_online_packing,
