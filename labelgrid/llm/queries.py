@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, quality_rules, sharding, simhash
+from . import bpe, line_dedup, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         quality_rules.op3_quality_cascade,
         line_dedup.op4_line_dedup,
         packing.op6_online_packing,
+        pii.op7_bilstm_crf_pii,
         bpe.op10_prefix_dp_bpe,
     ]
     return {f.__name__: f for f in found}
