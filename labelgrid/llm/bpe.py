@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table, tune
 
-#: Words kept per Python worker before its tables are emptied; bounds memory, not results.
-CACHE_WORDS = 600_000
+#: Words, and as many chunks between white space, kept per Python worker before its tables are emptied; bounds memory, not results.
+CACHE_WORDS = 300_000
 CACHE_PAIRS = 1_000_000
 _END = "</w>"
 
@@ -91,8 +92,19 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
+def _ranges(letters: str) -> str:
+    """The letters as ranges for a character class."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, set(letters))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 @functools.cache
-def word_patterns():
+def _word_patterns():
     """findall for words; a search for letters and digits whose class differs between Unicode versions,
     and a findall for texts that have any.
 
@@ -107,14 +119,36 @@ def word_patterns():
         c for p in (r"\p{L}", r"\p{N}")
         for w, _ in pre_tokenizers.Split(Regex(p), "removed", invert=True).pre_tokenize_str(new) for c in w
     }
-    odd = "".join(map(regex.escape, sorted(set(new) - known)))
+    odd = _ranges("".join(set(new) - known))
     plain = regex.compile(r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+").findall
     if not odd:
-        return plain, None, plain
+        return plain, lambda text: None, plain
     other = regex.compile(
         r"(?V1)[\p{L}--[" + odd + r"]]+|[\p{N}--[" + odd + r"]]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\p{L}\p{N}]|[" + odd + "])+"
     )
-    return plain, regex.compile("[" + odd + "]").search, other.findall
+    return plain, re.compile("[" + odd + "]").search, other.findall
+
+
+#: Space to str.split(), not to the tokenizer file's pattern.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+
+def chunks(text: str) -> list[str]:
+    """The normalised text, without special tokens, cut at white space. No word spans two chunks."""
+    import regex
+
+    text = normalised(text)
+    if _SEPARATORS.search(text):
+        return [c for c in regex.split(r"\s+", text) if c]
+    return text.split()
+
+
+def split_words(chunk: str) -> list[str]:
+    """Words of a chunk, as the tokenizer file's pattern splits them."""
+    plain, odd, other = _word_patterns()
+    if not chunk.isascii() and not _latin1(chunk) and odd(chunk):
+        return other(chunk)
+    return plain(chunk)
 
 
 class WordBpe:
@@ -157,10 +191,10 @@ class WordBpe:
                 automaton.add_word(s, (i, len(s)))
         automaton.make_automaton()
         self._automaton = automaton
-        self._words, self._odd, self._odd_words = word_patterns()
         self._split_special = regex.compile("|".join(map(regex.escape, special))).split if special else None
         self._find_special = regex.compile("|".join(map(regex.escape, special))).findall if special else None
-        self._id_text = _Memo(lambda w: " ".join(map(str, self._encode_word(w))), CACHE_WORDS)
+        self._word_text = _Memo(lambda w: " ".join(map(str, self._encode_word(w))), CACHE_WORDS)
+        self._chunk_text = _Memo(lambda c: " ".join([self._word_text[w] for w in split_words(c)]), CACHE_WORDS)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at the left (0) or right (1) edge while token is built: (token, rank of the merge that ends it)."""
@@ -224,21 +258,14 @@ class WordBpe:
         s = word.encode("utf-8", "surrogatepass").decode("latin-1")
         return self.encode_symbols(s[:-1] + chr(ord(s[-1]) + 256))
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words of a stretch without special tokens."""
-        text = normalised(text)
-        if self._odd is not None and not text.isascii() and not _latin1(text) and self._odd(text):
-            return self._odd_words(text)
-        return self._words(text)
-
     def stretches(self, text: str) -> Iterator[tuple[list[str], str | None]]:
-        """Words, and the special token after them if any."""
+        """Chunks, and the special token after them if any."""
         if self._find_special is None or "<|" not in text:
-            yield self.words(text), None
+            yield chunks(text), None
             return
         parts, found = self._split_special(text), self._find_special(text)
         for k, part in enumerate(parts):
-            yield self.words(part), found[k] if k < len(found) else None
+            yield chunks(part), found[k] if k < len(found) else None
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.id_text(text).split()]
@@ -246,8 +273,8 @@ class WordBpe:
     def id_text(self, text: str) -> str:
         """The decimal ids joined by one space."""
         out: list[str] = []
-        for words, special in self.stretches(text):
-            out += map(self._id_text.__getitem__, words)
+        for parts, special in self.stretches(text):
+            out += map(self._chunk_text.__getitem__, parts)
             if special:
                 out.append(str(self.special[special]))
         return " ".join(out)

@@ -31,7 +31,7 @@ _DDL = ", ".join(
 class WordIds:
     """Ids of texts by the tokenizers library, with a bounded memory of words already encoded."""
 
-    def __init__(self, text: str, most: int = 400_000):
+    def __init__(self, text: str, most: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,15 +44,17 @@ class WordIds:
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self._ends[i] = token.endswith("</w>")
-        self._words, self._odd, self._odd_words = bpe.word_patterns()
         self._known: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
         self._most = most
 
     def _plain(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        runs = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+        found = self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
         cuts = np.flatnonzero(self._ends[ids]) + 1
         if len(cuts) == len(words):
             data, at = ids.tobytes(), 0
@@ -63,21 +65,41 @@ class WordIds:
             for word in words:
                 self._known[word] = self._plain(word)
 
+    def _learn_chunks(self, new: list[str]) -> None:
+        split = [bpe.split_words(c) for c in new]
+        words = {w for ws in split for w in ws}
+        if unknown := words.difference(self._known):
+            if len(self._known) + len(unknown) > self._most:
+                self._known.clear()
+                unknown = words
+            self._learn(list(unknown))
+        known = self._known
+        for chunk, ws in zip(new, split):
+            self._chunks[chunk] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         if "<|" in text:
             return self._plain(text)
-        text = bpe.normalised(text)
-        if self._odd is not None and not text.isascii() and self._odd(text):
-            words = self._odd_words(text)
-        else:
-            words = self._words(text)
-        if new := set(words).difference(self._known):
-            if len(self._known) + len(new) > self._most:
-                self._known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return b"".join(map(self._known.__getitem__, words))
+        parts = bpe.chunks(text)
+        if new := set(parts).difference(self._chunks):
+            if len(self._chunks) + len(new) > self._most:
+                self._chunks.clear()
+                new = set(parts)
+            self._learn_chunks(list(new))
+        return b"".join(map(self._chunks.__getitem__, parts))
+
+
+_LOADED: dict[int, WordIds] = {}
+
+
+def word_ids(text: str) -> WordIds:
+    """The encoder of this file, built once in each Python process."""
+    key = zlib.crc32(text.encode())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = WordIds(text)
+    return _LOADED[key]
 
 
 class Window:
@@ -187,7 +209,7 @@ def pack_documents(
         return pa.schema([("id", id_type), *_FIELDS])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer, closed, out, schema, part = WordIds(source.value), Packer(size), 0, [], None, 0
+        ids_of, packer, closed, out, schema, part = word_ids(source.value), Packer(size), 0, [], None, 0
         for batch in batches:
             schema = schema or schema_for(batch.schema.field(0).type)
             part = batch.column(2)[0].as_py() if batch.num_rows else part
