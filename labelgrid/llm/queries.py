@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, pii, quality_rules, sharding, simhash
+from . import bpe, byte_cnn, line_dedup, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         simhash.op2_trie_simhash,
         quality_rules.op3_quality_cascade,
         line_dedup.op4_line_dedup,
+        byte_cnn.op5_byte_cnn_quality,
         packing.op6_online_packing,
         pii.op7_bilstm_crf_pii,
         bpe.op10_prefix_dp_bpe,
