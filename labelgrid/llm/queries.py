@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, byte_cnn, line_dedup, packing, pii, quality_rules, sharding, simhash
+from . import archive, bpe, byte_cnn, line_dedup, media, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         byte_cnn.op5_byte_cnn_quality,
         packing.op6_online_packing,
         pii.op7_bilstm_crf_pii,
+        media.op8_interleaved_media,
+        archive.op9_content_archive,
         bpe.op10_prefix_dp_bpe,
     ]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": _pipeline}
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
