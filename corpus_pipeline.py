@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelgrid.llm import line_dedup, packing, pii, quality_rules, simhash
-from labelgrid.llm.common import table, words_of, written
+from labelgrid.llm.common import WHITE_CLASS, table, written
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur earlier in the corpus; those left without a word go."""
-    out = line_dedup.dedup_lines(docs).where(F.size(words_of(F.col("text"))) > 0)
+    out = line_dedup.dedup_lines(docs).where(F.col("text").rlike(WHITE_CLASS.replace("[", "[^")))
     return _like(docs, out)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, table, words_of, written
+from .common import WHITE_CLASS, free_name, table, words_of, written
 
 #: Shorter lines are dropped only if equal to an earlier one: an edit would change too much of them.
 MIN_EDIT_WORDS = 8
@@ -47,7 +47,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines = docs.select(
         F.col("doc_id").alias("doc"), _text_key(F.col("text")).alias("text_key"),
         F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"),
-    ).withColumn("words", words_of(F.lower("line"))).where(F.size("words") > 0)
+    ).where(F.col("line").rlike(WHITE_CLASS.replace("[", "[^"))).withColumn("words", words_of(F.lower("line")))
     n = F.size("words")
     return lines.select(
         "doc", "text_key", "pos", "words",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, bind, free_name, table, words_of
+from .common import WHITE_CLASS, bind, table, words_of
 
 #: Positions of up to this many bits share a long with a hash; longer texts take the exact path.
 _POS_BITS = 20
@@ -183,12 +183,9 @@ def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, sample_rows
     verdicts; an empty table stays empty; other columns are carried along untouched.
     """
     order = [e.rule for e in plan_cascade(docs, rules or default_rules(), sample_rows)]
-    words = free_name(docs, "words")
-    return (
-        docs.withColumn(words, words_of(F.col("text")))
-        .where(cascade(F.col("text"), F.col(words), order).isNull())
-        .drop(words)
-    )
+    # Bound, not a column: a filter on a column is moved below it, and its lambdas would split the text anew.
+    text = F.col("text")
+    return docs.where(bind(words_of(text), lambda words: cascade(text, words, order)).isNull())
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
