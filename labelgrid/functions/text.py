@@ -48,7 +48,7 @@ def renamed_pair(name: Column) -> Column:
 
 def last_value(metrics: Column) -> Column:
     """The number after the last colon of the last line."""
-    line = F.element_at(F.split(F.trim(metrics), "\n"), -1)
+    line = F.element_at(F.split(F.btrim(metrics, F.lit(" \r\n")), "\n"), -1)
     return F.trim(F.substring_index(line, ":", -1)).try_cast("double")
 
 

@@ -23,7 +23,7 @@ def read_metrics(spark: SparkSession, root: str, dimensions: list[str]) -> DataF
 
 def class_lines(metrics: Column) -> Column:
     """Array of (names, iou) of all lines but the last."""
-    lines = F.split(F.trim(metrics), "\n")
+    lines = F.split(F.btrim(metrics, F.lit(" \r\n")), "\n")
     return F.transform(
         F.slice(lines, 1, F.size(lines) - 1),
         lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("names"), F.trim(F.substring_index(x, ":", -1)).try_cast("double").alias("iou")),
