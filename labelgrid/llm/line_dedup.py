@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WHITE_CLASS, free_name, table, words_of, written
+from .common import WHITE_CLASS, free_name, table, written
 
 #: Shorter lines are dropped only if equal to an earlier one: an edit would change too much of them.
 MIN_EDIT_WORDS = 8
-#: Bits of a word's hash that enter the sums; sums of 2^20 words stay below 2^63.
+#: Bits of a hash of two words that enter a line's sum; sums of 2^20 stay below 2^63.
 _SUM_SHIFT = 21
 
 
@@ -24,91 +23,110 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))
 
 
-def _half_keys(words: Column, n: Column) -> Column:
-    """Keys of the first and the last half, as for a partner of equal length and of one word less.
+def tidy(line: Column) -> Column:
+    """The line in lower case, its words joined by single spaces."""
+    low = F.lower(line)
+    odd = low.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    return F.when(odd, F.btrim(F.regexp_replace(low, WHITE_CLASS + "+", " "), F.lit(" "))).otherwise(low)
 
-    One edit leaves a half untouched, so lines without a common key have no partner.
+
+def _half_keys(line: Column, n: Column) -> Column:
+    """Struct array (head, half): hashes of the first and the last half of a tidy line of n words.
+
+    Cut as for a partner of n words and of n - 1. One edit leaves a half untouched, so lines without
+    a common key have no partner; a common head puts the edit behind it, a common tail before it.
     """
+    p1, p2 = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
 
-    def halves(m: Column) -> list[Column]:
-        k = F.floor(m / 2).cast("int")
-        return [
-            F.xxhash64(m, F.lit(0), F.slice(words, F.lit(1), k)),
-            F.xxhash64(m, F.lit(1), F.slice(words, n - (m - k) + 1, m - k)),
-        ]
+    def head(k: Column) -> Column:
+        return F.struct(F.lit(True).alias("head"), F.xxhash64(F.lit(0), k, F.call_function("substring_index", line, F.lit(" "), k)).alias("half"))
 
-    return F.when(n >= MIN_EDIT_WORDS, F.array(*halves(n), *halves(n - 1))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    def tail(k: Column) -> Column:
+        return F.struct(F.lit(False).alias("head"), F.xxhash64(F.lit(1), k, F.call_function("substring_index", line, F.lit(" "), -k)).alias("half"))
+
+    return F.array_distinct(F.array(head(p1), head(p2), tail(n - p1), tail(n - 1 - p2)))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: doc, text_key, pos, key (struct of two hashes), n and half keys."""
+    """One row per line with a word: doc, text_key, pos, the line's key (a, b), n and halves. No text."""
     lines = docs.select(
         F.col("doc_id").alias("doc"), _text_key(F.col("text")).alias("text_key"),
         F.posexplode(F.split(F.col("text"), "\n")).alias("pos", "line"),
-    ).where(F.col("line").rlike(WHITE_CLASS.replace("[", "[^"))).withColumn("words", words_of(F.lower("line")))
-    n = F.size("words")
-    return lines.select(
-        "doc", "text_key", "pos", "words",
-        F.struct(F.xxhash64("words").alias("a"), F.xxhash64(F.lit(7), F.col("words")).alias("b")).alias("key"),
-        n.alias("n"), _half_keys(F.col("words"), n).alias("halves"),
+    ).where(F.col("line").rlike(WHITE_CLASS.replace("[", "[^")))
+    line = F.col("line")
+    keyed = lines.withColumn("line", tidy(line)).select(
+        "*", (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("n")
+    )
+    return keyed.select(
+        "doc", "text_key", "pos", F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"), "n",
+        F.when(F.col("n") >= MIN_EDIT_WORDS, _half_keys(line, F.col("n"))).alias("halves"),
     )
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per different line: key, its earliest place, how often it occurs, n and half keys."""
-    return lines.groupBy("key").agg(
-        F.min(F.struct("doc", "pos")).alias("first"),
-        F.count(F.lit(1)).alias("times"),
-        F.first("n").alias("n"),
-        F.first("halves").alias("halves"),
+    """One row per different line: key, its earliest place, how often it occurs, n and halves."""
+    return lines.groupBy("a", "b").agg(
+        F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("times"),
+        F.first("n").alias("n"), F.first("halves").alias("halves"),
     )
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """key of the lines that share a half with another line."""
-    halves = distinct.where(F.size("halves") > 0).select("key", F.explode("halves").alias("half"))
+    """(a, b, head, tail): lines that share a half with another line, and which of their halves."""
+    halves = distinct.where(F.col("halves").isNotNull()).select("a", "b", F.inline("halves"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("half")
-    return halves.join(written(shared), "half", "left_semi").select("key").distinct()
+    met = halves.join(written(shared), "half", "left_semi")
+    return met.groupBy("a", "b").agg(F.bool_or("head").alias("head"), F.bool_or(~F.col("head")).alias("tail"))
+
+
+def _candidate_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b, doc, pos, n, head, tail, words) of the candidates, each read at its earliest place."""
+    chosen = _candidates(distinct).join(distinct.select("a", "b", "first", "n"), ["a", "b"])
+    wanted = chosen.groupBy(F.col("first.doc").alias("doc")).agg(
+        F.collect_list(F.struct("a", "b", F.col("first.pos").alias("pos"), "n", "head", "tail")).alias("lines")
+    )
+    found = docs.select("doc_id", "text").join(written(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
+    parts = found.select("doc", F.split("text", "\n").alias("parts"), "lines").select("doc", "parts", F.inline("lines"))
+    line = parts.select("a", "b", "doc", "pos", "n", "head", "tail", tidy(F.get("parts", F.col("pos"))).alias("line"))
+    # Rows that share a doc_id may have other texts; dropDuplicates is for rows repeated whole.
+    return line.where((F.xxhash64("line") == F.col("a")) & (F.xxhash64(F.lit(7), "line") == F.col("b"))).dropDuplicates(["a", "b"]).select(
+        "a", "b", "doc", "pos", "n", "head", "tail", F.split("line", " ").alias("words")
+    )
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """Keys of each line's variants, with the line (key, first, n) and whether a word was deleted.
+    """Hashed keys of each line's variants: (variant, shortened, doc, pos, a, b).
 
-    A line of n words gives its own key as (n, -1); for each word j deleted, the key (n, j), which
-    it shares with lines that have another word there, and the key (n - 1, -1), which it shares with
-    the line that lacks the word. Hashes of prefixes and suffixes are sums over (word, place), so all
-    variants of a line take one pass.
+    A line of n words gives its own key as (n, -1); for each word j that an edit may have touched,
+    the key (n, j), which it shares with lines that have another word there, and the key (n - 1, -1),
+    which it shares with the line that lacks the word. A line's hash is the sum over its neighbouring
+    words, ends included, so deleting a word changes three terms of it.
     """
-    by_line = Window.partitionBy("key").orderBy("j")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_line.rowsBetween(1, Window.unboundedFollowing)
-    words = lines.select("key", "first", "n", F.posexplode("words").alias("j", "word"))
 
-    def at(seed: int, place: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("word"), place), _SUM_SHIFT)
+    def pair(x: Column, y: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.coalesce(x, F.lit(" ")), F.coalesce(y, F.lit(" "))), _SUM_SHIFT)
+
+    ends = F.concat(F.array(F.lit(" ")), F.col("words"), F.array(F.lit(" ")))
+    steps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: pair(F.get(F.col("ends"), j), F.get(F.col("ends"), j + 1)))
+    summed = lines.withColumn("ends", ends).withColumn("steps", steps).withColumn(
+        "total", F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + x)
+    )
+    n, total = F.col("n"), F.col("total")
+    middle = F.floor((n - 1) / 2).cast("int")
+    touched = F.sequence(F.when(F.col("tail"), 0).otherwise(middle), F.when(F.col("head"), n - 1).otherwise(middle))
 
-    def rest(seed: int) -> Column:
-        return F.coalesce(F.sum(at(seed, F.col("j"))).over(upto), F.lit(0)) + F.coalesce(
-            F.sum(at(seed, F.col("j") - 1)).over(after), F.lit(0)
+    def without(j: Column) -> Column:
+        return (
+            total - F.get(F.col("steps"), j) - F.get(F.col("steps"), j + 1)
+            + pair(F.get(F.col("ends"), j), F.get(F.col("ends"), j + 2))
         )
 
-    deleted = words.select("key", "first", "n", "j", rest(3).alias("s"), rest(5).alias("t"))
-    whole = words.groupBy("key").agg(
-        F.first("first").alias("first"), F.first("n").alias("n"),
-        F.sum(at(3, F.col("j"))).alias("s"), F.sum(at(5, F.col("j"))).alias("t"),
-    )
-    columns = ["key", "first", "n", "variant", "shortened"]
-    put = lambda df, n, j, short: df.select(
-        "key", "first", "n", F.xxhash64(n, j, "s", "t").alias("variant"), F.lit(short).alias("shortened")
-    )
-    return (
-        put(whole, F.col("n"), F.lit(-1), False)
-        .unionByName(put(deleted, F.col("n") - 1, F.lit(-1), True))
-        .unionByName(put(deleted, F.col("n"), F.col("j"), False))
-        .select(columns)
+    key = lambda n, j, s, short: F.struct(F.xxhash64(n, j, s).alias("variant"), F.lit(short).alias("shortened"))
+    variants = F.concat(
+        F.array(key(n, F.lit(-1), total, False)),
+        F.flatten(F.transform(touched, lambda j: F.array(key(n, j, without(j), False), key(n - 1, F.lit(-1), without(j), True)))),
     )
+    return summed.select("doc", "pos", "a", "b", F.inline(variants))
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -126,57 +144,50 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def near_duplicates(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """key of the lines with an earlier line within one edit (and another wording).
+def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b) of the lines with an earlier line within one edit (and another wording).
 
     Of a group of lines with a variant in common only the earliest is compared with the others:
     lines with one word replaced at the same place are all within one edit of each other, and a
     line lacking a word is within one edit of all lines that have it. So no group is paired out.
     """
-    chosen = written(_candidates(distinct))
-    texts = written(
-        lines.select("key", "words", "n").join(chosen, "key", "left_semi")
-        .groupBy("key").agg(F.first("words").alias("words"))
-        .join(distinct.select("key", "first", "n"), "key")
-    )
-    variants = written(_neighbourhood(texts))
-    line = F.struct("first", "key")
+    texts = written(_candidate_texts(docs, distinct))
+    variants = _neighbourhood(texts)
+    line = F.struct("doc", "pos", "a", "b")
     heads = variants.groupBy("variant").agg(
         F.count(F.lit(1)).alias("lines"),
         F.min(F.when(~F.col("shortened"), line)).alias("plain"),
         F.min(F.when(F.col("shortened"), line)).alias("short"),
-    ).where("lines > 1")
-    met = variants.join(written(heads), "variant")
+    ).where("lines > 1").drop("lines")
     # A shortened line answers to the plain one; a plain line to the earliest plain or shortened one.
     rival = F.when(F.col("shortened"), F.col("plain")).otherwise(F.least("plain", "short"))
-    pairs = (
-        met.withColumn("rival", rival)
-        .where((F.col("rival.first") < F.col("first")) & (F.col("rival.key") != F.col("key")))
-        .select("key", F.col("rival.key").alias("other")).distinct()
+    pairs = written(
+        variants.join(written(heads), "variant").withColumn("rival", rival)
+        .where((F.struct("doc", "pos") > F.struct("rival.doc", "rival.pos")) & ((F.col("a") != F.col("rival.a")) | (F.col("b") != F.col("rival.b"))))
+        .select("a", "b", F.col("rival.a").alias("a2"), F.col("rival.b").alias("b2")).distinct()
     )
     return (
-        written(pairs)
-        .join(texts.select("key", F.col("words").alias("words_a")), "key")
-        .join(texts.select(F.col("key").alias("other"), F.col("words").alias("words_b")), "other")
+        pairs.join(texts.select("a", "b", F.col("words").alias("words_a")), ["a", "b"])
+        .join(texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("words").alias("words_b")), ["a2", "b2"])
         .where(_within_one_edit(F.col("words_a"), F.col("words_b")))
-        .select("key").distinct()
+        .select("a", "b").distinct()
     )
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc, text_key and the array drops of line numbers that go, for the documents that lose lines."""
-    lines = line_table(docs)
+    lines = written(line_table(docs))
     distinct = written(distinct_lines(lines))
-    near = written(near_duplicates(lines, distinct))
+    near = written(near_duplicates(docs, distinct))
     # Only lines that occur again or are near an earlier one matter to any document.
     marked = written(
-        distinct.join(near.withColumn("near", F.lit(True)), "key", "left")
+        distinct.select("a", "b", "first", "times").join(near.withColumn("near", F.lit(True)), ["a", "b"], "left")
         .where((F.col("times") > 1) | F.col("near"))
-        .select("key", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        .select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
     )
     here = F.struct("doc", "pos")
     return (
-        lines.select("doc", "text_key", "pos", "key").join(marked, "key")
+        lines.select("doc", "text_key", "pos", "a", "b").join(marked, ["a", "b"])
         .where(F.col("near") | ~here.eqNullSafe(F.col("first")))
         .groupBy("doc", "text_key").agg(F.collect_set("pos").alias("drops"))
     )
