@@ -252,7 +252,17 @@ class Examples:
             gap = r.choice("\n" + " " * 14)
             text, tags = text + piece + gap, tags + own + [0]
         at = r.randint(0, len(text) - size)
-        return classes(text[at : at + size]), np.array(tags[at : at + size], np.int8)
+        x, y = classes(text[at : at + size]), np.array(tags[at : at + size], np.int8)
+        if r.random() < 0.3:  # the text begins or ends inside the window, as often as not with a span
+            ends = [i for i in range(1, size) if y[i] == 0 and y[i - 1] != 0]
+            starts = [i for i in range(1, size) if y[i] % 2 == 1]
+            if ends and r.random() < 0.6:
+                i = r.choice(ends)
+                x[i:], y[i:] = 0, 0
+            elif starts:
+                i = r.choice(starts)
+                x[:i], y[:i] = 0, 0
+        return x, y
 
     def batch(self, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         rows = [self.window(size) for _ in range(n)]
