@@ -1,3 +1,3 @@
 """Queries that apply the library to the driver's tables. Importing this registers them."""
 
-from . import bands, label_metrics, places, rasters, reports  # noqa: F401
+from . import bands, label_metrics, more, places, rasters, reports  # noqa: F401

@@ -131,3 +131,11 @@ def distorted(x: Column, y: Column, k: tuple[float, ...], p: tuple[float, float]
         (x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)).alias("x"),
         (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y).alias("y"),
     )
+
+
+def envelope(u: Column, points: list[tuple[Column, Column]]) -> Column:
+    """Height at u of the line through points of growing u; flat beyond the ends."""
+    out = points[-1][1]
+    for (u0, v0), (u1, v1) in reversed(list(zip(points, points[1:]))):
+        out = F.when(u <= u1, v0 + (u - u0) * (v1 - v0) / (u1 - u0)).otherwise(out)
+    return F.when(u < points[0][0], points[0][1]).otherwise(out)
