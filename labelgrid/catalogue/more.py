@@ -32,10 +32,10 @@ def w07_closed_and_blurred(spark, d):
 greatest(0, least((r.r + 0.5) * 1.5 - 0.5, 29)) AS y, greatest(0, least((c.c + 0.5) * 2.0 - 0.5, 39)) AS x FROM range(20) r(r), range(20) c(c)),
 n AS (SELECT row, col, y, x, unnest([floor(y), floor(y), least(floor(y) + 1, 29), least(floor(y) + 1, 29)]) AS sr, unnest([floor(x), least(floor(x) + 1, 39), floor(x), least(floor(x) + 1, 39)]) AS sc,
 unnest([(1 - (y - floor(y))) * (1 - (x - floor(x))), (1 - (y - floor(y))) * (x - floor(x)), (y - floor(y)) * (1 - (x - floor(x))), (y - floor(y)) * (x - floor(x))]) AS w FROM t)
-SELECT n.row, n.col, round(sum(w * v), 2) AS v FROM n JOIN px ON px.row = n.sr AND px.col = n.sc GROUP BY 1, 2""")
+SELECT n.row, n.col, round(sum(w * v), 6) AS v FROM n JOIN px ON px.row = n.sr AND px.col = n.sc GROUP BY 1, 2""")
 def r05_r10_bilinear_resample(spark, d):
     px = image(spark, d).where("row < 30").select("row", "col", "v")
-    return resample.bilinear(px, [], "v", (30, 40), (20, 20)).select("row", "col", F.round("v", 2).alias("v"))
+    return resample.bilinear(px, [], "v", (30, 40), (20, 20)).select("row", "col", F.round("v", 6).alias("v"))
 
 
 @query(f"""WITH {_PX}, s AS (SELECT row, col, label, CASE label WHEN 0 THEN 0 WHEN 1 THEN 97 ELSE 228 END AS r, CASE label WHEN 0 THEN 155 WHEN 1 THEN 155 ELSE 150 END AS g FROM px)
