@@ -168,12 +168,29 @@ def tile_starts(size: int, tile: int, step: int | None = None) -> list[int]:
 
 
 def tiled(pixels: DataFrame, height: int, width: int, tile: int, step: int | None = None) -> DataFrame:
-    """pixels with tile_no and the tile's row and column, once for each tile that holds them."""
-    starts = [(r, c) for r in tile_starts(height, tile, step) for c in tile_starts(width, tile, step)]
-    spans = F.array(*[F.struct(F.lit(k).alias("tile_no"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(starts)])
-    holds = F.filter(spans, lambda s: (F.col("row") >= s["r"]) & (F.col("row") < s["r"] + tile) & (F.col("col") >= s["c"]) & (F.col("col") < s["c"] + tile))
-    return pixels.select("*", F.explode(holds).alias("__s")).select(
-        *pixels.columns, "__s.tile_no", (F.col("row") - F.col("__s.r")).alias("tile_row"), (F.col("col") - F.col("__s.c")).alias("tile_col")
+    """pixels with tile_no and the tile's row and column, once for each tile that holds them.
+
+    Each pixel finds its tiles by arithmetic, however many tiles there are.
+    """
+    step = step or tile - tile // 4
+
+    def held(at: str, size: int) -> Column:
+        """Array of (number, start) of the tiles over a row or column."""
+        regular = len(range(0, size - tile + 1, step))
+        low = F.greatest(F.lit(0), F.ceil((F.col(at) - (tile - 1)) / step)).cast("int")
+        high = F.least(F.lit(regular - 1), F.floor(F.col(at) / step)).cast("int")
+        some = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), (k * step).alias("start")))
+        last = F.array(F.struct(F.lit(regular).alias("k"), F.lit(size - tile).alias("start")))
+        none = F.slice(last, 1, 0)
+        return F.concat(F.when(low <= high, some).otherwise(none), F.when(F.col(at) >= size - tile, last).otherwise(none))
+
+    if height < tile or width < tile:
+        return pixels.where(F.lit(False)).select("*", *[F.lit(0).alias(c) for c in ("tile_no", "tile_row", "tile_col")])
+    across = len(tile_starts(width, tile, step))
+    each = pixels.select("*", F.explode(held("row", height)).alias("__r")).select("*", F.explode(held("col", width)).alias("__c"))
+    return each.select(
+        *pixels.columns, (F.col("__r.k") * across + F.col("__c.k")).alias("tile_no"),
+        (F.col("row") - F.col("__r.start")).alias("tile_row"), (F.col("col") - F.col("__c.start")).alias("tile_col"),
     )
 
 
