@@ -182,7 +182,7 @@ def tiled(pixels: DataFrame, height: int, width: int, tile: int, step: int | Non
         some = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), (k * step).alias("start")))
         last = F.array(F.struct(F.lit(regular).alias("k"), F.lit(size - tile).alias("start")))
         none = F.slice(last, 1, 0)
-        return F.concat(F.when(low <= high, some).otherwise(none), F.when(F.col(at) >= size - tile, last).otherwise(none))
+        return F.concat(F.when(low <= high, some).otherwise(none), F.when((F.col(at) >= size - tile) & (F.col(at) < size), last).otherwise(none))
 
     if height < tile or width < tile:
         return pixels.where(F.lit(False)).select("*", *[F.lit(0).alias(c) for c in ("tile_no", "tile_row", "tile_col")])
