@@ -11,6 +11,8 @@ import numpy as np
 KINDS = ("email", "ip", "card", "phone")
 #: Tag 0 is outside; 1 + 2k begins kind k, 2 + 2k continues it.
 N_TAGS = 1 + 2 * len(KINDS)
+#: Characters of the text that training windows are cut from.
+POOL = 500_000
 _MARKS = string.punctuation
 #: pad, digit, a-f, g-z, A-F, G-Z, other letter, space, line end, each ASCII mark, anything else
 N_CLASSES = 10 + len(_MARKS)
@@ -178,6 +180,7 @@ class Examples:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self._text: tuple[np.ndarray, np.ndarray] | None = None
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choices(string.digits, k=n))
@@ -235,10 +238,10 @@ class Examples:
             word = word.upper()
         return word + r.choice([""] * 12 + [",", ".", ".", " |", "!!", "***", ":", ";", "?"])
 
-    def window(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and tags of size characters, cut at a random place."""
-        r, text, tags = self.r, "", []
-        while len(text) < 2 * size:
+    def labelled(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and tags of a text of at least size characters."""
+        r, parts, tags, n = self.r, [], [], 0
+        while n < size:
             pick = r.random()
             if pick < 0.30:
                 kind = r.randrange(len(KINDS))
@@ -249,18 +252,26 @@ class Examples:
             else:
                 piece = self.other() if pick < 0.45 else self.filler()
                 own = [0] * len(piece)
-            gap = r.choice("\n" + " " * 14)
-            text, tags = text + piece + gap, tags + own + [0]
-        at = r.randint(0, len(text) - size)
-        x, y = classes(text[at : at + size]), np.array(tags[at : at + size], np.int8)
+            parts += [piece, r.choice("\n" + " " * 14)]
+            tags += own + [0]
+            n += len(piece) + 1
+        return classes("".join(parts)), np.array(tags, np.int8)
+
+    def window(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes and tags of size characters, cut at a random place of a text made once."""
+        r = self.r
+        if self._text is None:
+            self._text = self.labelled(POOL)
+        at = r.randint(0, len(self._text[0]) - size)
+        x, y = (a[at : at + size].copy() for a in self._text)
         if r.random() < 0.3:  # the text begins or ends inside the window, as often as not with a span
-            ends = [i for i in range(1, size) if y[i] == 0 and y[i - 1] != 0]
-            starts = [i for i in range(1, size) if y[i] % 2 == 1]
-            if ends and r.random() < 0.6:
-                i = r.choice(ends)
+            ends = np.flatnonzero((y[1:] == 0) & (y[:-1] != 0)) + 1
+            starts = np.flatnonzero(y[1:] % 2 == 1) + 1
+            if len(ends) and r.random() < 0.6:
+                i = r.choice(ends.tolist())
                 x[i:], y[i:] = 0, 0
-            elif starts:
-                i = r.choice(starts)
+            elif len(starts):
+                i = r.choice(starts.tolist())
                 x[:i], y[:i] = 0, 0
         return x, y
 
