@@ -145,6 +145,10 @@ def chunks(text: str) -> list[str]:
 
 def split_words(chunk: str) -> list[str]:
     """Words of a chunk, as the tokenizer file's pattern splits them."""
+    if chunk.isalpha():  # letters of Python's tables are letters of the pattern's
+        return [chunk]
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
     plain, odd, other = _word_patterns()
     if not chunk.isascii() and not _latin1(chunk) and odd(chunk):
         return other(chunk)

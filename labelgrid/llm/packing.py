@@ -77,17 +77,30 @@ class WordIds:
         for chunk, ws in zip(new, split):
             self._chunks[chunk] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text."""
-        if "<|" in text:
-            return self._plain(text)
-        parts = bpe.chunks(text)
-        if new := set(parts).difference(self._chunks):
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; words new to all of them are encoded together."""
+        parts = [None if "<|" in t else bpe.chunks(t) for t in texts]
+        every = set().union(*[p for p in parts if p])
+        if new := every.difference(self._chunks):
             if len(self._chunks) + len(new) > self._most:
                 self._chunks.clear()
-                new = set(parts)
+                new = every
             self._learn_chunks(list(new))
-        return b"".join(map(self._chunks.__getitem__, parts))
+        known = self._chunks.__getitem__
+        return [self._plain(t) if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts)]
+
+
+def in_groups(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """Runs of texts of at most `most` characters together, or of one longer text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > most:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
 
 _LOADED: dict[int, WordIds] = {}
@@ -213,10 +226,12 @@ def pack_documents(
         for batch in batches:
             schema = schema or schema_for(batch.schema.field(0).type)
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for window in packer.put(doc, ids_of(text.as_py() or "") + end):
-                    out += _rows(window, (part << 32) + closed, False, keep_ids)
-                    closed += 1
+            docs = iter(batch.column(0).to_pylist())
+            for group in in_groups([t or "" for t in batch.column(1).to_pylist()]):
+                for ids in ids_of.many(group):
+                    for window in packer.put(next(docs), ids + end):
+                        out += _rows(window, (part << 32) + closed, False, keep_ids)
+                        closed += 1
             yield _batch(out, kind, schema)
             out = []
         for k, window in enumerate(packer.open):
