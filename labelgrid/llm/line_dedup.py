@@ -85,7 +85,8 @@ def _candidate_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = chosen.groupBy(F.col("first.doc").alias("doc")).agg(
         F.collect_list(F.struct("a", "b", F.col("first.pos").alias("pos"), "n", "head", "tail")).alias("lines")
     )
-    found = docs.select("doc_id", "text").join(written(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
+    # merge: wanted grows with the corpus, and its files are far smaller than its rows in memory.
+    found = docs.select("doc_id", "text").join(written(wanted).hint("merge"), F.col("doc_id").eqNullSafe(F.col("doc")))
     parts = found.select("doc", F.split("text", "\n").alias("parts"), "lines").select("doc", "parts", F.inline("lines"))
     line = parts.select("a", "b", "doc", "pos", "n", "head", "tail", tidy(F.get("parts", F.col("pos"))).alias("line"))
     # Rows that share a doc_id may have other texts; dropDuplicates is for rows repeated whole.
@@ -208,7 +209,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("drops").alias(drops)
     )
     joined = docs.withColumn(text_key, _text_key(F.col("text"))).join(
-        lost, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(text_key) == F.col("__key")), "left"
+        lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(text_key) == F.col("__key")), "left"
     )
     lines = F.split(F.col("text"), "\n")
     last = F.size(lines) - 1
