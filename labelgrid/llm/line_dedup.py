@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, free_name, table, written
+from .common import WHITE_CLASS, bind, free_name, table, written
 
 #: Shorter lines are dropped only if equal to an earlier one: an edit would change too much of them.
 MIN_EDIT_WORDS = 8
-#: Bits of a hash of two words that enter a line's sum; sums of 2^20 stay below 2^63.
-_SUM_SHIFT = 21
+#: Words between two kept XORs of a line's hashes.
+BLOCK = 32
 
 
 def _text_key(text: Column) -> Column:
@@ -95,39 +95,57 @@ def _candidate_texts(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
+def _xor(terms: Column) -> Column:
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+
+
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """Hashed keys of each line's variants: (variant, shortened, doc, pos, a, b).
+    """Hashed keys of each line's variants: (variant, proof, shortened, doc, pos, a, b).
 
     A line of n words gives its own key as (n, -1); for each word j that an edit may have touched,
     the key (n, j), which it shares with lines that have another word there, and the key (n - 1, -1),
-    which it shares with the line that lacks the word. A line's hash is the sum over its neighbouring
-    words, ends included, so deleting a word changes three terms of it.
+    which it shares with the line that lacks the word. A hash is the XOR of the hashes of (place,
+    word), so it keeps the order; words behind a deleted one count at the place before theirs. proof
+    is a second hash of the same with another seed. XORs up to each BLOCK-th word are kept, so a
+    variant reads at most BLOCK words.
     """
-
-    def pair(x: Column, y: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.coalesce(x, F.lit(" ")), F.coalesce(y, F.lit(" "))), _SUM_SHIFT)
-
-    ends = F.concat(F.array(F.lit(" ")), F.col("words"), F.array(F.lit(" ")))
-    steps = F.transform(F.sequence(F.lit(0), F.col("n")), lambda j: pair(F.get(F.col("ends"), j), F.get(F.col("ends"), j + 1)))
-    summed = lines.withColumn("ends", ends).withColumn("steps", steps).withColumn(
-        "total", F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + x)
-    )
-    n, total = F.col("n"), F.col("total")
+    n, w = F.col("n"), F.col("words")
     middle = F.floor((n - 1) / 2).cast("int")
     touched = F.sequence(F.when(F.col("tail"), 0).otherwise(middle), F.when(F.col("head"), n - 1).otherwise(middle))
 
-    def without(j: Column) -> Column:
-        return (
-            total - F.get(F.col("steps"), j) - F.get(F.col("steps"), j + 1)
-            + pair(F.get(F.col("ends"), j), F.get(F.col("ends"), j + 2))
+    def placed(seed: int, shift: int) -> Column:
+        return F.transform(w, lambda x, i: F.xxhash64(F.lit(seed), i - shift, x))
+
+    def scanned(terms: Column) -> Column:
+        """terms, their XORs up to each BLOCK-th and the XOR of all."""
+        starts = F.sequence(F.lit(0), F.floor(n / BLOCK).cast("int"))
+        upto = lambda t: F.transform(starts, lambda i: _xor(F.slice(t, F.lit(1), i * BLOCK)))
+        return bind(terms, lambda t: F.struct(t.alias("terms"), upto(t).alias("upto"), _xor(t).alias("all")))
+
+    def before(s: Column, j: Column) -> Column:
+        """The XOR of the first j terms."""
+        whole = F.floor(j / BLOCK).cast("int")
+        return F.get(s["upto"], whole).bitwiseXOR(_xor(F.slice(s["terms"], whole * BLOCK + 1, j % BLOCK)))
+
+    def hashes(seed: int) -> Column:
+        """The line's hash, then one for each touched word: the hash without it."""
+        return bind(
+            F.struct(scanned(placed(seed, 0)).alias("here"), scanned(placed(seed, 1)).alias("ahead")),
+            lambda s: F.concat(
+                F.array(s["here"]["all"]),
+                F.transform(touched, lambda j: before(s["here"], j).bitwiseXOR(before(s["ahead"], j + 1)).bitwiseXOR(s["ahead"]["all"])),
+            ),
         )
 
-    key = lambda n, j, s, short: F.struct(F.xxhash64(n, j, s).alias("variant"), F.lit(short).alias("shortened"))
-    variants = F.concat(
-        F.array(key(n, F.lit(-1), total, False)),
-        F.flatten(F.transform(touched, lambda j: F.array(key(n, j, without(j), False), key(n - 1, F.lit(-1), without(j), True)))),
-    )
-    return summed.select("doc", "pos", "a", "b", F.inline(variants))
+    def key(n: Column, j: Column, v: Column, short: bool) -> Column:
+        return F.struct(F.xxhash64(n, j, v["v1"]).alias("variant"), F.xxhash64(F.lit(7), n, j, v["v2"]).alias("proof"), F.lit(short).alias("shortened"))
+
+    places = F.concat(F.array(F.lit(-1)), touched)
+    cut = F.zip_with(F.zip_with(hashes(1), hashes(2), lambda x, y: F.struct(x.alias("v1"), y.alias("v2"))), places, lambda v, j: F.struct(v["v1"].alias("v1"), v["v2"].alias("v2"), j.alias("j")))
+    variants = F.flatten(F.transform(cut, lambda v: F.when(v["j"] < 0, F.array(key(n, v["j"], v, False))).otherwise(
+        F.array(key(n, v["j"], v, False), key(n - 1, F.lit(-1), v, True))
+    )))
+    return lines.select("doc", "pos", "a", "b", F.inline(variants))
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -155,7 +173,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     texts = written(_candidate_texts(docs, distinct))
     variants = _neighbourhood(texts)
     line = F.struct("doc", "pos", "a", "b")
-    heads = variants.groupBy("variant").agg(
+    heads = variants.groupBy("variant", "proof").agg(
         F.count(F.lit(1)).alias("lines"),
         F.min(F.when(~F.col("shortened"), line)).alias("plain"),
         F.min(F.when(F.col("shortened"), line)).alias("short"),
@@ -163,7 +181,7 @@ def near_duplicates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     # A shortened line answers to the plain one; a plain line to the earliest plain or shortened one.
     rival = F.when(F.col("shortened"), F.col("plain")).otherwise(F.least("plain", "short"))
     pairs = written(
-        variants.join(written(heads), "variant").withColumn("rival", rival)
+        variants.join(written(heads), ["variant", "proof"]).withColumn("rival", rival)
         .where((F.struct("doc", "pos") > F.struct("rival.doc", "rival.pos")) & ((F.col("a") != F.col("rival.a")) | (F.col("b") != F.col("rival.b"))))
         .select("a", "b", F.col("rival.a").alias("a2"), F.col("rival.b").alias("b2")).distinct()
     )

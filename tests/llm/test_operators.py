@@ -247,6 +247,16 @@ def test_line_dedup_of_random_edits(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_of_lines_with_the_same_word_pairs_in_another_order(spark):
+    start = "in the great hall of the old castle there stood "
+    ends = ["the king and the queen and the jester", "the queen and the king and the jester", "the queen and the king and the fool"]
+    long = prose(random.Random(2), 150).split()  # longer than the blocks that hashes are kept for
+    lines = [start + e for e in ends] + [" ".join(long), " ".join(long[:70] + long[71:]), " ".join(long[:99] + ["new"] + long[100:])]
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) == {0: lines[0], 1: lines[1], 2: "", 3: lines[3], 4: "", 5: ""}
+
+
 # op5
 
 
