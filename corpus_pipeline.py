@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm import line_dedup, packing, pii, quality_rules, simhash
+from labelgrid.llm import line_dedup, packing, pii, quality_rules, similar
 from labelgrid.llm.common import WHITE_CLASS, table, written
 
 
@@ -34,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """The document of smallest doc_id of each group linked by similarity 0.8 or more of 5-word shingles."""
+    return similar.drop_near_duplicates(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", keep_good),
     ("line dedup", drop_repeated_lines),
-    ("simhash near-dedup", drop_near_copies),
+    ("near-dedup", drop_near_copies),
     ("personal data", redact),
     ("packing", pack),
 ]
 
-#: SimHash, the tagger and the tokenizer have no SQL form; tests/llm holds run() against brute force.
+#: MinHash, the tagger and the tokenizer have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 

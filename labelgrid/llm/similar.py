@@ -1,0 +1,147 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+A 64-bit SimHash of two texts of similarity 0.8 differs in about ten bits, too many for a trie join:
+it would pair nearly all cells. Here texts meet in buckets of MinHash bands, and every link is
+checked on the whole shingle sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import free_name, tune, written
+from .components import connected_components
+
+#: A pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^20, about 3 in 100,000.
+BANDS, ROWS = 20, 4
+_MIX = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+#: Shingles hashed at once.
+BLOCK = 1 << 12
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted different 64-bit hashes of the shingles of width words; a shorter text is one, a blank one none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = (b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """One key for each band: a hash of the band's number and its least values."""
+    import xxhash
+
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), BLOCK):
+        least = np.minimum(least, (found[at : at + BLOCK] * _MIX[0] + _MIX[1]).min(axis=1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _node(found: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(id, node, size, bands): node is a digest of the shingle set, so equal sets are one node."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(_node, sets), pa.binary()), pa.array(map(len, sets), pa.int64()),
+                 pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
+                ["id", "node", "size", "bands"],
+            )
+
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, node binary, size long, bands array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, found): the shingle sets of the wanted (node, least), read from the documents again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            own = [(n.as_py(), s.view(np.int64)) for n, s in zip(batch.column(0), sets) if n.as_py() == _node(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in own], pa.binary()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["node", "found"]
+            )
+
+    met = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("least"))
+    return met.select("node", "text").mapInArrow(run, "node binary, found array<long>").dropDuplicates(["node"])
+
+
+def _close(a: Column, b: Column, similarity: float) -> Column:
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
+def near_duplicate_components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): the smallest doc_id among documents linked by a similarity of at least similarity.
+
+    Equal sets are one node. In each bucket all nodes are first compared with the smallest; then, in
+    buckets that hold several components still, all nodes outside the largest component are compared
+    with all nodes of other components. So every pair of a bucket is compared or joined already, and a
+    family of near copies needs no pairs of its own.
+    """
+    tune(docs.sparkSession)
+    docs = docs.where(F.col("doc_id").isNotNull())
+    rows = written(_signatures(docs, width))
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    spread = nodes.select("node", "size", F.explode("bands").alias("band"))
+    heads = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("head")).where("n > 1")
+    members = written(spread.join(written(heads.select("band", "head")), "band"))
+    sets = written(_sets(docs, nodes.join(members.select("node").distinct(), "node").select("node", "least"), width))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that are similar enough."""
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("x")), "u").join(
+            sets.select(F.col("node").alias("v"), F.col("found").alias("y")), "v"
+        )
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("u", "v")
+
+    first = written(
+        members.where((F.col("node") != F.col("head.node")) & _close(F.col("size"), F.col("head.size"), similarity))
+        .select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
+    )
+    near = written(links(first))
+    labels = written(connected_components(near))
+    placed = written(
+        members.join(labels, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("component"))
+    )
+    counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = written(
+        counts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("big"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1").select("band", F.col("big.component").alias("big"))
+    )
+    still = written(placed.join(mixed, "band"))
+    apart = still.where("component <> big").select("band", *[F.col(c).alias(f"{c}_2") for c in ("node", "size", "component")])
+    second = (
+        still.join(apart, "band").where((F.col("component") != F.col("component_2")) & _close(F.col("size"), F.col("size_2"), similarity))
+        .select(F.least("node", "node_2").alias("u"), F.greatest("node", "node_2").alias("v")).distinct()
+        .join(first, ["u", "v"], "left_anti")
+    )
+    labels = written(connected_components(near.unionByName(links(written(second)))))
+    own = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "node").join(written(own.join(least, "component").select("node", "component_id")), "node").select("id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document of smallest doc_id of each component, with all its columns; rows without a doc_id stay uncompared."""
+    found = near_duplicate_components(docs, width, similarity)
+    mark = free_name(docs, "gone")
+    gone = written(found.where("id > component_id").select(F.col("id").alias(mark)).distinct())
+    return docs.join(gone, docs["doc_id"] == F.col(mark), "left_anti")
