@@ -83,12 +83,22 @@ def _late_lower() -> dict[int, str]:
     return {ord(c): low for c in _unassigned() if (low := lower(c)) != c}
 
 
+@functools.cache
+def _nfc():
+    from tokenizers import normalizers
+
+    return normalizers.NFC().normalize_str
+
+
 def normalised(text: str) -> str:
-    if not text.isascii():
+    """text in normal form C and lower case, as the file's normaliser has it.
+
+    The composition is the tokenizers library's own: Python's tables are of another Unicode version
+    and order some marks otherwise. Latin-1 text is in normal form C.
+    """
+    if not text.isascii() and not _latin1(text):
         # One letter at a time, as the file's normaliser does: no special form for a final sigma.
-        text = unicodedata.normalize("NFC", text)
-        if not _latin1(text):
-            text = text.replace("Σ", "σ").translate(_late_lower())
+        text = _nfc()(text).replace("Σ", "σ").translate(_late_lower())
     return text.lower()
 
 

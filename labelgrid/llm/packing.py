@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -38,8 +39,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(text)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+        # For words that are normalised already: a second normalisation could change them.
+        self._words = Tokenizer.from_str(json.dumps(json.loads(text) | {"normalizer": None}))
+        for t in (self._tokenizer, self._words):
+            t.no_truncation()
+            t.no_padding()
         vocab = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
@@ -48,12 +52,12 @@ class WordIds:
         self._chunks: dict[str, bytes] = {}
         self._most = most
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _plain(self, text: str, tokenizer=None) -> bytes:
+        return np.array((tokenizer or self._tokenizer).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         runs = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
-        found = self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        found = self._words.encode_batch_fast(runs, add_special_tokens=False)
         ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
         cuts = np.flatnonzero(self._ends[ids]) + 1
         if len(cuts) == len(words):
@@ -63,7 +67,7 @@ class WordIds:
                 at = cut
         else:
             for word in words:
-                self._known[word] = self._plain(word)
+                self._known[word] = self._plain(word, self._words)
 
     def _learn_chunks(self, new: list[str]) -> None:
         split = [bpe.split_words(c) for c in new]
