@@ -18,15 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive, in rows and in bytes."""
+    """Bound the Arrow batches that Python workers receive, in rows and in bytes, for this session.
+
+    The plan reads the settings when it runs, so they cannot be put back once it is built.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a new temporary folder; a cluster gets an error, since
+    executors could not see one of the driver's.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="labelgrid-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -61,3 +70,8 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def own_name(df: DataFrame, stem: str) -> str:
+    """stem as the name of a column to add to df, or a free form of it if df has one of that name."""
+    return free_name(df, stem) if stem.lower() in {c.lower() for c in df.columns} else stem

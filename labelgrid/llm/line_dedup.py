@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_CLASS, bind, free_name, table, written
+from .common import WHITE_CLASS, bind, free_name, own_name, table, written
 
 #: Shorter lines are dropped only if equal to an earlier one: an edit would change too much of them.
 MIN_EDIT_WORDS = 8
@@ -222,12 +222,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     get equal results; a null doc_id sorts first; an empty table stays empty; other columns are
     carried along. A text all of whose lines go becomes empty.
     """
-    text_key, drops = free_name(docs, "text_key"), free_name(docs, "drops")
+    text_key, drops, doc, lost_key = (free_name(docs, stem) for stem in ("text_key", "drops", "doc", "lost_key"))
     lost = written(dropped_lines(docs.select("doc_id", "text"))).select(
-        F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), F.col("drops").alias(drops)
+        F.col("doc").alias(doc), F.col("text_key").alias(lost_key), F.col("drops").alias(drops)
     )
     joined = docs.withColumn(text_key, _text_key(F.col("text"))).join(
-        lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col(text_key) == F.col("__key")), "left"
+        lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text_key) == F.col(lost_key)), "left"
     )
     lines = F.split(F.col("text"), "\n")
     last = F.size(lines) - 1
@@ -237,16 +237,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     return joined.select(
         *[F.when(F.col(drops).isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(_name(docs, "n_lines")),
-        F.coalesce(F.size(F.col(drops)), F.lit(0)).cast("long").alias(_name(docs, "n_dropped")),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(own_name(docs, "n_lines")),
+        F.coalesce(F.size(F.col(drops)), F.lit(0)).cast("long").alias(own_name(docs, "n_dropped")),
     )
 
 
-def _name(docs: DataFrame, stem: str) -> str:
-    return free_name(docs, stem) if stem in {c.lower() for c in docs.columns} else stem
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those dropped, and a digest of what dedup_lines() keeps.
+
+    Null texts have no lines and the digest of an empty text; empty texts have one line without a
+    word, which stays; rows repeated whole are one document; no rows give none.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

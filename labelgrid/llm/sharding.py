@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import free_name, own_name, table, written
 
 
 @dataclass(frozen=True)
@@ -108,34 +108,44 @@ def assign_shards(df: DataFrame, key: str, tree: list[Shard], keep: list[Column]
     are numbered by themselves and shifted by the rows of earlier partitions, so no task gathers
     a shard and equal keys cannot pile up. Null keys are a key like any other; repeated rows get
     the same shard and slots of their own; an empty table gives no rows; extra columns of df are
-    carried only if named in keep.
+    carried only if named in keep. A kept column that is called like an added one stays as it is,
+    and the added one gets a free name (common.own_name: `__slot` beside a kept `slot`).
     """
     at, grown = place(F.col(key), tree), place(F.col(key), grow(tree))
+    kept = df.select(*keep)
+    part, row, start, i = (free_name(kept, stem) for stem in ("part_of_input", "row_of_input", "start_of_part", "i"))
+    region, rack, shard, grown_shard, slot = (own_name(kept, stem) for stem in ("region", "rack", "shard", "grown_shard", "slot"))
+    spot = free_name(kept, "spot")
     narrow = written(
         df.select(
             *keep,
-            at.alias("__at"),
-            grown["shard"].alias("grown_shard"),
-            F.spark_partition_id().alias("__part"),
-            F.monotonically_increasing_id().alias("__row"),
-        ).select("*", F.col("__at.*")).drop("__at")
+            at.alias(spot),
+            grown["shard"].alias(grown_shard),
+            F.spark_partition_id().alias(part),
+            F.monotonically_increasing_id().alias(row),
+        ).select("*", *[F.col(spot)[c].alias(n) for c, n in (("region", region), ("rack", rack), ("shard", shard))]).drop(spot)
     )
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        narrow.groupBy("shard", "__part")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+        narrow.groupBy(shard, part)
+        .agg(F.count(F.lit(1)).alias(i))
+        .select(shard, part, F.coalesce(F.sum(i).over(before), F.lit(0)).alias(start))
     )
-    within = Window.partitionBy("__part", "shard").orderBy("__row")
+    within = Window.partitionBy(part, shard).orderBy(row)
     return (
-        narrow.withColumn("__i", F.row_number().over(within))
-        .join(starts, ["__part", "shard"])
-        .withColumn("slot", (F.col("__start") + F.col("__i") - 1).cast("long"))
-        .drop("__part", "__row", "__start", "__i")
+        narrow.withColumn(i, F.row_number().over(within))
+        .join(starts, [part, shard])
+        .withColumn(slot, (F.col(start) + F.col(i) - 1).cast("long"))
+        .select(*kept.columns, region, rack, shard, grown_shard, slot)
     )
 
 
 def op1_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7 by the law `key`, and in the tree grown by a shard.
+
+    A null text has size 1 and the CRC-32 of an empty text; a null doc_id is a key like any other;
+    repeated rows have one shard and slots of their own; no rows give none.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
     out = assign_shards(

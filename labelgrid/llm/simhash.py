@@ -1,52 +1,64 @@
 """SimHash near-duplicates: a binary trie of fingerprints joined with itself.
 
-The top levels of the trie are split over the cluster: a cell is the subtree under a prefix, and
-pairs of cells whose prefixes differ in few enough bits are joined by one task each, which goes on
-down both subtrees with the differing bits so far. Only different fingerprints enter the trie, so
-copies cost nothing, and tasks return links that join what was not yet joined, never all pairs.
+Only different fingerprints enter the trie (trie.py), so copies cost nothing, and tasks return links
+that join what was not yet joined, never all pairs. Two forms: near_duplicate_components() links
+64-bit fingerprints within a few bits; similar_components() takes turns of a long fingerprint, of which
+some come close for any two texts as similar as asked, and checks what meets on whole shingle sets.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trie
 from .common import free_name, table, tune, written
 from .components import connected_components
 
 BITS = 64
-#: Node pairs expanded at once; more wait on a stack.
-BLOCK = 1 << 19
+#: Bits of a long fingerprint; bits of a turn that only the check reads; differing bits a turn's trie allows.
+LONG, CHECK, TURN_BUDGET = 512, 128, 2
+#: Share of pairs of the similarity asked that may share no turn.
+MISSED = 0.001
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash over shingles of width words, repeats included; 0 for a text without words."""
+def _shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[bytes]:
+    """XXH64 digests, big-endian and end to end, of the shingles of width words (A-Z in lower case), some at a time.
+
+    A text of fewer words is one shingle; a text without words has none.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
-        return 0
-    joined = b" ".join(words)
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield digest(joined, seed)
+        return
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes).tolist()
     ends = ends[width - 1 :].tolist()
-    digest = xxhash.xxh64_digest
-    counts = np.zeros(BITS, np.int64)
     for at in range(0, len(ends), 1 << 16):
-        raw = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])])
+        yield b"".join([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)])])
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash over shingles of width words, repeats included; 0 for a text without words."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for raw in _shingle_hashes(text, width, seed):
         bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big")
+        n += len(bits)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
 def with_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,131 +74,32 @@ def with_fingerprints(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-class _Forest:
-    """Union-find over 0..n-1 that keeps the links that joined something."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+def _pairs(rows: dict[str, np.ndarray], found, name: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches (u, v) of the column name at the pairs of rows found."""
+    for i, j in found:
+        yield pa.RecordBatch.from_arrays([pa.array(rows[name][i], kind), pa.array(rows[name][j], kind)], ["u", "v"])
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            r, s = self.root(x), self.root(y)
-            if r != s:
-                self.up[max(r, s)] = min(r, s)
-                self.links.append((x, y))
 
-    def labels(self) -> np.ndarray:
-        return np.fromiter(map(self.root, range(len(self.up))), np.int64, len(self.up))
-
-
-def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: int) -> np.ndarray:
-    """Links (rows of two fingerprints) that connect all pairs within budget differing bits below depth.
+def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of fp within max_bits differing bits.
 
-    left, right: sorted different uint64 fingerprints, each with one prefix of depth bits; right is
-    None to join left with itself. A trie node is a run of the sorted array. Pairs of nodes go down
-    level by level: each splits by its next bit, a pair of unlike bits costs one, and pairs over
-    budget end there. Pairs of nodes that are one component already end too.
+    fps holds different fingerprints fp, signed longs without nulls; an empty table gives no links.
     """
-    own = right is None
-    keys = left if own else np.concatenate([left, right])
-    n = len(keys)
-    forest = _Forest(n)
-    ones: dict[int, np.ndarray] = {}
-
-    def ones_before(level: int) -> np.ndarray:
-        if level not in ones:
-            bit = (keys >> np.uint64(BITS - 1 - level)) & np.uint64(1)
-            ones[level] = np.concatenate([[0], np.cumsum(bit.astype(np.int32))]).astype(np.int32)
-        return ones[level]
-
-    start = np.array([[0, len(left), 0, len(left)] if own else [0, len(left), len(left), n]], np.int32).T
-    stack = [(depth, *start, np.zeros(1, np.int8))]
-    change, linked = None, 0
-    while stack:
-        level, a0, a1, b0, b1, err = stack.pop()
-        if len(a0) > BLOCK:
-            half = len(a0) // 2
-            stack += [(level, a0[half:], a1[half:], b0[half:], b1[half:], err[half:]), (level, a0[:half], a1[:half], b0[:half], b1[:half], err[:half])]
-            continue
-        if len(stack) and len(forest.links) > linked:
-            linked = len(forest.links)
-            labels = forest.labels()
-            change = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
-        if change is not None:
-            joined = (labels[a0] == labels[b0]) & (change[a1 - 1] == change[a0]) & (change[b1 - 1] == change[b0])
-            if joined.any():
-                a0, a1, b0, b1, err = (x[~joined] for x in (a0, a1, b0, b1, err))
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
-        if leaf.any():
-            i, j = a0[leaf], b0[leaf]
-            near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget + _shared(keys, i, j, depth)) & (i != j)
-            forest.join(i[near], j[near])
-            a0, a1, b0, b1, err = (x[~leaf] for x in (a0, a1, b0, b1, err))
-        if not len(a0) or level == BITS:
-            continue
-        sums = ones_before(level)
-        am, bm = a1 - (sums[a1] - sums[a0]), b1 - (sums[b1] - sums[b0])
-        same = (a0 == b0) & (a1 == b1)
-        parts = []
-        for la, ra, lb, rb, cost in ((a0, am, b0, bm, 0), (am, a1, bm, b1, 0), (a0, am, bm, b1, 1), (am, a1, b0, bm, 1)):
-            keep = (ra > la) & (rb > lb) & (err + cost <= budget)
-            if cost and lb is b0:
-                keep &= ~same  # the mirror image of the pair before
-            parts.append((la[keep], ra[keep], lb[keep], rb[keep], err[keep] + np.int8(cost)))
-        merged = [np.concatenate(x) for x in zip(*parts)]
-        if len(merged[0]):
-            stack.append((level + 1, *merged))
-    if not forest.links:
-        return np.empty((0, 2), np.uint64)
-    return keys[np.array(forest.links, np.int64)]
-
-
-def _shared(keys: np.ndarray, i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
-    """Bits above depth in which the keys differ; they are not part of this traversal's budget."""
-    if not depth:
-        return np.zeros(len(i), np.uint8)
-    return np.bitwise_count((keys[i] ^ keys[j]) >> np.uint64(BITS - depth))
-
-
-def cell_bits(n: int) -> int:
-    """Prefix length of a cell: at most about 2^16 fingerprints in each, and no less than 6 bits."""
-    return min(24, max(6, math.ceil(math.log2(max(n, 1) / (1 << 16))))) if n else 6
+    tune(fps.sparkSession)
 
+    def links(rows: DataFrame, width: int) -> DataFrame:
+        def key(rows):
+            return rows["rest"].view(np.uint64) << np.uint64(BITS - width)
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of fp within max_bits differing bits."""
-    spark = fps.sparkSession
-    tune(spark)
-    bits = cell_bits(fps.count())
-    masks = [sum(1 << k for k in c) for r in range(max_bits + 1) for c in combinations(range(bits), r)]
-    cell = F.shiftrightunsigned("fp", BITS - bits)
-    paired = (
-        fps.select("fp", cell.alias("cell"))
-        .withColumn("other", F.explode(F.transform(F.lit(masks), lambda m: F.col("cell").bitwiseXOR(m.cast("long")))))
-        .select(F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "fp")
-    )
+        def found(rows, keys, bounds):
+            fp = rows["fp"].view(np.uint64)
+            near = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
+            yield from _pairs(rows, trie.walk(keys, bounds, width, [max_bits] * (width + 1), near), "fp", pa.int64())
 
-    def join(t: pa.Table) -> pa.Table:
-        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        keys = np.sort(t.column("fp").to_numpy().astype(np.int64).view(np.uint64))
-        if low == high:
-            links = trie_links(keys, None, bits, max_bits)
-        else:
-            cut = np.searchsorted(keys, np.uint64(high << (BITS - bits)))
-            budget = max_bits - (low ^ high).bit_count()
-            links = trie_links(keys[:cut], keys[cut:], bits, budget) if 0 < cut < len(keys) else np.empty((0, 2), np.uint64)
-        links = links.view(np.int64)
-        return pa.table({"u": pa.array(links[:, 0]), "v": pa.array(links[:, 1])})
+        return trie.over_cells(rows.drop("id"), key, found, "u long, v long")
 
-    return paired.groupBy("low", "high").applyInArrow(join, "u long, v long")
+    whole = fps.select(F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest"), "fp", F.col("fp").alias("id"))
+    return functools.reduce(DataFrame.unionByName, [links(*part) for part in trie.in_cells(whole, BITS, max_bits)])
 
 
 def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, max_bits: int = 3) -> DataFrame:
@@ -207,18 +120,207 @@ def near_duplicate_components(df: DataFrame, id_col: str, text_col: str, max_bit
     return rows.join(by_fp, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_bits: int = 3) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate component, with all its columns.
+# By similarity
 
-    Rows without a doc_id cannot be told apart and stay; rows that repeat the doc_id kept stay too.
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted different 64-bit hashes of the shingles of width words; a shorter text is one, a blank one none."""
+    return np.unique(np.frombuffer(b"".join(_shingle_hashes(text, width, 42)), ">u8").astype(np.uint64))
+
+
+_ODD = np.random.default_rng(5).integers(0, 2**64, LONG // 64, np.uint64) | np.uint64(1)
+
+
+def long_fingerprint(found: np.ndarray) -> bytes:
+    """LONG-bit SimHash of a set of hashes: each is stretched to LONG bits, a bit is 1 if set in over half."""
+    counts = np.zeros(LONG, np.int64)
+    for at in range(0, len(found), 255):  # sums of 255 bits fit a byte
+        x = found[at : at + 255, None] * _ODD
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(found)).tobytes()
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of the SimHashes of two sets of one size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def turns(n: int, similarity: float) -> tuple[int, int]:
+    """(bits a turn's trie has, number of turns) for n fingerprints.
+
+    Bits grow with log2(n), so unlike texts meet no more often in a larger table; turns are as many as
+    keep a pair of this similarity from missing all of them in all but MISSED of cases.
+    """
+    bits = min(64, max(18, math.ceil(math.log2(max(n, 1))) + 6))
+    p = differing_share(similarity)
+    met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(TURN_BUDGET + 1))
+    return bits, max(1, math.ceil(math.log(MISSED) / math.log1p(-met))) if met < 1 else 1
+
+
+def _bound(bits: int, similarity: float) -> int:
+    """Differing bits among bits that only one in some 30,000 pairs of this similarity exceeds."""
+    p = differing_share(similarity)
+    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+
+
+def _node(found: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def _signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc, node, bits): node is a digest of the shingle set, so equal sets are one node; bits its long fingerprint."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(_node, sets), pa.binary()), pa.array(map(long_fingerprint, sets), pa.binary())],
+                ["doc", "node", "bits"],
+            )
+
+    return docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, f"doc {kind}, node binary, bits binary")
+
+
+def _turned(nodes: DataFrame, bits: int, n_turns: int) -> DataFrame:
+    """A row for each turn of each node's fingerprint: cell (the turn), rest (its first bits), c0, c1 (those after), id, label.
+
+    A turn is a fixed order of the fingerprint's bits.
+    """
+    orders = np.argsort(np.random.default_rng(11).random((n_turns, LONG)), axis=1)[:, : bits + CHECK]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            raw = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1)
+            for t, order in enumerate(orders):
+                turned = np.zeros((n, 64 + CHECK), np.uint8)
+                turned[:, 64 - bits : 64], turned[:, 64:] = raw[:, order[:bits]], raw[:, order[bits:]]
+                words = np.packbits(turned, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, t, np.int64)), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(3)], batch.column(0), batch.column(2)],
+                    ["cell", "rest", "c0", "c1", "id", "label"],
+                )
+
+    return nodes.select("id", "bits", "label").mapInArrow(run, "cell long, rest long, c0 long, c1 long, id long, label long")
+
+
+def candidate_links(nodes: DataFrame, similarity: float, all_pairs: bool) -> DataFrame:
+    """(u, v) of ids of nodes (id, bits, label) that come close in some turn.
+
+    With all_pairs all such pairs of unlike labels, else as many as join the same components.
+    """
+    bits, n_turns = turns(nodes.count(), similarity)
+    most = _bound(CHECK, similarity)
+
+    def links(rows: DataFrame, width: int) -> DataFrame:
+        budgets = [TURN_BUDGET] * (width + 1) + [TURN_BUDGET + _bound(k, similarity) for k in range(1, 64 - width + 1)]
+
+        def key(rows):
+            return rows["rest"].view(np.uint64) << np.uint64(64 - width) | rows["c0"].view(np.uint64) >> np.uint64(width)
+
+        def found(rows, keys, bounds):
+            c0, c1 = rows["c0"].view(np.uint64), rows["c1"].view(np.uint64)
+            near = lambda i, j: np.bitwise_count(c0[i] ^ c0[j]) + np.bitwise_count(c1[i] ^ c1[j]) <= most
+            pairs = trie.walk(keys, bounds, 64, budgets, near, rows["label"] if all_pairs else None, all_pairs)
+            yield from _pairs(rows, pairs, "id", pa.int64())
+
+        return trie.over_cells(rows, key, found, "u long, v long")
+
+    rows = _turned(nodes, bits, n_turns)
+    found = functools.reduce(DataFrame.unionByName, [links(*part) for part in trie.in_cells(rows, bits, TURN_BUDGET)])
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets, read from a document of each node, are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
+            own = [(i, s.view(np.int64)) for i, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets) if n == _node(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in own], pa.int64()), pa.array([s for _, s in own], pa.list_(pa.int64()))], ["id", "found"]
+            )
+
+    wanted = written(
+        pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(nodes.select("id", "node", "least"), "id")
+    )
+    # Rows that share a doc_id may have other texts; a node is read from one that has its set.
+    met = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("least"))
+    sets = written(met.select("id", "node", "text").mapInArrow(run, "id long, found array<long>").dropDuplicates(["id"]))
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("found").alias("x")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("found").alias("y")), "v"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared) - 1e-9).select("u", "v")
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc, component_id): the smallest doc_id among documents linked by a Jaccard similarity of at least similarity.
+
+    Compared are the sets of shingles of width words. Equal sets are one node of the trie. Candidates
+    that join its components are checked first; where some fail the check, all further candidates
+    between the parts of that component are checked too, so every candidate pair is joined or was
+    compared. Texts without words are one set, unlike all others; rows without a doc_id are left out;
+    repeated rows give equal rows; an empty table gives none.
     """
-    found = near_duplicate_components(docs, "doc_id", "text", max_bits)
+    tune(docs.sparkSession)
+    docs = docs.where(F.col("doc_id").isNotNull())
+    rows = written(_signatures(docs, width))
+    nodes = written(
+        rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bits").alias("bits")).withColumn("id", F.monotonically_increasing_id())
+    )
+    first = written(candidate_links(nodes.withColumn("label", F.col("id")), similarity, all_pairs=False))
+    near = written(_similar(first, nodes, docs, width, similarity))
+    labels = written(connected_components(near))
+    if near.count() < first.count():
+        loose = written(connected_components(first)).withColumnRenamed("component", "loose")
+        parts = loose.join(labels, "node", "left").select("node", "loose", F.coalesce("component", "node").alias("label"))
+        torn = written(parts.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose"))
+        again = written(parts.join(torn, "loose").select(F.col("node").alias("id"), "label").join(nodes.select("id", "bits"), "id"))
+        rest = written(candidate_links(again, similarity, all_pairs=True).join(first, ["u", "v"], "left_anti"))
+        labels = written(connected_components(near.unionByName(_similar(rest, nodes, docs, width, similarity))))
+    own = nodes.join(labels, nodes["id"] == labels["node"], "left").select(nodes["node"], "least", F.coalesce("component", "id").alias("component"))
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_node = written(own.join(least, "component").select("node", "component_id"))
+    return rows.select("doc", "node").join(by_node, "node").select(F.col("doc").alias("id"), "component_id")
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     mark = free_name(docs, "gone")
     gone = written(found.where("id > component_id").select(F.col("id").alias(mark)).distinct())
     return docs.join(gone, docs["doc_id"] == F.col(mark), "left_anti")
 
 
+def drop_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document of smallest doc_id of each component of similar_components(), with all its columns.
+
+    Rows without a doc_id cannot be told apart and stay; rows that repeat the doc_id kept stay too.
+    """
+    return _first_of_each(docs, similar_components(docs, width, similarity))
+
+
+def drop_near_duplicates(docs: DataFrame, max_bits: int = 3) -> DataFrame:
+    """The document of smallest doc_id of each component of near_duplicate_components(), with all its columns.
+
+    Rows without a doc_id cannot be told apart and stay; rows that repeat the doc_id kept stay too.
+    """
+    return _first_of_each(docs, near_duplicate_components(docs, "doc_id", "text", max_bits))
+
+
 def op2_trie_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document.
+
+    Null, empty and blank texts have fingerprint zero and are linked like any other; a null doc_id is
+    never a component_id unless its whole component lacks ids; repeated rows give equal rows.
+    """
     found = near_duplicate_components(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
