@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm import line_dedup, packing, pii, quality_rules, similar
+from labelgrid.llm import line_dedup, packing, pii, quality_rules, simhash
 from labelgrid.llm.common import WHITE_CLASS, table, written
 
 
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group linked by similarity 0.8 or more of 5-word shingles."""
-    return similar.drop_near_duplicates(docs)
+    return simhash.drop_similar(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: MinHash, the tagger and the tokenizer have no SQL form; tests/llm holds run() against brute force.
+#: Fingerprints, the tagger and the tokenizer have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
