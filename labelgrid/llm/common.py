@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,16 @@ def free_name(df: DataFrame, stem: str) -> str:
 def own_name(df: DataFrame, stem: str) -> str:
     """stem as the name of a column to add to df, or a free form of it if df has one of that name."""
     return free_name(df, stem) if stem.lower() in {c.lower() for c in df.columns} else stem
+
+
+def in_groups(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
+    """Runs of texts of at most `most` characters together, or of one longer text."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t) > most:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group

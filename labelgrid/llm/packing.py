@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table, tune, written
+from .common import in_groups, table, tune, written
 
 #: Open windows per partition, and input partitions whose leftovers are merged together.
 OPEN_WINDOWS = 16
@@ -94,19 +94,6 @@ class WordIds:
         return [self._plain(t) if p is None else b"".join(map(known, p)) for t, p in zip(texts, parts)]
 
 
-def in_groups(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
-    """Runs of texts of at most `most` characters together, or of one longer text."""
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t) > most:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    if group:
-        yield group
-
-
 _LOADED: dict[int, WordIds] = {}
 
 

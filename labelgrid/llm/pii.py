@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tagger
-from .common import table, tune
+from .common import in_groups, table, tune
 from .tagger import KINDS
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -25,12 +25,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CLUE = re.compile(r"[0-9@]")
-_PHONE_LOOSE = re.compile(r"\+?[0-9(][\x20().0-9-]+[0-9]")
+_PHONE_LOOSE = re.compile(r"\+?[0-9(][\x20()./0-9-]+[0-9]")
 
-#: Windows of WIDTH characters, STEP apart; each decides on the STEP characters in its middle.
-WIDTH, STEP = 128, 64
+#: Windows of WIDTH characters, STEP apart: they overlap by WIDTH - STEP.
+WIDTH, STEP = 160, 128
 _EDGE = (WIDTH - STEP) // 2
+#: Windows scored together, and so what is held of a text's scores at once; runs decoded together.
 _BLOCK = 1024
+#: Weights of a window's scores where windows overlap: a window knows least at its edges.
+_TAPER = np.minimum(1, np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)) / (WIDTH - STEP + 1)).astype(np.float32)
 
 
 def _byte(part: str) -> bool:
@@ -87,82 +90,139 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def window_starts(text: str) -> np.ndarray:
-    """Starts (as multiples of STEP, less the edge) of the windows that may hold part of a span.
+def text_scores(texts: list[str], parameters: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs (places, scores) of the texts laid end to end, each text after _EDGE places of padding and before as many.
 
-    A span has a digit or an @ and the tagger looks at most STEP characters to either side of one,
-    so windows without such a neighbour would be decoded as outside and are left out.
+    Windows cover every character, and where they overlap their scores are averaged by _TAPER. Runs
+    follow one another; no more than about _BLOCK windows are held, however long a text is.
     """
-    clues = np.fromiter((m.start() for m in _CLUE.finditer(text)), np.int64)
-    if not len(clues):
-        return clues
-    middle = np.unique(clues // STEP)
-    middle = np.unique(np.concatenate([middle - 1, middle, middle + 1]))
-    return middle[(middle >= 0) & (middle * STEP < len(text))] * STEP - _EDGE
-
-
-def tag_texts(texts: list[str], parameters: dict) -> list[dict[int, np.ndarray]]:
-    """For each text: tags of the middle STEP characters of its windows, by their start."""
-    views, owners = [], []
-    for k, text in enumerate(texts):
-        starts = window_starts(text)
-        if not len(starts):
-            continue
-        padded = np.concatenate([np.zeros(_EDGE, np.int8), tagger.classes(text), np.zeros(WIDTH, np.int8)])
-        for s in starts.tolist():
-            views.append(padded[s + _EDGE : s + _EDGE + WIDTH])
-            owners.append((k, s + _EDGE))
-    out: list[dict[int, np.ndarray]] = [{} for _ in texts]
-    for at in range(0, len(views), _BLOCK):
-        tags = tagger.decode(np.stack(views[at : at + _BLOCK]), parameters)
-        for (k, start), row in zip(owners[at : at + _BLOCK], tags):
-            out[k][start] = row[_EDGE : _EDGE + STEP]
+    pad = np.zeros(_EDGE, np.int8)
+    x = np.concatenate([a for t in texts for a in (pad, tagger.classes(t), pad)])
+    n_windows = max(1, -(-(len(x) - WIDTH) // STEP) + 1)
+    x = np.concatenate([x, np.zeros((n_windows - 1) * STEP + WIDTH - len(x), np.int8)])
+    views = np.lib.stride_tricks.sliding_window_view(x, WIDTH)[::STEP]
+    weight = np.zeros(WIDTH - STEP, np.float32)  # of what the windows before have given to the places they share
+    given = np.zeros((WIDTH - STEP, tagger.N_TAGS), np.float32)
+    for at in range(0, n_windows, _BLOCK):
+        e = tagger.scores(views[at : at + _BLOCK], parameters)
+        n = len(e)
+        total = np.zeros(((n - 1) * STEP + WIDTH, tagger.N_TAGS), np.float32)
+        weights = np.zeros(len(total), np.float32)
+        total[: WIDTH - STEP], weights[: WIDTH - STEP] = given, weight
+        e = e * _TAPER[:, None]
+        total[: n * STEP] += e[:, :STEP].reshape(-1, tagger.N_TAGS)
+        weights[: n * STEP] += np.tile(_TAPER[:STEP], n)
+        tail = np.arange(n)[:, None] * STEP + np.arange(STEP, WIDTH)
+        total[tail] += e[:, STEP:]
+        weights[tail] += _TAPER[STEP:]
+        done = len(total) if at + n == n_windows else n * STEP
+        given, weight = total[n * STEP :], weights[n * STEP :]
+        yield at * STEP, total[:done] / weights[:done, None]
+
+
+def decoded(texts: list[str], parameters: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(places, tags): the tags that are not outside on the best path over each whole text.
+
+    Places count over the texts laid end to end as in text_scores(). Where outside leads by far for
+    long enough the path is certain (tagger.certainty); only the stretches between are decoded, which
+    gives the path that decoding every place would.
+    """
+    lead, reach = tagger.certainty(parameters)
+    held: list[tuple[int, np.ndarray]] = []  # (start, scores) of stretches that may hold a span
+    tail = np.empty((0, tagger.N_TAGS), np.float32)
+    for start, e in text_scores(texts, parameters):
+        e = np.concatenate([tail, e])
+        start -= len(tail)
+        doubt = np.flatnonzero(e[:, 0] - e[:, 1:].max(axis=1) < lead)
+        edges = np.flatnonzero(np.diff(doubt) > 2 * reach) if len(doubt) else doubt
+        firsts, lasts = (doubt[np.concatenate([[0], edges + 1])], doubt[np.concatenate([edges, [-1]])]) if len(doubt) else (doubt, doubt)
+        for a, b in zip(firsts.tolist(), lasts.tolist()):
+            a, b = max(0, a - reach), min(len(e), b + reach + 1)
+            held.append((start + a, e[a:b].copy()))
+        tail = e[max(0, len(e) - 2 * reach) :]
+    return _paths(_joined(held), tagger.transitions(parameters))
+
+
+def _joined(held: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Stretches in order, those that meet or overlap made one."""
+    out: list[tuple[int, np.ndarray]] = []
+    for start, e in held:
+        if out and start <= out[-1][0] + len(out[-1][1]):
+            first, before = out[-1]
+            out[-1] = (first, np.concatenate([before[: start - first], e]) if start + len(e) > first + len(before) else before)
+        else:
+            out.append((start, e))
+    return out
+
+
+def _paths(stretches: list[tuple[int, np.ndarray]], move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    stretches.sort(key=lambda s: len(s[1]))
+    places, tags = [np.empty(0, np.int64)], [np.empty(0, np.int8)]
+    for at in range(0, len(stretches), _BLOCK):
+        some = stretches[at : at + _BLOCK]
+        longest = len(some[-1][1])
+        e = np.zeros((len(some), longest, tagger.N_TAGS), np.float32)
+        e[:, :, 0] = 1e3  # behind a stretch's end all is outside
+        for k, (_, own) in enumerate(some):
+            e[k, : len(own)] = own
+        found = tagger.best_path(e, move)
+        k, i = np.nonzero(found)
+        places.append(np.array([s for s, _ in some])[k] + i)
+        tags.append(found[k, i])
+    places, tags = np.concatenate(places), np.concatenate(tags)
+    order = np.argsort(places, kind="stable")
+    return places[order], tags[order]
+
+
+def tagged_spans(texts: list[str], parameters: dict) -> list[list[Span]]:
+    """For each text the spans that the tagger finds in it, by start."""
+    places, tags = decoded(texts, parameters) if texts else (np.empty(0, np.int64), np.empty(0, np.int8))
+    out: list[list[Span]] = []
+    at = 0
+    for text in texts:
+        a, b = np.searchsorted(places, [at, at + len(text) + 2 * _EDGE])
+        out.append(_spans((places[a:b] - at - _EDGE).tolist(), tags[a:b].tolist(), len(text)))
+        at += len(text) + 2 * _EDGE
     return out
 
 
-def reconcile(pieces: dict[int, np.ndarray]) -> list[Span]:
-    """Spans over the joined middles of windows. A span runs on over a border if its kind does."""
+def _spans(places: list[int], tags: list[int], size: int) -> list[Span]:
+    """Spans of the tags at these places: an inner tag goes on with the span of its kind just before it."""
     spans: list[Span] = []
-    kind, start, end = -1, 0, -1
-    for at in sorted(pieces):
-        tags = pieces[at]
-        for i in np.flatnonzero(tags).tolist():
-            tag, pos = int(tags[i]), at + i
-            k = (tag - 1) // 2
-            if kind == k and pos == end and tag % 2 == 0:
-                end += 1
-                continue
-            if kind >= 0:
-                spans.append((start, kind, end))
-            kind, start, end = k, pos, pos + 1
-    if kind >= 0:
-        spans.append((start, kind, end))
-    return spans
+    for place, tag in zip(places, tags):
+        kind = (tag - 1) // 2
+        if tag % 2 == 0 and spans and spans[-1][1] == kind and spans[-1][2] == place:
+            spans[-1] = (spans[-1][0], kind, place + 1)
+        else:
+            spans.append((place, kind, place + 1))
+    return [(max(a, 0), k, min(b, size)) for a, k, b in spans if b > 0 and a < size]
 
 
 def _good(kind: int, s: str) -> bool:
-    """The exact check of a tagged span."""
+    """Whether a tagged string can be what its tag says, though the base pattern did not take it.
+
+    An address may lack a dot or have letters the pattern does not know; an IP or a card number may stand among other
+    digits, with which the pattern took it and let it go; a phone number may lack the plus sign.
+    """
     if kind == 0:
-        return _EMAIL.fullmatch(s) is not None
+        return s.count("@") == 1 and 0 < s.index("@") < len(s) - 1 and not any(map(str.isspace, s))
     if kind == 1:
         return _IP.fullmatch(s) is not None and is_ip(s)
     if kind == 2:
         return _CARD.fullmatch(s) is not None and is_card(s)
-    return _PHONE_LOOSE.fullmatch(s) is not None and is_phone(s) and (s[0] == "+" or 10 <= len(_digits(s)) <= 11)
+    return _PHONE_LOOSE.fullmatch(s) is not None and (is_phone(s) if s[0] == "+" else 10 <= len(_digits(s)) <= 11)
 
 
-def added_spans(text: str, pieces: dict[int, np.ndarray], base: list[Span]) -> list[Span]:
-    """Tagged spans, grown to the edges of their words, that pass the exact check and meet no base span."""
-    if not pieces:
-        return []
+def added_spans(text: str, tagged: list[Span], base: list[Span]) -> list[Span]:
+    """Tagged spans, grown to the edges of their words, that pass _good() and meet no base span."""
     held = sorted((a, b) for a, _, b in base)
     out: list[Span] = []
-    for start, kind, end in reconcile(pieces):
-        end = min(end, len(text))
-        while start > 0 and text[start - 1].isalnum() and text[start].isalnum():
-            start -= 1
-        while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-            end += 1
+    for start, kind, end in tagged:
+        if kind in (0, 3):
+            while start > 0 and text[start - 1].isalnum() and text[start].isalnum():
+                start -= 1
+            while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+                end += 1
         while start < end and text[start].isspace():
             start += 1
         while end > start and (text[end - 1].isspace() or text[end - 1] in ".,;:"):
@@ -197,9 +257,10 @@ def _mapped(df: DataFrame, text_col: str, ddl: str, fields: list[pa.Field], row)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             made = []
-            for text, pieces in zip(texts, tag_texts(texts, parameters)):
-                base = base_spans(text)
-                made.append(row(text, base, sorted(base + added_spans(text, pieces, base))))
+            for group in in_groups(texts):
+                for text, tagged in zip(group, tagged_spans(group, parameters)):
+                    base = base_spans(text)
+                    made.append(row(text, base, sorted(base + added_spans(text, tagged, base))))
             columns = list(zip(*made)) if made else [()] * len(fields)
             extra = [pa.array(c, f.type) for c, f in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays(
@@ -242,5 +303,9 @@ def redact_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts of base spans, their digest and all spans.
+
+    Null and empty texts have no spans; a null doc_id is kept; repeated rows give equal rows; no rows give none.
+    """
     found = find_personal_data(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added")
