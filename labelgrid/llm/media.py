@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune, written
+from .common import free_name, table, tune, written
 
 #: Samples in a row of a stored picture; payloads are filled with zero bytes to whole rows.
 ROW = 64
+#: Digests that a storing task remembers, and documents on a page of document_pages().
+STORED = 100_000
+PER_PAGE = 8
 _SCHEME = "media:"
 _BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "th", "br", "hr", "blockquote", "pre", "figure", "header", "footer", "nav", "main", "aside", "title", "body", "html", "head"}
 _SILENT = {"script", "style", "template"}
@@ -62,26 +65,37 @@ def padded(text: Column) -> Column:
 def store_media(payloads: DataFrame) -> DataFrame:
     """payloads (payload) written as pictures: (digest, media), digest the payload's SHA-256.
 
-    A payload may be stored more than once; readers go by digest.
+    A task stores a payload once, as far as it remembers: STORED digests. Tasks don't know of one
+    another, so a payload may be stored by several; readers go by digest. To store it once in all,
+    every payload would have to be shuffled. Empty tables give empty stores; payloads are never null
+    and have a positive multiple of ROW bytes.
     """
     tune(payloads.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored: set[bytes] = set()
         for batch in batches:
-            raw = [p.as_py() for p in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([hashlib.sha256(p).hexdigest() for p in raw], pa.string()),
-                    pa.array([to_picture(p) for p in raw], pa.binary()),
-                ],
-                ["digest", "media"],
-            )
+            digests, pictures = [], []
+            for p in batch.column(0):
+                raw = p.as_py()
+                digest = hashlib.sha256(raw)
+                if digest.digest() in stored:
+                    continue
+                if len(stored) >= STORED:
+                    stored.clear()
+                stored.add(digest.digest())
+                digests.append(digest.hexdigest())
+                pictures.append(to_picture(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(pictures, pa.binary())], ["digest", "media"])
 
     return written(payloads.select("payload").mapInArrow(run, "digest string, media binary"))
 
 
 def read_media(store: DataFrame) -> DataFrame:
-    """One row per digest of a store: what the stored bytes hold, checked against the digest."""
+    """One row per digest of a store: what the stored bytes hold, checked against the digest.
+
+    Raises on a picture cut short or of another digest; an empty store gives no rows.
+    """
     tune(store.sparkSession)
     ddl = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -140,7 +154,7 @@ class _Reader(HTMLParser):
             size = named.get("data-bytes") or ""
             item = {
                 "kind": "media", "ref": src.removeprefix(_SCHEME) if src.startswith(_SCHEME) else src,
-                "caption": named.get("alt"), "n_bytes": int(size) if size.isdecimal() and len(size) < 19 else None,
+                "caption": named.get("alt"), "name": named.get("data-name"), "n_bytes": int(size) if size.isdecimal() and len(size) < 19 else None,
             }
             self.items.append(item)
             self._figure.append(item)
@@ -178,11 +192,11 @@ def parse_page(html: str | None) -> list[dict]:
     if reader._caption:  # a caption without an end is text
         reader._text += reader._caption
     reader.flush()
-    keys = ("kind", "text", "ref", "caption", "n_bytes")
+    keys = ("kind", "text", "ref", "caption", "name", "n_bytes")
     return [{"pos": k} | {x: item.get(x) for x in keys} for k, item in enumerate(reader.items)]
 
 
-_ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: string, n_bytes: bigint>"
+_ITEM = "struct<pos: int, kind: string, text: string, ref: string, caption: string, name: string, n_bytes: bigint>"
 
 
 def parse_sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -194,7 +208,7 @@ def parse_sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     tune(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     item = pa.list_(
-        pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("n_bytes", pa.int64())])
+        pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string()), ("name", pa.string()), ("n_bytes", pa.int64())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,14 +226,26 @@ def resolve_sequences(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """One row per item of each sequence, with media's columns for the references it resolves.
 
     media has one row per digest. Both sides of the join are exchanged by digest alone, so adaptive
-    execution can split a digest that many pages refer to. Unresolved references keep null columns;
-    position and caption stay with their item.
+    execution can split a digest that many pages refer to. Text items and unresolved references keep
+    null columns; position, name and caption stay with their item. A page without items has no rows;
+    sequences' own columns must not be called like an item's fields or media's columns.
     """
-    items = sequences.select("*", F.explode("sequence").alias("__item")).drop("sequence")
-    items = items.select(*[c for c in items.columns if c != "__item"], "__item.*")
+    item = free_name(sequences, "item")
+    items = sequences.select("*", F.explode("sequence").alias(item)).drop("sequence")
+    items = items.select(*[c for c in items.columns if c != item], f"{item}.*")
     return items.join(media, items["ref"] == media["digest"], "left").drop("digest")
 
 
+def interleaved(resolved: DataFrame, id_col: str) -> DataFrame:
+    """id_col and items: the rows of resolve_sequences() of each page as one array again, in order of position.
+
+    Texts and media alternate as on the page. A page is one group, as it was one document of HTML; pages
+    without an id are one page.
+    """
+    fields = ["pos", *[c for c in resolved.columns if c not in (id_col, "pos")]]
+    return resolved.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+
+
 def _escaped(c: Column) -> Column:
     c = F.coalesce(c.cast("string"), F.lit(""))
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -227,25 +253,42 @@ def _escaped(c: Column) -> Column:
     return c
 
 
-def document_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, html): a page for each document that shows its text as a picture, between its source and language."""
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    return docs.select(
-        "doc_id",
-        F.concat(
-            F.lit("<article><p>"), _escaped(F.col("source")), F.lit('</p><figure><img src="media:'), F.sha2(padded(F.col("text")), 256),
-            F.lit('" data-bytes="'), size.cast("string"), F.lit('"><figcaption>document '), _escaped(F.col("doc_id")),
-            F.lit("</figcaption></figure><p>"), _escaped(F.col("lang")), F.lit("</p></article>"),
-        ).alias("html"),
+def document_pages(docs: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
+    """(page, html): pages that show the texts of per_page documents each as pictures, between text.
+
+    Before a picture stands its document's source and after it its language, where docs has such
+    columns. The picture is named by doc_id (no name for a null one) and refers to the digest of the
+    padded text, so equal texts refer to one payload. Documents are put on pages in the order of
+    their rows; only digests and sizes are exchanged. A null text is an empty one; no rows give none.
+    """
+    kept = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
+    text = F.col("text")
+    index = written(
+        docs.select(
+            F.col("doc_id").cast("string").alias("name"), *kept, F.sha2(padded(text), 256).alias("digest"),
+            F.octet_length(F.coalesce(text, F.lit(""))).alias("size"), F.monotonically_increasing_id().alias("row"),
+        )
     )
+    part = F.concat(
+        F.lit("<section><p>"), _escaped(F.col("source")), F.lit('</p><figure><img src="media:'), F.col("digest"), F.lit('" data-bytes="'), F.col("size").cast("string"),
+        F.when(F.col("name").isNotNull(), F.concat(F.lit('" data-name="'), _escaped(F.col("name")))).otherwise(""),
+        F.lit('"><figcaption>document '), _escaped(F.col("name")), F.lit("</figcaption></figure><p>"), _escaped(F.col("lang")), F.lit("</p></section>"),
+    )
+    pages = index.groupBy(F.floor(F.col("row") / per_page).alias("page")).agg(F.array_sort(F.collect_list(F.struct("row", part.alias("part")))).alias("parts"))
+    return pages.select("page", F.concat(F.lit("<article>"), F.array_join("parts.part", ""), F.lit("</article>")).alias("html"))
 
 
 def op8_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored and reread payload of every document, found through the pages that refer to it.
+
+    A null text is an empty one, of 64 zero bytes; a null doc_id is kept; repeated rows give equal
+    values; no rows give none.
+    """
     docs = table(spark, sf_dir, "documents")
     store = store_media(docs.select(padded(F.col("text")).alias("payload")))
-    sequences = parse_sequences(document_pages(docs), "doc_id", "html")
+    sequences = parse_sequences(document_pages(docs), "page", "html")
     rows = resolve_sequences(sequences, written(read_media(store))).where(F.col("kind") == "media")
     return rows.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        F.col("pos").alias("position"), "caption",
+        F.col("name").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes",
+        "media_sha256", "feature", "page", F.col("pos").alias("position"), "caption",
     )

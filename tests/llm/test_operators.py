@@ -566,8 +566,11 @@ def test_tagger_gradients():
 
 def test_media_round_trip(docs, empty):
     store = media.store_media(docs.select(media.padded(F.col("text")).alias("payload")))
-    rows = media.resolve_sequences(media.parse_sequences(media.document_pages(docs), "doc_id", "html"), media.read_media(store))
-    got = by_id(rows.where("kind = 'media'"))
+    rows = media.resolve_sequences(media.parse_sequences(media.document_pages(docs, 4), "page", "html"), media.read_media(store))
+    got = collections.defaultdict(list)
+    for r in rows.where("kind = 'media'").collect():
+        got[int(r["name"])].append(r)
+    assert len(got[0]) == 2
     for i, t in enumerate(sample_texts()):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -575,8 +578,17 @@ def test_media_round_trip(docs, empty):
         for r in got[i]:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
             assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
-            assert r["feature"] == media.picture_feature(payload) and r["caption"] == f"document {i}" and r["pos"] == 1
-    assert media.parse_sequences(media.document_pages(empty), "doc_id", "html").count() == 0
+            assert r["feature"] == media.picture_feature(payload) and r["caption"] == f"document {i}"
+    # Through Spark: on each page texts and pictures alternate, in the order of the HTML, captions by their pictures.
+    pages = media.interleaved(rows, "page").collect()
+    assert sum(len(p["items"]) for p in pages) == 3 * docs.count() and max(len(p["items"]) for p in pages) == 12
+    for p in pages:
+        items = p["items"]
+        assert [x["pos"] for x in items] == list(range(len(items)))
+        assert [x["text"] or x["kind"] for x in items] == ["s", "media", "en"] * (len(items) // 3)
+        assert all(x["caption"] == f"document {x['name']}" and x["payload_bytes"] for x in items if x["kind"] == "media")
+    assert media.parse_sequences(media.document_pages(empty), "page", "html").count() == 0
+    assert store.count() < docs.count() or store.count() == store.select("digest").distinct().count()
 
 
 def test_pages_become_sequences_in_order():
@@ -611,6 +623,9 @@ def test_archive(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if own else ("revisit", first[raw]))
     assert payloads.count() == len(first)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("payloads_")]
+    plan = headers.hint("merge").join(payloads, "digest")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
     assert "\r\nEvil" not in headers.select(F.col("head").cast("string")).first()[0]
 
 
@@ -625,7 +640,46 @@ def test_archive_of_nothing_and_of_damage(spark):
     damaged = payloads.withColumn("payload", F.lit(b"abd"))
     with pytest.raises(Exception, match="differs from its header"):
         archive.read_records(archive.reconstruct(headers, damaged)).collect()
+    other = archive.reconstruct(headers, payloads).withColumn("digest", F.when(F.col("own"), F.lit("0" * 64)).otherwise(F.col("digest")))
+    with pytest.raises(Exception, match="differs from its key"):
+        archive.read_records(other).collect()
+    alone = archive.reconstruct(headers.where("NOT own"), payloads)
+    with pytest.raises(Exception, match="differs from the payload held"):
+        archive.read_records(alone).collect()
+
+
+def test_records_that_exist_come_back_byte_by_byte(spark):
+    head = "WARC/1.1\r\nWARC-Type: response\r\nX-Odd:  kept\tas is\r\nContent-Length: {n}\r\n\r\nHTTP/1.1 200 OK\r\nServer: é\r\n\r\n"
+    def record(body):
+        n = len("HTTP/1.1 200 OK\r\nServer: é\r\n\r\n".encode()) + len(body)
+        return head.format(n=n).encode() + body + b"\r\n\r\n"
+
+    given = {1: record(b"same"), 2: record(b"same"), 3: record(b""), 4: record(b"a\r\n\r\nb"), None: record(b"same")}
+    frame = spark.createDataFrame([*given.items(), (9, None)], "page_id long, record binary")
+    headers, payloads = archive.archive_records(frame)
+    assert payloads.count() == 2
+    got = {r["page_id"]: bytes(r["record"]) for r in archive.reconstruct(headers, payloads).collect()}
+    assert got == given
+
+
+def test_urls_keep_what_their_odd_bytes_were(spark):
+    pages = spark.createDataFrame([(1, "http://x/a b\r\n\x7fé", "t")], "page_id long, url string, html string")
+    headers, _ = archive.archive_pages(pages)
+    assert "WARC-Target-URI: http://x/a%20b%0D%0A%7Fé\r\n" in bytes(headers.first()["head"]).decode()
+
+
+def test_revisits_find_their_payload(spark):
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(["a", "b", "a", None, ""])], "page_id long, url string, html string")
+    got = {r["page_id"]: bytes(r["payload"]) for r in archive.payload_of_revisits(*archive.archive_pages(pages)).collect()}
+    assert got == {2: b"a", 4: b""}
 
 
 def test_unicode_tables_are_those_of_the_library():
     assert all(unicodedata.category(c) == "Cn" for c in bpe._unassigned())
+
+
+def test_buckets_grow_with_the_bytes(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x" * 1000) for i in range(40)], "page_id long, url string, html string")
+    assert archive.buckets_for(pages) == 4 == archive.buckets_for(pages.limit(0))
+    monkeypatch.setattr(archive, "BUCKET_BYTES", 4000)
+    assert archive.buckets_for(pages) == 10
