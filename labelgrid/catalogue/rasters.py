@@ -20,6 +20,16 @@ def image(spark, d):
     )
 
 
+# Many images of 40 by 40 pixels, as many as the table has room for.
+_IMAGES = """px AS (SELECT CAST(o_orderkey // 1600 AS INT) AS image, CAST(o_orderkey // 40 % 40 AS INT) AS row, CAST(o_orderkey % 40 AS INT) AS col, o_totalprice AS v,
+CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label, CAST((o_orderkey * 7 + o_custkey) % 3 AS INT) AS pred FROM orders)"""
+
+
+def images(spark, d):
+    px = image(spark, d)
+    return px.withColumn("image", F.floor(F.col("row") / 40).cast("int")).withColumn("row", F.col("row") % 40)
+
+
 _OFF = lambda r: f"(SELECT i.i, j.j FROM range(-{r}, {r} + 1) i(i), range(-{r}, {r} + 1) j(j))"
 
 
@@ -37,7 +47,7 @@ def w03_w04_focal_max_min(spark, d):
 @query(_focal(2, "min(b.label) AS eroded", "WHERE o.i * o.i + o.j * o.j <= 4"))
 def w06_disk_erosion(spark, d):
     px = image(spark, d).select("row", "col", "label")
-    return raster.focal(px, [], "label", raster.disk(2), F.min("v")).select("row", "col", F.col("label").alias("eroded"))
+    return raster.focal(px, [], "label", raster.disk(2), F.array_min).select("row", "col", F.col("label").alias("eroded"))
 
 
 @query(f"""WITH {_PX}, m AS (SELECT a.row, a.col, b.v FROM px a, {_OFF(2)} o LEFT JOIN px b ON b.row = a.row + o.i AND b.col = a.col + o.j)
@@ -129,48 +139,87 @@ def _starts(size, tile):
     return ", ".join(map(str, raster.tile_starts(size, tile)))
 
 
-@query(f"""WITH {_PX}, r AS (SELECT s, row_number() OVER () - 1 AS k FROM (SELECT unnest([{_starts(36, 16)}]) AS s)), c AS (SELECT s, row_number() OVER () - 1 AS k FROM (SELECT unnest([{_starts(40, 16)}]) AS s))
-SELECT CAST(r.k * {len(raster.tile_starts(40, 16))} + c.k AS INT) AS tile_no, count(*) AS pixels, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS ones, round(avg(v), 4) AS mean
-FROM px, r, c WHERE row >= r.s AND row < r.s + 16 AND col >= c.s AND col < c.s + 16 GROUP BY 1 HAVING sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) <> 0""")
+@query(f"""WITH {_IMAGES}, r AS (SELECT s, row_number() OVER () - 1 AS k FROM (SELECT unnest([{_starts(40, 16)}]) AS s)), c AS (SELECT s, row_number() OVER () - 1 AS k FROM (SELECT unnest([{_starts(40, 16)}]) AS s))
+SELECT image, CAST(r.k * {len(raster.tile_starts(40, 16))} + c.k AS INT) AS tile_no, count(*) AS pixels, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS ones, round(avg(v), 4) AS mean
+FROM px, r, c WHERE row >= r.s AND row < r.s + 16 AND col >= c.s AND col < c.s + 16 GROUP BY 1, 2 HAVING sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) <> 0""")
 def w09_f13_training_tiles(spark, d):
-    t = raster.tiled(image(spark, d), 36, 40, 16).groupBy("tile_no").agg(
+    t = raster.tiled(images(spark, d), 40, 40, 16).groupBy("image", "tile_no").agg(
         F.count(F.lit(1)).alias("pixels"), F.sum((F.col("label") == 1).cast("int")).alias("ones"), F.round(F.avg("v"), 4).alias("mean")
     )
-    return t.where("ones <> 0").select(F.col("tile_no").cast("int").alias("tile_no"), "pixels", "ones", "mean")
+    return t.where("ones <> 0").select("image", F.col("tile_no").cast("int").alias("tile_no"), "pixels", "ones", "mean")
 
 
-@query(f"""WITH {_PX}, s AS (SELECT row, col, v, pr.pr AS pr, pc.pc AS pc, row - pr.pr * 12 AS i, col - pc.pc * 12 AS j FROM px, range(3) pr(pr), range(3) pc(pc)
-WHERE row < 40 AND row >= pr.pr * 12 AND row < pr.pr * 12 + 16 AND col >= pc.pc * 12 AND col < pc.pc * 12 + 16),
+@query(f"""WITH {_IMAGES}, s AS (SELECT image, row, col, v, pr.pr AS pr, pc.pc AS pc, row - pr.pr * 12 AS i, col - pc.pc * 12 AS j FROM px, range(3) pr(pr), range(3) pc(pc)
+WHERE row >= pr.pr * 12 AND row < pr.pr * 12 + 16 AND col >= pc.pc * 12 AND col < pc.pc * 12 + 16),
 w AS (SELECT *, CASE WHEN i >= 12 THEN 1 - (i - 11) * 0.2 ELSE 1 END * CASE WHEN i <= 3 THEN 1 - (4 - i) * 0.2 ELSE 1 END *
 CASE WHEN j >= 12 THEN 1 - (j - 11) * 0.2 ELSE 1 END * CASE WHEN j <= 3 THEN 1 - (4 - j) * 0.2 ELSE 1 END AS w FROM s)
-SELECT row, col, round(sum(w * (v + 100 * pr + 10 * pc)) / sum(w), 4) AS v FROM w GROUP BY row, col""")
+SELECT image, row, col, round(sum(w * (v + 100 * pr + 10 * pc)) / sum(w), 4) AS v FROM w GROUP BY image, row, col""")
 def w10_tapered_blend(spark, d):
-    px = image(spark, d).where("row < 40")
-    p = raster.in_patches(px, 40, 40, 16, 12).withColumn("v", F.col("v") + 100 * F.col("pr") + 10 * F.col("pc"))
-    return raster.blended(p, [], "v", 16, 12).select("row", "col", F.round("v", 4).alias("v"))
+    p = raster.in_patches(images(spark, d), 40, 40, 16, 12).withColumn("v", F.col("v") + 100 * F.col("pr") + 10 * F.col("pc"))
+    return raster.blended(p, ["image"], "v", 16, 12).select("image", "row", "col", F.round("v", 4).alias("v"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_IMAGES}, p AS (SELECT image, row, col, label, row * 40 + col AS k FROM px),
+e AS (SELECT a.image, a.k, b.k AS next FROM p a, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(i, j) JOIN p b ON b.image = a.image AND b.row = a.row + o.i AND b.col = a.col + o.j AND b.label = a.label),
+reach AS (SELECT image, k, k AS seen FROM p UNION SELECT r.image, r.k, e.next FROM reach r JOIN e ON e.image = r.image AND e.k = r.seen)
+SELECT p.image, p.row, p.col, p.label, CAST(min(seen) AS BIGINT) AS region FROM p JOIN reach ON reach.image = p.image AND reach.k = p.k GROUP BY 1, 2, 3, 4""")
 def w11_regions(spark, d):
-    """Connected regions of equal label; held to a flood fill in the tests."""
-    px = image(spark, d).where("row < 30")
-    return components.regions(px.select("image", "row", "col", "label"), ["image"], "label", 30, 40).select("row", "col", "label", "region")
+    """Connected regions of equal label; held to a flood fill in the tests too."""
+    px = images(spark, d).select("image", "row", "col", "label")
+    return components.regions(px, ["image"], "label", 40, 40)
+
+
+def _crf_input(px):
+    probs = F.array(*[F.when(F.col("label") == k, 0.8).otherwise(0.1) for k in range(3)])
+    return px.select("image", "row", "col", probs.alias("probs"), F.array(F.col("v") / 10000).alias("features"))
 
 
 @query()
 def m01_small_crf(spark, d):
     """Exact mean-field on tiles of 10 by 10 pixels; held to a direct computation in the tests."""
-    px = image(spark, d)
     tile = F.floor(F.col("row") / 10) * 4 + F.floor(F.col("col") / 10)
-    probs = F.array(*[F.when(F.col("label") == k, 0.8).otherwise(0.1) for k in range(3)])
-    return small_crf.refined(
-        px.select(tile.alias("tile"), "row", "col", probs.alias("probs"), F.array(F.col("v") / 10000).alias("features")), "tile", 3
-    ).select("tile", "row", "col", "label", r6("prob").alias("prob"))
+    tiles = _crf_input(image(spark, d)).withColumn("tile", tile)
+    return small_crf.refined(tiles, "tile", 3).select("tile", "row", "col", "label", r6("prob").alias("prob"))
+
+
+@query()
+def m02_crf_in_patches(spark, d):
+    """Mean-field on overlapping patches of images, blended; held to a direct computation in the tests."""
+    out = small_crf.refined_in_patches(_crf_input(images(spark, d)), ["image"], 40, 40, 3, 16, 12)
+    return out.select("image", "row", "col", "label", r6("prob").alias("prob"))
 
 
-@query("""WITH t AS (SELECT CAST(l_quantity AS INT) AS px, l_linestatus AS img, arg_min(CAST(l_suppkey % 9 AS INT), struct_pack(a := l_extendedprice, b := l_orderkey, c := l_linenumber, d := l_suppkey)) AS label FROM lineitem GROUP BY 1, 2) SELECT * FROM t""")
+@query("""WITH t AS (SELECT CAST(l_quantity AS INT) AS px, l_linestatus AS img, arg_min(CAST(l_suppkey % 9 AS INT), struct_pack(a := l_extendedprice, b := l_orderkey, c := l_linenumber, d := l_suppkey)) + 1 AS label FROM lineitem GROUP BY 1, 2),
+g AS (SELECT img, CAST(p AS INT) AS px FROM (SELECT DISTINCT l_linestatus AS img FROM lineitem), range(0, 60) r(p))
+SELECT g.img, g.px, coalesce(t.label, 0) AS label, CASE WHEN t.label IS NULL THEN 255 ELSE t.label - 1 END AS mask FROM g LEFT JOIN t ON t.img = g.img AND t.px = g.px""")
 def g16_nearest_splat(spark, d):
-    """The label of the nearest point in each pixel."""
-    l = table(spark, d, "lineitem")  # noqa: E741
+    """The label of the nearest point in each pixel, of a wider row of pixels."""
     depth = F.struct("l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey")
-    return l.groupBy(F.col("l_quantity").cast("int").alias("px"), F.col("l_linestatus").alias("img")).agg(F.min_by((F.col("l_suppkey") % 9).cast("int"), depth).alias("label"))
+    points = table(spark, d, "lineitem").select(
+        F.col("l_quantity").cast("int").alias("px"), F.col("l_linestatus").alias("img"), (F.col("l_suppkey") % 9).cast("int").alias("label"), depth.alias("depth")
+    )
+    grid = points.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("px"))
+    splat = raster.nearest_splat(points, ["img", "px"], F.col("depth"), "label")
+    return raster.filled_splat(splat, grid, ["img", "px"], "label").withColumn("mask", raster.unrendered_to_sky(F.col("label")))
+
+
+_SOFTP = "CASE WHEN pred = c.c THEN 0.75 ELSE 0.125 END"
+
+
+def _pooled(src, names, r):
+    """SQL: the largest of each name over the square of radius r, along rows and then along columns."""
+    line = lambda a, b: f"OVER (PARTITION BY image, class, {a} ORDER BY {b} RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
+    once = ", ".join(f"max({x}) {line('row', 'col')} AS {n}" for n, x in names.items())
+    twice = ", ".join(f"max({n}) {line('col', 'row')} AS {n}" for n in names)
+    return f"SELECT * EXCLUDE ({', '.join(names)}), {twice} FROM (SELECT *, {once} FROM {src})"
+
+
+@query(f"""WITH {_IMAGES}, k AS (SELECT image, c.c AS class, row, col, CASE WHEN label = c.c THEN 1.0 ELSE 0.0 END::DOUBLE AS g, {_SOFTP}::DOUBLE AS p FROM px, range(3) c(c)),
+n1 AS ({_pooled('k', {'gm': '1 - g', 'pm': '1 - p'}, 1)}), b AS (SELECT *, gm - (1 - g) AS gb, pm - (1 - p) AS pb FROM n1),
+x AS ({_pooled('b', {'ge': 'gb', 'pe': 'pb'}, 2)}),
+s AS (SELECT image, class, sum(pb * ge) / (sum(pb) + 1e-7) AS p, sum(pe * gb) / (sum(gb) + 1e-7) AS r FROM x GROUP BY 1, 2)
+SELECT image, round(avg(1 - 2 * p * r / (p + r + 1e-7)), 6) AS boundary_metric FROM s GROUP BY image""")
+def a17_soft_boundary_loss(spark, d):
+    probs = F.array(*[F.when(F.col("pred") == k, 0.75).otherwise(0.125) for k in range(3)])
+    px = images(spark, d).select("image", "row", "col", "label", probs.alias("probs"))
+    return metrics.boundary_f1(raster.soft_boundary_sums(px, ["image"], "label", "probs", [0, 1, 2]), ["image"]).withColumn("boundary_metric", r6("boundary_metric"))

@@ -2,41 +2,100 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows and columns of a block that one task labels.
+BLOCK = 64
+
+
+def _folder_for_checkpoints(pixels: DataFrame) -> None:
+    """Checkpoints go to spark.checkpoint.dir; unset, a local master gets a temporary folder and a cluster an error."""
+    spark = pixels.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="labelgrid-"))
+
+
+def block_regions(labels: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """For each cell the least flat index of its 4-connected region of equal label; cells not there stand alone."""
+    h, w = labels.shape
+    region = np.arange(h * w).reshape(h, w)
+    down = (labels[1:] == labels[:-1]) & there[1:] & there[:-1]
+    right = (labels[:, 1:] == labels[:, :-1]) & there[:, 1:] & there[:, :-1]
+    while True:
+        new = region.copy()
+        new[1:] = np.where(down, np.minimum(new[1:], region[:-1]), new[1:])
+        new[:-1] = np.where(down, np.minimum(new[:-1], region[1:]), new[:-1])
+        new[:, 1:] = np.where(right, np.minimum(new[:, 1:], region[:, :-1]), new[:, 1:])
+        new[:, :-1] = np.where(right, np.minimum(new[:, :-1], region[:, 1:]), new[:, :-1])
+        new = new.ravel()[new]  # a shortcut: that cell's own region
+        if np.array_equal(new, region):
+            return region
+        region = new
+
+
+def _contracted(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, u, v): v the least node reachable from u by edges (u, v), for every node that isn't its own least.
+
+    Alternating stars: larger neighbours of a node go to its least one, then smaller ones do.
+    """
+
+    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+        least = pairs.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        joined = pairs.join(least, [*keys, "u"])
+        if larger:
+            out = joined.where("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = joined.select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(*keys, "u", F.col("m").alias("v")))
+        return out.where("u <> v").distinct().checkpoint()
+
+    def state(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))).first())
+
+    edges = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+    before = state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = star(star(both, True), False)
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    return edges
+
 
 def regions(pixels: DataFrame, keys: list[str], label: str, height: int, width: int) -> DataFrame:
     """pixels with region: the smallest row * width + col of its 4-connected region of equal label.
 
-    Minimum propagation with shortcuts: each round takes the least region of the neighbours and then
-    that pixel's own region. Lineage is cut by checkpoints in the shared folder; rounds stop when no
-    pixel changes, which they do since regions only shrink in number.
+    Blocks are labelled by themselves; then only regions that meet over a block's border are joined, by
+    contraction, and the narrow result is joined back. keys and labels must not be null.
     """
-    spark = pixels.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="labelgrid-"))
-    at = F.col("row") * width + F.col("col")
-    now = pixels.select(*keys, at.alias("at"), F.col(label).alias("label"), at.alias("region")).checkpoint()
-    steps = F.array(
-        F.struct(F.lit(0).alias("d"), F.lit(True).alias("ok")),
-        F.struct(F.lit(-1).alias("d"), (F.col("at") % width > 0).alias("ok")),
-        F.struct(F.lit(1).alias("d"), (F.col("at") % width < width - 1).alias("ok")),
-        F.struct(F.lit(-width).alias("d"), F.lit(True).alias("ok")),
-        F.struct(F.lit(width).alias("d"), F.lit(True).alias("ok")),
+    _folder_for_checkpoints(pixels)
+    cells = pixels.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(label).alias("label"))
+    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in [*keys, "row", "col", "label"])
+
+    def own(t: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = t["row"].min() // BLOCK * BLOCK, t["col"].min() // BLOCK * BLOCK
+        i, j = (t["row"] - r0).to_numpy(), (t["col"] - c0).to_numpy()
+        codes, there = np.full((BLOCK, BLOCK), -1), np.zeros((BLOCK, BLOCK), bool)
+        codes[i, j], there[i, j] = pd.factorize(t["label"])[0], True
+        least = block_regions(codes, there)[i, j]
+        at = (r0 + least // BLOCK).astype("int64") * width + c0 + least % BLOCK
+        return t[[*keys, "row", "col", "label"]].assign(region=at)
+
+    block = [F.floor(F.col("row") / BLOCK).alias("__br"), F.floor(F.col("col") / BLOCK).alias("__bc")]
+    local = cells.select("*", *block).groupBy(*keys, "__br", "__bc").applyInPandas(own, f"{kinds}, region long").checkpoint()
+    first = lambda c, d: local.where(F.col(c) % BLOCK == BLOCK - 1).select(*keys, "row", "col", "label", F.col("region").alias("u")).withColumn(c, F.col(c) + d)
+    other = local.where((F.col("row") % BLOCK == 0) | (F.col("col") % BLOCK == 0)).select(*keys, "row", "col", "label", F.col("region").alias("v"))
+    met = first("row", 1).unionByName(first("col", 1)).join(other, [*keys, "row", "col", "label"]).select(*keys, "u", "v")
+    joined = _contracted(met, keys).select(*keys, F.col("u").alias("region"), F.col("v").alias("__least"))
+    return local.join(joined, [*keys, "region"], "left").select(
+        *keys, "row", "col", F.col("label").alias(label), F.coalesce("__least", "region").alias("region")
     )
-    while True:
-        sent = now.select(*keys, "label", "at", "region", F.inline(steps)).where("ok").select(*keys, (F.col("at") + F.col("d")).alias("at"), "label", F.col("region").alias("seen"))
-        least = sent.groupBy(*keys, "at", "label").agg(F.min("seen").alias("seen"))
-        joined = now.join(least, [*keys, "at", "label"])
-        parent = now.select(*keys, F.col("at").alias("seen"), F.col("region").alias("up"))
-        new = joined.join(parent, [*keys, "seen"], "left").select(
-            *keys, "at", "label", F.least("seen", F.coalesce("up", "seen")).alias("new"), "region"
-        ).checkpoint()
-        changed = new.where("new < region").limit(1).count()
-        now = new.select(*keys, "at", "label", F.col("new").alias("region"))
-        if not changed:
-            break
-    return now.select(*keys, F.floor(F.col("at") / width).cast("int").alias("row"), (F.col("at") % width).cast("int").alias("col"), F.col("label").alias(label), "region")

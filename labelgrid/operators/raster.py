@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays
+from .metrics import exact_percentile
+from .relational import with_groups
 
 
 def box(r: int) -> list[tuple[int, int]]:
@@ -18,11 +23,11 @@ def disk(r: int) -> list[tuple[int, int]]:
 
 
 def _agg(kind: str, value: str) -> Column:
-    return {"max": F.max, "min": F.min, "sum": F.sum}[kind](value)
+    return {"max": F.max, "min": F.min, "sum": F.sum, "or": F.bit_or}[kind](value)
 
 
 def focal_dense(pixels: DataFrame, keys: list[str], value: str, r: int, kind: str) -> DataFrame:
-    """max, min or sum over the square of radius r around each pixel of images without gaps.
+    """max, min, sum or bitwise or over the square of radius r around each pixel of images without gaps.
 
     Separable: along rows, then along columns, so each pass holds one line of an image at a time.
     """
@@ -30,14 +35,32 @@ def focal_dense(pixels: DataFrame, keys: list[str], value: str, r: int, kind: st
     return pixels.withColumn(value, _agg(kind, value).over(w("row", "col"))).withColumn(value, _agg(kind, value).over(w("col", "row")))
 
 
-def focal(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], agg: Column) -> DataFrame:
-    """agg of the column v over the neighbours at offsets, for each pixel there is, gaps or not."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
-    sent = pixels.select(*keys, "row", "col", F.col(value).alias("v"), steps.alias("s")).select(
-        *keys, (F.col("row") + F.col("s.i")).alias("row"), (F.col("col") + F.col("s.j")).alias("col"), "v",
-        ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"),
+#: Rows and columns of a block; a task's group is a block and its halo.
+FOCAL_BLOCK = 64
+
+
+def focal(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], of: Callable[[Column], Column]) -> DataFrame:
+    """of(array) over the neighbours at offsets, for each pixel there is; absent neighbours are null elements.
+
+    Images are cut to blocks. A pixel is shuffled to its block and to those it is in the halo of; inside
+    a block neighbours are found by their place. Values must not be null.
+    """
+    r = max(max(abs(i), abs(j)) for i, j in offsets)
+    side = FOCAL_BLOCK + 2 * r
+    met = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / FOCAL_BLOCK), F.floor((F.col(c) + r) / FOCAL_BLOCK)))
+    sent = pixels.select(*keys, "row", "col", F.col(value).alias("__v"), met("row").alias("__br")).select("*", met("col").alias("__bc"))
+    place = (F.col("row") - F.col("__br") * FOCAL_BLOCK + r) * side + F.col("col") - F.col("__bc") * FOCAL_BLOCK + r
+    blocks = sent.groupBy(*keys, "__br", "__bc").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("at"), F.col("__v").alias("v")))).alias("__held"))
+    dense = blocks.select(*keys, "__br", "__bc", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("__held", i)).alias("__dense"))
+    centre = lambda i: (F.floor(i / FOCAL_BLOCK) + r) * side + i % FOCAL_BLOCK + r
+    around = lambda i: F.array(*[F.get("__dense", (centre(i) + di * side + dj).cast("int")) for di, dj in offsets])
+    own = F.filter(F.sequence(F.lit(0), F.lit(FOCAL_BLOCK * FOCAL_BLOCK - 1)), lambda i: F.get("__dense", centre(i).cast("int")).isNotNull())
+    each = F.transform(own, lambda i: F.struct(i.alias("i"), of(around(i)).alias("v")))
+    out = dense.select(*keys, "__br", "__bc", F.explode(each).alias("__e"))
+    return out.select(
+        *keys, (F.col("__br") * FOCAL_BLOCK + F.floor(F.col("__e.i") / FOCAL_BLOCK)).cast("int").alias("row"),
+        (F.col("__bc") * FOCAL_BLOCK + F.col("__e.i") % FOCAL_BLOCK).cast("int").alias("col"), F.col("__e.v").alias(value),
     )
-    return sent.groupBy(*keys, "row", "col").agg(agg.alias(value), F.bool_or("own").alias("__own")).where("__own").drop("__own")
 
 
 def opened(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
@@ -51,10 +74,8 @@ def closed(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
 
 def median(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
     """Median over the square of radius r; missing neighbours count as zero."""
-    n = (2 * r + 1) ** 2
-    values = F.collect_list("v")
-    filled = F.array_sort(F.concat(values, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(values))))
-    return focal(pixels, keys, value, box(r), F.element_at(filled, n // 2 + 1))
+    middle = (2 * r + 1) ** 2 // 2 + 1
+    return focal(pixels, keys, value, box(r), lambda near: F.element_at(F.array_sort(F.transform(near, lambda v: F.coalesce(v, F.lit(0.0)))), middle))
 
 
 def border_mode_fill(pixels: DataFrame, keys: list[str], value: str, hole: int = 255, r: int = 2) -> DataFrame:
@@ -65,7 +86,7 @@ def border_mode_fill(pixels: DataFrame, keys: list[str], value: str, hole: int =
     near = focal_dense(pixels.withColumn("__hole", F.when(F.col(value) == hole, 1).otherwise(0)), keys, "__hole", r, "max")
     ring = near.where((F.col("__hole") == 1) & (F.col(value) != hole)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     mode = ring.groupBy(*keys).agg(F.max_by(value, F.struct("__n", -F.col(value))).alias("filled"))
-    return pixels.join(mode, keys, "left").withColumn(value, F.when(F.col(value) == hole, F.col("filled")).otherwise(F.col(value)))
+    return with_groups(pixels, mode, keys, "left").withColumn(value, F.when(F.col(value) == hole, F.col("filled")).otherwise(F.col(value)))
 
 
 def boundaries(pixels: DataFrame, keys: list[str], mask: str, name: str, r0: int = 1, r: int = 2) -> DataFrame:
@@ -76,9 +97,34 @@ def boundaries(pixels: DataFrame, keys: list[str], mask: str, name: str, r0: int
 
 
 def boundary_sums(pixels: DataFrame, keys: list[str], gt: str, pred: str, classes: list[int], r0: int = 1, r: int = 2, ignore: int = -1) -> DataFrame:
-    """(keys, class, tp, tpfp, tn, tnfn) of label images, for boundary_f1()."""
+    """(keys, class, tp, tpfp, tn, tnfn) of label images, for boundary_f1().
+
+    The masks of all classes, true and predicted, are bits of one long, so they are widened together;
+    31 classes at most.
+    """
+    n = len(classes)
+    if n > 31:
+        raise ValueError(f"{n} classes; a long holds the masks of 31")
+    bit = lambda c, shift: functools.reduce(lambda out, k: F.when(F.col(c) == classes[k], F.lit(1 << (k + shift)).cast("long")).otherwise(out), range(n), F.lit(0).cast("long"))
+    every = F.lit((1 << 2 * n) - 1).cast("long")
+    masks = pixels.withColumn("__own", bit(gt, 0).bitwiseOR(bit(pred, n)))
+    pooled = focal_dense(masks.withColumn("__b", F.col("__own").bitwiseXOR(every)), keys, "__b", r0, "or").withColumn("__b", F.col("__b").bitwiseAND(F.col("__own")))
+    seen = focal_dense(pooled.withColumn("__e", F.col("__b")), keys, "__e", r, "or").where(F.col(gt) != ignore)
+    on = lambda c, k: F.shiftright(F.col(c), k).bitwiseAND(F.lit(1).cast("long"))
+    sums = F.array(*[
+        F.struct(
+            F.lit(classes[k]).alias("class"), F.sum(on("__b", k + n) * on("__e", k)).alias("tp"), F.sum(on("__b", k + n)).alias("tpfp"),
+            F.sum(on("__e", k + n) * on("__b", k)).alias("tn"), F.sum(on("__b", k)).alias("tnfn"),
+        )
+        for k in range(n)
+    ])
+    return seen.groupBy(*keys).agg(sums.alias("__sums")).select(*keys, F.inline("__sums"))
+
+
+def soft_boundary_sums(pixels: DataFrame, keys: list[str], gt: str, probs: str, classes: list[int], r0: int = 1, r: int = 2, ignore: int = -1) -> DataFrame:
+    """boundary_sums() of class probabilities (an array by class) against labels: the boundary loss before its F1."""
     each = pixels.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
-    each = each.withColumn("__g", (F.col(gt) == F.col("class")).cast("int")).withColumn("__p", (F.col(pred) == F.col("class")).cast("int"))
+    each = each.withColumn("__g", (F.col(gt) == F.col("class")).cast("double")).withColumn("__p", F.get(probs, F.col("class")))
     lanes = [*keys, "class"]
     seen = boundaries(boundaries(each, lanes, "__g", "gb", r0, r), lanes, "__p", "pb", r0, r).where(F.col(gt) != ignore)
     return seen.groupBy(*lanes).agg(
@@ -100,10 +146,10 @@ def mosaic_last(tiles: DataFrame, cell: list[str], value: str, order: Column) ->
 
 
 def clean_elevation(pixels: DataFrame, keys: list[str], value: str, nodata: float = -9000.0, top: float = 0.999) -> DataFrame:
-    """No-data to zero, then held between 0 and the image's percentile top (interpolated)."""
+    """No-data to zero, then held between 0 and the image's percentile top (interpolated); null keys are an image."""
     zeroed = pixels.withColumn(value, F.when(F.col(value) <= nodata, 0.0).otherwise(F.col(value)))
-    ceiling = zeroed.groupBy(*keys).agg(F.percentile(value, top).alias("__top"))
-    return zeroed.join(ceiling, keys).withColumn(value, F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("__top"))).drop("__top")
+    ceiling = exact_percentile(zeroed, keys, value, top, "__top")
+    return with_groups(zeroed, ceiling, keys).withColumn(value, F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("__top"))).drop("__top")
 
 
 def surface_height(pixels: DataFrame, keys: list[str], dsm: str, dem: str, name: str = "height", nodata: float = -9000.0) -> DataFrame:
@@ -112,9 +158,23 @@ def surface_height(pixels: DataFrame, keys: list[str], dsm: str, dem: str, name:
 
 
 def min_max_8bit(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return pixels.withColumn(value, F.try_divide((F.col(value) - low) * 255.0, high - low))
+    """value stretched from its image's range to 0 to 255; null where the range is empty. Null keys are an image."""
+    ends = pixels.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    return with_groups(pixels, ends, keys).withColumn(value, F.try_divide((F.col(value) - low) * 255.0, high - low)).drop("__low", "__high")
+
+
+def nearest_splat(points: DataFrame, pixel: list[str], depth: Column, label: str) -> DataFrame:
+    """(pixel, label): the label plus one of the nearest point of each pixel, as rendered; pixels without points have no row.
+
+    filled_splat() gives those 0, and unrendered_to_sky() turns both back to labels.
+    """
+    return points.groupBy(*pixel).agg((F.min_by(label, depth) + 1).alias(label))
+
+
+def filled_splat(splat: DataFrame, grid: DataFrame, pixel: list[str], label: str) -> DataFrame:
+    """Every pixel of grid with its rendered label; 0 where nothing was rendered."""
+    return grid.join(splat, pixel, "left").withColumn(label, F.coalesce(label, F.lit(0)))
 
 
 def gt_offset(code: Column, prediction: bool = False) -> Column:

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Every row with its group's columns; groups has a row per key, and null keys are a group of their own."""
+    if not keys:  # one group, of one row
+        return rows.join(groups, F.lit(True), how)
+    named = {k: f"__group_{i}" for i, k in enumerate(keys)}
+    same = functools.reduce(lambda a, b: a & b, [rows[k].eqNullSafe(F.col(n)) for k, n in named.items()])
+    return rows.join(groups.withColumnsRenamed(named), same, how).drop(*named.values())
+
+
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
     """Inner join with the first right row of each key; left rows without one are left out."""
     columns = [c for c in right.columns if c not in on]
@@ -26,9 +37,12 @@ def aligned_or_error(left: DataFrame, right: DataFrame, on: list[str], partner:
 
 
 def latched(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
-    """Every row with its group's value in the first row; the whole group shares that row's null or NaN."""
+    """Every row with its group's value in the first row; the whole group shares that row's null or NaN.
+
+    Rows whose keys are null are a group like any other.
+    """
     first = rows.groupBy(*keys).agg(F.min_by(F.struct(value), F.struct(*order))[value].alias(name))
-    return rows.join(first, keys)
+    return with_groups(rows, first, keys)
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

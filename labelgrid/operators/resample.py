@@ -7,19 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .raster import box
+from .raster import box, focal
 
 
 def blurred(pixels: DataFrame, keys: list[str], value: str, r: int, sigma: float) -> DataFrame:
     """Gaussian blur over the square of radius r; missing neighbours count as zero."""
     weights = {o: math.exp(-(o[0] ** 2 + o[1] ** 2) / (2 * sigma**2)) for o in box(r)}
     total = sum(weights.values())
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w / total).alias("w")) for (i, j), w in weights.items()])
-    sent = pixels.select(*keys, "row", "col", F.col(value).alias("__v"), F.inline(steps)).select(
-        *keys, (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col"), (F.col("__v") * F.col("w")).alias("__v"),
-        ((F.col("i") == 0) & (F.col("j") == 0)).alias("__own"),
-    )
-    return sent.groupBy(*keys, "row", "col").agg(F.sum("__v").alias(value), F.bool_or("__own").alias("__own")).where("__own").drop("__own")
+    share = [w / total for w in weights.values()]
+
+    def mean(near: Column) -> Column:
+        parts = F.zip_with(near, F.array(*map(F.lit, share)), lambda v, w: F.coalesce(v, F.lit(0.0)) * w)
+        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+    return focal(pixels, keys, value, list(weights), mean)
 
 
 def _corners(at: str, old: int, new: int) -> Column:

@@ -14,26 +14,35 @@ def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     return out
 
 
+def unit(*parts: Column) -> Column:
+    """A number from 0 to below 1, drawn by the MD5 of the parts' text: any engine with MD5 draws the same."""
+    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def random_search(spark: SparkSession, trials: int, ranges: dict[str, tuple[float, float, str]], seed: int) -> DataFrame:
     """(trial, a column for each parameter): drawn evenly from [low, high], whole numbers for int.
 
     Draws are hashes of seed, trial and name, so a trial is the same whatever the partitions.
     """
     def draw(name: str, low: float, high: float, kind: str) -> Column:
-        unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("trial"), F.lit(name)), 11) / F.lit(float(1 << 53))
+        at = unit(F.lit(seed), F.col("trial"), F.lit(name))
         if kind == "int":
-            return (F.lit(int(low)) + F.floor(unit * F.lit(int(high) - int(low) + 1))).cast("int").alias(name)
-        return (F.lit(low) + unit * F.lit(high - low)).alias(name)
+            return (F.lit(int(low)) + F.floor(at * F.lit(int(high) - int(low) + 1))).cast("int").alias(name)
+        return (F.lit(low) + at * F.lit(high - low)).alias(name)
 
     return spark.range(trials).select(F.col("id").alias("trial")).select("trial", *[draw(n, *r) for n, r in ranges.items()])
 
 
 def evaluated(trials: DataFrame, data: DataFrame, loss: Column, keys: list[str]) -> DataFrame:
-    """Mean loss of every trial over data. trials is a plan of bounded size and is broadcast; data is read once."""
-    return data.crossJoin(F.broadcast(trials)).groupBy(*keys).agg(F.avg(loss).alias("loss"))
+    """Mean loss of every trial over data, which is read once.
+
+    A plan of trials is small; Spark broadcasts it by its size. One too large for that is joined without.
+    """
+    return data.crossJoin(trials).groupBy(*keys).agg(F.avg(loss).alias("loss"))
 
 
 def noise(sigma: Column, *key: Column, seed: int) -> Column:
     """Normal noise of deviation sigma, fixed by seed and key (Box-Muller on hashes)."""
-    unit = lambda n: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(n), *key), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return sigma * F.sqrt(-2 * F.ln(unit(0))) * F.cos(F.lit(6.283185307179586) * unit(1))
+    draw = lambda n: unit(F.lit(seed), F.lit(n), *key)
+    return sigma * F.sqrt(-2 * F.ln(1 - draw(0))) * F.cos(F.lit(6.283185307179586) * draw(1))

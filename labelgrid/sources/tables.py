@@ -39,15 +39,16 @@ def metrics_text(ious: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_headed_csv(spark: SparkSession, path: str, mark: str, columns: list[str]) -> DataFrame:
-    """Rows after the first line that contains mark, under columns; cells trimmed.
+    """Rows of each file after its first line that contains mark, under columns; cells trimmed.
 
-    The header is found by line number, which a scan gives with one split per file.
+    Every file has a header of its own; one without is an error when it is read.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    header = lines.where(F.col("line").contains(mark)).agg(F.min("n").alias("header"))
-    body = lines.crossJoin(F.broadcast(header)).where((F.col("n") > F.col("header")) & (F.trim("line") != ""))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    header = F.array_position(F.transform("lines", lambda x: x.contains(mark)), True).cast("int")
+    found = F.when(header == 0, F.raise_error(F.concat(F.lit(f"no line with {mark!r} in "), F.col("file"))).cast("int")).otherwise(header)
+    line = files.select(F.explode(F.slice("lines", found + 1, F.size("lines"))).alias("line")).where(F.trim("line") != "")
     cells = F.split("line", ",")
-    return body.select(*[F.trim(F.get(cells, k)).alias(c) for k, c in enumerate(columns)])
+    return line.select(*[F.trim(F.get(cells, k)).alias(c) for k, c in enumerate(columns)])
 
 
 def header_columns(line: str) -> list[str]:
@@ -72,7 +73,12 @@ def read_spaced(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def allow_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("image")).where("image <> ''").distinct()
+    return listed(spark.read.text(path))
+
+
+def listed(lines: DataFrame) -> DataFrame:
+    """image: the different names that lines (value) hold, one a line."""
+    return lines.select(F.trim("value").alias("image")).where("image <> ''").distinct()
 
 
 def first_polygon(geojson: Column) -> Column:
