@@ -32,8 +32,12 @@ def lay_out(texts: list[str | None]) -> tuple[np.ndarray, list[int], list[int]]:
     return np.frombuffer(b"".join(parts) + bytes(TAPS - 1), np.uint8), bounds, sizes
 
 
-def block_peaks(data: np.ndarray, kernel: np.ndarray, where: bool = False):
-    """Largest answer of each filter in each block, and the byte it came from if asked."""
+def block_peaks(data: np.ndarray, kernel: np.ndarray, bounds: list[int], where: bool = False):
+    """Largest answer of each filter in each block, and the byte it came from if asked.
+
+    Of a text's last block the last TAPS - 1 places are left out: there filters read on into the next text.
+    """
+    lasts = np.array(bounds[1:]) - 1
     n = (len(data) - TAPS + 1) // BLOCK
     peaks = np.empty((n, FILTERS), np.float32)
     spots = np.empty((n, FILTERS), np.int64) if where else None
@@ -44,6 +48,7 @@ def block_peaks(data: np.ndarray, kernel: np.ndarray, where: bool = False):
         for j in range(1, TAPS):
             answer += kernel[j].take(data[a * BLOCK + j : a * BLOCK + j + size], axis=0)
         answer = answer.reshape(b - a, BLOCK, FILTERS)
+        answer[lasts[(lasts >= a) & (lasts < b)] - a, BLOCK - TAPS + 1 :] = -np.inf
         if where:
             at = answer.argmax(axis=1)
             spots[a:b] = at + (np.arange(a, b) * BLOCK)[:, None]
@@ -70,14 +75,16 @@ def combined(act: np.ndarray, size: int) -> np.ndarray:
 
 
 def probability(features: np.ndarray, p: dict) -> np.ndarray:
-    z = np.tanh(features @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"]
+    # Row by row the same sums, whatever else is in the batch; a matrix product is not.
+    product = lambda x, w: (x[:, :, None] * w).sum(axis=1)
+    z = product(np.tanh(product(features, p["w1"]) + p["b1"]), p["w2"]) + p["b2"]
     return 1 / (1 + np.exp(-np.clip(z[:, 0], -30, 30)))
 
 
 def score(texts: list[str | None], p: dict) -> np.ndarray:
     """Probability of label 1 for each text; all bytes of each are read."""
     data, bounds, sizes = lay_out(texts)
-    peaks, _ = block_peaks(data, p["kernel"])
+    peaks, _ = block_peaks(data, p["kernel"], bounds)
     acts = (np.tanh(chunk_peaks(peaks[a:b])[0] + p["bias"]) for a, b in zip(bounds, bounds[1:]))
     return probability(np.stack([combined(a, n) for a, n in zip(acts, sizes)]), p)
 
@@ -119,7 +126,7 @@ def train(
         for at in range(0, len(y), batch):
             pick = order[at : at + batch]
             data, bounds, sizes = lay_out([_shortened(texts[i], rng) if y[i] else texts[i] for i in pick])
-            peaks, spots = block_peaks(data, p["kernel"], where=True)
+            peaks, spots = block_peaks(data, p["kernel"], bounds, where=True)
             acts, blocks, rows = [], [], []
             for a, b, size in zip(bounds, bounds[1:], sizes):
                 top, block = chunk_peaks(peaks[a:b], where=True)
@@ -167,7 +174,7 @@ def training_rows(
 ) -> tuple[list[tuple[str, int]], float | None]:
     """(text, quality) of at most per_class labelled documents of each class, none of them held out.
 
-    Ids are drawn by hash from the narrow label table; only then are their texts read, through a
+    An id with both labels counts as 0. Ids are drawn by hash from the narrow label table; only then are their texts read, through a
     broadcast of the drawn ids, whose number is bounded by the parameter. The second result is label
     1's share among all labels open to training.
     """
@@ -183,7 +190,7 @@ def training_rows(
     if not drawn:
         return [], share
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = spark.createDataFrame(drawn, f"doc_id {kind}, quality int").dropDuplicates(["doc_id"])
+    chosen = spark.createDataFrame(drawn, f"doc_id {kind}, quality int").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()
     return [(r["text"] or "", r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])], share
 
@@ -207,6 +214,11 @@ def score_documents(docs: DataFrame, parameters: dict) -> DataFrame:
 
 
 def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, by a network trained on labelled ones that are not held out.
+
+    Null and empty texts have one score; a null doc_id is kept and never trained on; equal texts have
+    equal scores; no rows give none; without labels every score is one half.
+    """
     docs = table(spark, sf_dir, "documents")
     rows, share = training_rows(docs, table(spark, sf_dir, "labels"))
     parameters = train([t for t, _ in rows], [q for _, q in rows], share)
