@@ -139,3 +139,43 @@ def envelope(u: Column, points: list[tuple[Column, Column]]) -> Column:
     for (u0, v0), (u1, v1) in reversed(list(zip(points, points[1:]))):
         out = F.when(u <= u1, v0 + (u - u0) * (v1 - v0) / (u1 - u0)).otherwise(out)
     return F.when(u < points[0][0], points[0][1]).otherwise(out)
+
+
+def at_place(place: Column, values: dict[str, float]) -> Column:
+    """A place's fixed value; a place that has none is an error when it is read."""
+    out = F.raise_error(F.concat(F.lit("no value for place "), F.coalesce(place, F.lit("null")))).cast("double")
+    for name, value in values.items():
+        out = F.when(place == name, F.lit(float(value))).otherwise(out)
+    return out
+
+
+def utm_bounds(south: Column, west: Column, north: Column, east: Column, epsg: int, steps: int = 20) -> Column:
+    """Struct (x0, y0, x1, y1) in metres of a box in degrees: the extent of points along its four sides."""
+    share = lambda k: k / F.lit(float(steps))
+    every = F.sequence(F.lit(0), F.lit(steps))
+    side = lambda lat, lon: F.transform(every, lambda k: utm(lat(share(k)), lon(share(k)), epsg))
+    along = lambda a, b: lambda t: a + (b - a) * t
+    still = lambda a: lambda t: a + 0 * t
+    points = F.concat(
+        side(still(south), along(west, east)), side(still(north), along(west, east)), side(along(south, north), still(west)), side(along(south, north), still(east))
+    )
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+
+def placed(x: Column, y: Column, yaw: Column, east: Column, north: Column) -> Column:
+    """Struct (x, y) in metres of a grid point x ahead of and y beside a camera at (east, north) that looks along yaw."""
+    h = heading(yaw)
+    return F.struct((east + h["ahead_x"] * x + h["side_x"] * y).alias("x"), (north + h["ahead_y"] * x + h["side_y"] * y).alias("y"))
+
+
+def grid_triangles(spark: SparkSession, nx: int, ny: int) -> DataFrame:
+    """(triangle, a, b, c): two triangles for each cell of a grid whose point (i, j) has number i * ny + j."""
+    i, j = F.floor(F.col("id") / (ny - 1)), F.col("id") % (ny - 1)
+    first = i * ny + j
+    return spark.range((nx - 1) * (ny - 1)).select(
+        F.inline(F.array(
+            F.struct((2 * F.col("id")).alias("triangle"), first.alias("a"), (first + 1).alias("b"), (first + ny).alias("c")),
+            F.struct((2 * F.col("id") + 1).alias("triangle"), (first + 1).alias("a"), (first + ny + 1).alias("b"), (first + ny).alias("c")),
+        ))
+    )

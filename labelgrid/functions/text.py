@@ -64,3 +64,9 @@ def rgb(hex_colour: Column) -> Column:
 def overlay(a: Column, x: Column, b: Column, y: Column) -> Column:
     """a*x + b*y, rounded half to even and held to a byte."""
     return F.least(F.greatest(F.bround(a * x + b * y), F.lit(0.0)), F.lit(255.0)).cast("int")
+
+
+def random_rgb(seed: int, *key: Column) -> Column:
+    """Array of red, green and blue, drawn evenly from 0 to 255 by seed and key: a region keeps its colour in every run."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *[k.cast("string") for k in key]))
+    return F.array(*[F.conv(F.substring(digest, 1 + 2 * k, 2), 16, 10).cast("int") for k in range(3)])

@@ -272,6 +272,21 @@ def in_patches(pixels: DataFrame, height: int, width: int, patch: int, stride: i
     )
 
 
+def mirrored(pixels: DataFrame, height: int, width: int, patch: int, stride: int) -> DataFrame:
+    """pixels, and beyond the lower and right edge as many mirrored ones as fill the last patches.
+
+    blended() over their patches says something of the added ones too; cropped() takes the image back out.
+    """
+    rows, cols = blend_count(height, patch, stride), blend_count(width, patch, stride)
+
+    def images_of(at: str, size: int, count: int) -> Column:
+        over = (count - 1) * stride + patch - size
+        twin = F.lit(2 * size - 1) - F.col(at)
+        return F.explode(F.when(F.col(at) >= size - over, F.array(F.col(at), twin)).otherwise(F.array(F.col(at))))
+
+    return pixels.withColumn("row", images_of("row", height, rows)).withColumn("col", images_of("col", width, cols))
+
+
 def taper(i: Column, j: Column, patch: int, stride: int) -> Column:
     """Weight of a place in a patch: falls linearly over the overlap towards each side."""
     overlap = patch - stride

@@ -85,10 +85,11 @@ def pivoted(rows: DataFrame, index: list[str], column: str, values: list, value:
     return rows.groupBy(*index).pivot(column, values).agg(one)
 
 
-def in_category_order(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """Sorted by place in order; other values come last."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
-    return rows.orderBy(F.when(place == 0, F.lit(len(order) + 1)).otherwise(place), column)
+def in_category_order(rows: DataFrame, column: str, order: list[str], descending: bool = False) -> DataFrame:
+    """Sorted by place in order; other values come last. descending turns the whole order round."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    place = F.when(at == 0, F.lit(len(order) + 1)).otherwise(at)
+    return rows.orderBy(F.desc(place), F.desc(column)) if descending else rows.orderBy(place, column)
 
 
 def counts_with_total(rows: DataFrame, key: str) -> DataFrame:
@@ -111,3 +112,29 @@ def binned_box_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFra
     spread = boxes.withColumn("__bx", F.explode(bins("x0", "x1"))).withColumn("__by", F.explode(bins("y0", "y1")))
     placed = points.withColumn("__bx", F.floor(F.col("x") / size).cast("long")).withColumn("__by", F.floor(F.col("y") / size).cast("long"))
     return placed.join(spread, ["__bx", "__by"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__bx", "__by")
+
+
+def asserted(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """rows, whose reading fails with the name of the first check that a row does not meet; null counts as not met."""
+    broken = F.lit(None).cast("boolean")
+    for name, holds in reversed(checks.items()):
+        broken = F.when(~F.coalesce(holds, F.lit(False)), F.raise_error(F.lit(f"check failed: {name}")).cast("boolean")).otherwise(broken)
+    return rows.where(broken.isNull())
+
+
+def uniform_or_error(meta: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """meta, whose reading fails where rows of one key differ in a column: rasters of a set in one CRS, grid and size."""
+    ends = meta.groupBy(*keys).agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b"), F.count(c).alias("n")).alias(f"__{c}") for c in columns], F.count(F.lit(1)).alias("__rows"))
+    same = lambda c: (F.col(f"__{c}.a") == F.col(f"__{c}.b")) & (F.col(f"__{c}.n") == F.col("__rows"))
+    checked = asserted(with_groups(meta, ends, keys), {f"one {c} in a set": same(c) for c in columns})
+    return checked.select(*meta.columns)
+
+
+def aligned_layers(base: DataFrame, layers: dict[str, DataFrame | None], on: list[str]) -> DataFrame:
+    """base with a column for each layer (on, value) at the same cell; a layer that is missing as a whole gives nulls."""
+    for name, layer in layers.items():
+        if layer is None:
+            base = base.withColumn(name, F.lit(None).cast("double"))
+        else:
+            base = base.join(layer.select(*on, F.col("value").alias(name)), on, "left")
+    return base

@@ -51,6 +51,44 @@ def read_headed_csv(spark: SparkSession, path: str, mark: str, columns: list[str
     return line.select(*[F.trim(F.get(cells, k)).alias(c) for k, c in enumerate(columns)])
 
 
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """(file, gt, pred, n) of the cells that aren't zero of the square matrices in .npy files under path."""
+
+    def cells(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for files in batches:
+            for file, raw in zip(files["path"], files["content"]):
+                m = np.load(io.BytesIO(raw), allow_pickle=False)
+                gt, pred = np.nonzero(m)
+                yield pd.DataFrame({"file": file, "gt": gt.astype("int32"), "pred": pred.astype("int32"), "n": m[gt, pred].astype("int64")})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(cells, "file string, gt int, pred int, n long")
+
+
+def matrix_files(cm: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, content): each key's k by k matrix of (gt, pred, n) as the bytes of a .npy file. A group has k * k cells at most."""
+    import pandas as pd
+
+    kinds = ", ".join(f"`{c}` {cm.schema[c].dataType.simpleString()}" for c in keys)
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        import io
+
+        import numpy as np
+
+        m, out = np.zeros((k, k), np.int64), io.BytesIO()
+        np.add.at(m, (t["gt"].to_numpy(), t["pred"].to_numpy()), t["n"].to_numpy())
+        np.save(out, m)
+        return t[keys].head(1).assign(content=out.getvalue())
+
+    return cm.groupBy(*keys).applyInPandas(one, f"{kinds}, content binary")
+
+
 def header_columns(line: str) -> list[str]:
     """Column names of a header line: no spaces at all."""
     return [c.replace(" ", "") for c in line.split(",")]

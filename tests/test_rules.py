@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.catalogue import rasters
 from labelgrid.functions import arrays, geometry, taxonomy, text
-from labelgrid.operators import components, metrics, raster, relational
+from labelgrid.operators import components, metrics, raster, relational, resample
 from labelgrid.plans import experiments, small_crf
 from labelgrid.sources import tables
 from labelgrid.streaming import incremental
@@ -185,3 +185,145 @@ def test_unavailable_sources_say_so():
     with pytest.raises(NotImplementedError, match="GeoTIFF"):
         tables.read_geotiff("x")
     assert rasters.image is not None
+
+
+def test_headed_csvs_with_headers_on_lines_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("junk\nimage,lat\na.png,1\n")
+    (tmp_path / "b.csv").write_text("junk\njunk, more\n\nimage,lat\nb.png,2\n")
+    rows = tables.read_headed_csv(spark, str(tmp_path), "image", ["image", "lat"]).orderBy("image").collect()
+    assert [tuple(r) for r in rows] == [("a.png", "1"), ("b.png", "2")]
+    (tmp_path / "c.csv").write_text("no header here\n1,2\n")
+    with pytest.raises(Exception, match="no line with"):
+        tables.read_headed_csv(spark, str(tmp_path), "image", ["image", "lat"]).collect()
+
+
+def test_null_keys_are_groups(spark):
+    rows = spark.createDataFrame([(None, 1, 5.0), (None, 1, 7.0), (1, 2, 3.0)], "k int, label int, v double")
+    assert sorted((r["vote"] for r in metrics.segment_vote(rows, ["k"], "label").collect())) == [1, 1, 2]
+    assert [r["group_count"] for r in metrics.group_stats(rows, ["k"], "v").orderBy("v").collect()] == [1, 2, 2]
+    assert relational.latched(rows, ["k"], "v", ["v"], "first").where("k IS NULL AND first = 5").count() == 2
+    assert raster.clean_elevation(rows, ["k"], "v").count() == raster.min_max_8bit(rows, ["k"], "v").count() == 3
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(4)
+    parts = {"even": rng.uniform(-5, 5, 3000), "ties": np.repeat([1.0, 2.0], 500), "one": np.array([7.0]), "wild": 10.0 ** rng.uniform(-12, 12, 2500), "same": np.zeros(40)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in parts.items() for v in vs] + [("even", None)], "k string, v double")
+    for p in (0.0, 0.5, 0.999, 1.0):
+        got = {r["k"]: r["p"] for r in metrics.exact_percentile(rows, ["k"], "v", p, "p", bins=16).collect()}
+        assert got == pytest.approx({k: np.quantile(v, p) for k, v in parts.items()})
+    whole = metrics.exact_percentile(rows.where("k = 'even'"), [], "v", 0.25, "p").first()["p"]
+    assert whole == pytest.approx(np.quantile(parts["even"], 0.25))
+
+
+def test_focal_over_blocks_and_gaps(spark, monkeypatch):
+    monkeypatch.setattr(raster, "FOCAL_BLOCK", 5)
+    rng = np.random.default_rng(5)
+    cells = {(r, c): float(rng.integers(0, 50)) for r in range(13) for c in range(11) if rng.random() < 0.8}
+    px = spark.createDataFrame([(0, r, c, v) for (r, c), v in cells.items()], "image int, row int, col int, v double")
+    around = lambda r, c: [cells.get((r + i, c + j)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    low = {(r["row"], r["col"]): r["v"] for r in raster.focal(px, ["image"], "v", raster.box(1), F.array_min).collect()}
+    assert low == {k: min(v for v in around(*k) if v is not None) for k in cells}
+    mid = {(r["row"], r["col"]): r["v"] for r in raster.median(px, ["image"], "v", 1).collect()}
+    assert mid == {k: sorted(v or 0.0 for v in around(*k))[4] for k in cells}
+
+
+def test_boundary_bits_equal_class_by_class(spark):
+    rng = np.random.default_rng(6)
+    px = spark.createDataFrame([(0, r, c, int(rng.integers(-1, 3)), int(rng.integers(0, 3))) for r in range(9) for c in range(9)], "image int, row int, col int, g int, p int")
+    bits = {tuple(r) for r in raster.boundary_sums(px, ["image"], "g", "p", [0, 1, 2]).collect()}
+    hard = px.withColumn("probs", F.array(*[(F.col("p") == k).cast("double") for k in range(3)]))
+    assert bits == {tuple(r) for r in raster.soft_boundary_sums(hard, ["image"], "g", "probs", [0, 1, 2]).collect()}
+
+
+def test_regions_over_the_borders_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 4)
+    grid = [[1] * 11, [0] * 10 + [1], [1] * 11, [1] + [0] * 10, [1] * 11]  # a snake of ones
+    px = spark.createDataFrame([(k, r, c, grid[r][c]) for k in (0, 1) for r in range(5) for c in range(11)], "image int, row int, col int, label int")
+    got = {(r["image"], r["row"], r["col"]): r["region"] for r in components.regions(px, ["image"], "label", 5, 11).collect()}
+    assert got == {(k, r, c): 0 if grid[r][c] else 11 * r + (r == 3) for k in (0, 1) for r in range(5) for c in range(11)}
+
+
+def test_crf_in_patches_against_patch_by_patch(spark):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet([1, 1, 1], (10, 9))
+    f = rng.random((10, 9))
+    px = spark.createDataFrame([(0, r, c, p[r, c].tolist(), [float(f[r, c])]) for r in range(10) for c in range(9)], "image int, row int, col int, probs array<double>, features array<double>")
+    got = {(r["row"], r["col"]): (r["label"], r["prob"]) for r in small_crf.refined_in_patches(px, ["image"], 10, 9, 3, 6, 4).collect()}
+    total, weight = np.zeros((10, 9, 3)), np.zeros((10, 9, 1))
+    ramp = lambda x: (1 - max(0, x - 3) / 3) * (1 - max(0, 2 - x) / 3)
+    for a in (0, 4):
+        for b in (0, 4):
+            at = [(i, j) for i in range(a, min(a + 6, 10)) for j in range(b, min(b + 6, 9))]
+            q = small_crf.mean_field(-np.log(np.array([p[k] for k in at]) + 1e-3), np.array(at, float), np.array([[f[k]] for k in at]), (20.0, 5.0, 3.0), (3.0, 5.0), 5)
+            for (i, j), row in zip(at, q):
+                w = ramp(i - a) * ramp(j - b)
+                total[i, j] += w * row
+                weight[i, j] += w
+    want = total / weight
+    assert all(got[k] == (want[k].argmax(), pytest.approx(want[k].max())) for k in got) and len(got) == 90
+
+
+def test_matrix_files(spark, tmp_path):
+    c = cm(spark, [[3, 1], [0, 4]], [[0, 0], [2, 0]])
+    for r in tables.matrix_files(c, ["run"], 2).collect():
+        (tmp_path / f"{r['run']}.npy").write_bytes(bytes(r["content"]))
+    assert np.load(tmp_path / "0.npy").tolist() == [[3, 1], [0, 4]]
+    got = {(r["file"][-5], r["gt"], r["pred"], r["n"]) for r in tables.read_matrices(spark, str(tmp_path)).collect()}
+    assert got == {("0", 0, 0, 3), ("0", 0, 1, 1), ("0", 1, 1, 4), ("1", 1, 0, 2)}
+
+
+def test_checks_fail_when_read(spark):
+    meta = spark.createDataFrame([("s", "EPSG:1", 3), ("s", "EPSG:1", 4), ("t", "EPSG:2", 5)], "folder string, crs string, bands int")
+    assert relational.uniform_or_error(meta, ["folder"], ["crs"]).count() == 3
+    with pytest.raises(Exception, match="one bands in a set"):
+        relational.uniform_or_error(meta, ["folder"], ["crs", "bands"]).collect()
+    assert relational.asserted(meta, {"bands": F.col("bands") > 2}).count() == 3
+    with pytest.raises(Exception, match="check failed: few bands"):
+        relational.asserted(meta, {"bands": F.col("bands") > 2, "few bands": F.col("bands") < 5}).collect()
+    assert one(spark, geometry.at_place(F.lit("a"), {"a": 2.5}))[0] == 2.5
+    with pytest.raises(Exception, match="no value for place b"):
+        one(spark, geometry.at_place(F.lit("b"), {"a": 2.5}))
+
+
+def test_layers_may_be_missing(spark):
+    base = spark.createDataFrame([(0, 0), (0, 1)], "row int, col int")
+    nir = spark.createDataFrame([(0, 1, 9.0)], "row int, col int, value double")
+    got = relational.aligned_layers(base, {"nir": nir, "dsm": None}, ["row", "col"]).orderBy("col").collect()
+    assert [tuple(r) for r in got] == [(0, 0, None, None), (0, 1, 9.0, None)]
+
+
+def test_places_bounds_and_triangles(spark):
+    p = one(spark, geometry.placed(F.lit(2.0), F.lit(1.0), F.lit(np.pi / 2), F.lit(10.0), F.lit(20.0)).alias("p"))["p"]
+    assert (p["x"], p["y"]) == pytest.approx((9, 22))
+    b = one(spark, geometry.utm_bounds(F.lit(44.0), F.lit(-88.0), F.lit(45.0), F.lit(-86.0), 32616).alias("b"))["b"]
+    low = one(spark, geometry.utm(F.lit(44.0), F.lit(-87.0), 32616).alias("u"))["u"]
+    west = one(spark, geometry.utm(F.lit(44.0), F.lit(-88.0), 32616).alias("u"))["u"]
+    assert b["y0"] == pytest.approx(low["y"], abs=1e-3) and b["x0"] == pytest.approx(west["x"], abs=1e-3)
+    t = geometry.grid_triangles(spark, 3, 2).orderBy("triangle").collect()
+    assert [tuple(r) for r in t] == [(0, 0, 1, 2), (1, 1, 3, 2), (2, 2, 3, 4), (3, 3, 5, 4)]
+
+
+def test_cubic_keeps_planes_and_warps_find_cells(spark):
+    px = spark.createDataFrame([(r, c, 2.0 * r + c) for r in range(12) for c in range(12)], "row int, col int, v double")
+    got = {(r["row"], r["col"]): r["v"] for r in resample.resampled(px, [], "v", (12, 12), (24, 24), "cubic").collect()}
+    assert len(got) == 576 and all(got[r, c] == pytest.approx(2 * ((r + 0.5) / 2 - 0.5) + (c + 0.5) / 2 - 0.5) for r in range(4, 20) for c in range(4, 20))
+    asked = spark.createDataFrame([(1, 2.3, 7.9), (2, -1.0, 3.0)], "id int, x double, y double")
+    assert {r["id"]: r["v"] for r in resample.warped(px, [], "v", asked, 0.0, 10.0, 1.0, 12, 12).collect()} == {1: 6.0, 2: None}
+
+
+def test_mirrored_patches_blend_to_the_image(spark):
+    px = spark.createDataFrame([(r, c, float(r * 7 + c)) for r in range(10) for c in range(7)], "row int, col int, v double")
+    wide = raster.mirrored(px, 10, 7, 6, 4)
+    assert {(r["row"], r["col"]): r["v"] for r in wide.collect()} == {
+        (r, c): float((r if r < 10 else 19 - r) * 7 + (c if c < 7 else 13 - c)) for r in range(10) for c in range(10)
+    }
+    back = raster.cropped(raster.blended(raster.in_patches(wide, 10, 10, 6, 4), [], "v", 6, 4), (0, 10), (0, 7))
+    assert {(r["row"], r["col"]): r["v"] for r in back.collect()} == pytest.approx({(r["row"], r["col"]): r["v"] for r in px.collect()})
+
+
+def test_colours_and_order(spark):
+    a, b = (one(spark, text.random_rgb(3, F.lit(k)).alias("c"))["c"] for k in (1, 2))
+    assert a != b and all(0 <= x <= 255 for x in a + b) and a == one(spark, text.random_rgb(3, F.lit(1)).alias("c"))["c"]
+    rows = spark.createDataFrame([("a",), ("b",), ("z",)], "k string")
+    assert [r["k"] for r in relational.in_category_order(rows, "k", ["b", "a"], descending=True).collect()] == ["z", "a", "b"]
