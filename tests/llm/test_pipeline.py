@@ -5,7 +5,8 @@ import random
 import corpus_pipeline
 from labelgrid.llm import pii
 
-from .test_operators import brute_fingerprint, brute_lines, prose
+from .test_operators import brute_lines, prose
+from .test_similar import components
 
 
 def test_stages(spark, tmp_path):
@@ -28,8 +29,8 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in good} == set(range(14)) | {17}
     want = brute_lines([(r["doc_id"], r["text"]) for r in good])
     assert {r["doc_id"]: r["text"] for r in lines} == {i: t for i, t in want.items() if t.strip()}
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in lines}
-    assert {r["doc_id"] for r in unique} == {i for i in fps if not any(j < i and (fps[i] ^ fps[j]).bit_count() <= 3 for j in fps)}
+    group = components([r["text"] for r in lines])
+    assert {r["doc_id"] for r in unique} == {r["doc_id"] for k, r in enumerate(lines) if group[k] == k}
     assert all(not pii.base_spans(r["text"]) for r in clean)
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in unique}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
