@@ -22,7 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round points the larger neighbours of every node at its smallest one, then the smaller
     ones, until nothing changes: about log2 of the largest component rounds. Neighbour minima are
     aggregated before they are joined back, and both sides of each join are written tables, so
-    adaptive execution can split the join of a hub.
+    adaptive execution can split the join of a hub. Repeated edges and edges of a node with itself
+    change nothing; nodes without an edge to another are not returned; nodes must not be null; no edges
+    give no rows.
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
