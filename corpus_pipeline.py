@@ -23,28 +23,48 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects; null, empty and short texts go."""
+    """Documents that no quality rule rejects.
+
+    Null, empty and short texts go; repeated rows go or stay together; no rows give none; columns of
+    any other name are carried along.
+    """
     return quality_rules.quality_filter(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that occur earlier in the corpus; those left without a word go."""
+    """Documents without the lines that occur earlier in the corpus; those left without a word go.
+
+    So null and empty texts go. Rows repeated whole are one document and stay together; a null doc_id
+    comes first; no rows give none; columns of any other name are carried along.
+    """
     out = line_dedup.dedup_lines(docs).where(F.col("text").rlike(WHITE_CLASS.replace("[", "[^")))
     return _like(docs, out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group linked by similarity 0.8 or more of 5-word shingles."""
+    """The document of smallest doc_id of each group linked by similarity 0.8 or more of 5-word shingles.
+
+    Texts without words are one group; rows without a doc_id, and rows that repeat the one that is kept,
+    stay; no rows give none; columns of any other name are carried along.
+    """
     return simhash.drop_similar(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by the names of its kinds."""
+    """Documents with personal data replaced by the names of its kinds.
+
+    Null texts stay null; repeated rows give equal rows; no rows give none; columns of any other name
+    are carried along.
+    """
     return _like(docs, pii.redact_personal_data(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences, with their token ids."""
+    """Pieces of the documents in training sequences, with their token ids.
+
+    Null and empty texts are an end mark alone; repeated rows are packed one by one; no rows give none;
+    other columns end here.
+    """
     return packing.pack_documents(docs, "doc_id", "text", keep_ids=True)
 
 
