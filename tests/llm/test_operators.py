@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from labelgrid.llm import archive, bpe, byte_cnn, line_dedup, media, packing, pii, quality_rules, sharding, simhash, tagger, trie
+from labelgrid.llm import archive, bpe, byte_cnn, components, line_dedup, media, packing, pii, quality_rules, sharding, simhash, tagger, trie
 from labelgrid.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,7 +211,9 @@ def test_one_hot_prefix_is_cut_to_bounded_cells(spark):
     assert sum(n for _, n in sizes) <= 300_000 * 4 * 4  # copies by blocks alone, whatever the number of rows
 
 
-def test_components_of_a_path_and_a_hub(spark):
+@pytest.mark.parametrize("part", [1 << 19, 12])
+def test_components_of_a_path_and_a_hub(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
