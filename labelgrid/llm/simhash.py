@@ -22,8 +22,9 @@ from .common import free_name, table, tune, written
 from .components import connected_components
 
 BITS = 64
-#: Bits of a long fingerprint; bits of a turn that only the check reads; differing bits a turn's trie allows.
-LONG, CHECK, TURN_BUDGET = 512, 128, 2
+#: Bits of a long fingerprint; bits of a turn that only the check reads, when links are looked for among all
+#: fingerprints and among those of torn components; differing bits a turn's trie allows.
+LONG, CHECK, FULL_CHECK, TURN_BUDGET = 512, 128, 448, 2
 #: Share of pairs of the similarity asked that may share no turn.
 MISSED = 0.001
 
@@ -159,10 +160,10 @@ def turns(n: int, similarity: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(MISSED) / math.log1p(-met))) if met < 1 else 1
 
 
-def _bound(bits: int, similarity: float) -> int:
-    """Differing bits among bits that only one in some 30,000 pairs of this similarity exceeds."""
+def _bound(bits: int, similarity: float, deviations: float = 4.0) -> int:
+    """Differing bits among bits that only one in some 30,000 pairs of this similarity exceeds (3.1 deviations: one in 1,000)."""
     p = differing_share(similarity)
-    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+    return min(bits, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
 
 
 def _node(found: np.ndarray) -> bytes:
@@ -186,38 +187,42 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, f"doc {kind}, node binary, bits binary")
 
 
-def _turned(nodes: DataFrame, bits: int, n_turns: int) -> DataFrame:
-    """A row for each turn of each node's fingerprint: cell (the turn), rest (its first bits), c0, c1 (those after), id, label.
+def _turned(nodes: DataFrame, bits: int, n_turns: int, check: int) -> DataFrame:
+    """A row for each turn of each node's fingerprint: cell (the turn), rest (its first bits), c0 … (those after), id and label, if there is one.
 
     A turn is a fixed order of the fingerprint's bits.
     """
-    orders = np.argsort(np.random.default_rng(11).random((n_turns, LONG)), axis=1)[:, : bits + CHECK]
+    orders = np.argsort(np.random.default_rng(11).random((n_turns, LONG)), axis=1)[:, : bits + check]
+    checked = [f"c{k}" for k in range(check // 64)]
+    kept = ["id", *[c for c in ("label",) if c in nodes.columns]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            raw = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1)
+            raw = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1)
             for t, order in enumerate(orders):
-                turned = np.zeros((n, 64 + CHECK), np.uint8)
+                turned = np.zeros((n, 64 + check), np.uint8)
                 turned[:, 64 - bits : 64], turned[:, 64:] = raw[:, order[:bits]], raw[:, order[bits:]]
                 words = np.packbits(turned, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t, np.int64)), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(3)], batch.column(0), batch.column(2)],
-                    ["cell", "rest", "c0", "c1", "id", "label"],
-                )
+                columns = [pa.array(np.full(n, t, np.int64)), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["cell", "rest", *checked, *kept])
 
-    return nodes.select("id", "bits", "label").mapInArrow(run, "cell long, rest long, c0 long, c1 long, id long, label long")
+    ddl = ", ".join(f"{c} long" for c in ("cell", "rest", *checked, *kept))
+    return nodes.select("bits", *kept).mapInArrow(run, ddl)
 
 
-def candidate_links(nodes: DataFrame, similarity: float, all_pairs: bool) -> DataFrame:
-    """(u, v) of ids of nodes (id, bits, label) that come close in some turn.
+def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of ids of nodes (id, bits) that come close in some turn.
 
-    With all_pairs all such pairs of unlike labels, else as many as join the same components.
+    As many as join the same components; with a column label all such pairs of unlike labels.
     """
+    all_pairs = "label" in nodes.columns
     bits, n_turns = turns(nodes.count(), similarity)
-    most = _bound(CHECK, similarity)
+    # Turns of 64 bits leave fewer than FULL_CHECK for the check.
+    check = min(FULL_CHECK, (LONG - bits) // 64 * 64) if all_pairs else CHECK
+    most = _bound(check, similarity, 3.1 if all_pairs else 4.0)
 
     def links(rows: DataFrame, width: int) -> DataFrame:
         budgets = [TURN_BUDGET] * (width + 1) + [TURN_BUDGET + _bound(k, similarity) for k in range(1, 64 - width + 1)]
@@ -226,14 +231,14 @@ def candidate_links(nodes: DataFrame, similarity: float, all_pairs: bool) -> Dat
             return rows["rest"].view(np.uint64) << np.uint64(64 - width) | rows["c0"].view(np.uint64) >> np.uint64(width)
 
         def found(rows, keys, bounds):
-            c0, c1 = rows["c0"].view(np.uint64), rows["c1"].view(np.uint64)
-            near = lambda i, j: np.bitwise_count(c0[i] ^ c0[j]) + np.bitwise_count(c1[i] ^ c1[j]) <= most
+            checked = [rows[f"c{k}"].view(np.uint64) for k in range(check // 64)]
+            near = lambda i, j: sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in checked) <= most
             pairs = trie.walk(keys, bounds, 64, budgets, near, rows["label"] if all_pairs else None, all_pairs)
             yield from _pairs(rows, pairs, "id", pa.int64())
 
         return trie.over_cells(rows, key, found, "u long, v long")
 
-    rows = _turned(nodes, bits, n_turns)
+    rows = _turned(nodes, bits, n_turns, check)
     found = functools.reduce(DataFrame.unionByName, [links(*part) for part in trie.in_cells(rows, bits, TURN_BUDGET)])
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -277,7 +282,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     nodes = written(
         rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bits").alias("bits")).withColumn("id", F.monotonically_increasing_id())
     )
-    first = written(candidate_links(nodes.withColumn("label", F.col("id")), similarity, all_pairs=False))
+    first = written(candidate_links(nodes, similarity))
     near = written(_similar(first, nodes, docs, width, similarity))
     labels = written(connected_components(near))
     if near.count() < first.count():
@@ -285,7 +290,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8)
         parts = loose.join(labels, "node", "left").select("node", "loose", F.coalesce("component", "node").alias("label"))
         torn = written(parts.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose"))
         again = written(parts.join(torn, "loose").select(F.col("node").alias("id"), "label").join(nodes.select("id", "bits"), "id"))
-        rest = written(candidate_links(again, similarity, all_pairs=True).join(first, ["u", "v"], "left_anti"))
+        rest = written(candidate_links(again, similarity).join(first, ["u", "v"], "left_anti"))
         labels = written(connected_components(near.unionByName(_similar(rest, nodes, docs, width, similarity))))
     own = nodes.join(labels, nodes["id"] == labels["node"], "left").select(nodes["node"], "least", F.coalesce("component", "id").alias("component"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
