@@ -163,28 +163,38 @@ def _step(x: np.ndarray, y: np.ndarray, p: dict, own_share: float = 1.0) -> tupl
 
 
 def _hidden(x: np.ndarray, p: dict, side: str) -> np.ndarray:
-    """_run() without what training needs, in place: a sigmoid is (1 + tanh(z / 2)) / 2."""
+    """_run() without what training needs, in place: tanh(z) is 2 / (1 + exp(-2 z)) - 1, and NumPy's exp is much faster than its tanh."""
     steps, batch = x.shape
     wh = p[f"h{side}"]
     n = wh.shape[0]
-    scale = np.full(4 * n, 0.5, np.float32)
-    scale[3 * n :] = 1
+    scale = np.full(4 * n, -1, np.float32)
+    scale[3 * n :] = -2
     table, wh, x = (p[f"x{side}"] + p[f"c{side}"]) * scale, wh * scale, x.astype(np.intp)
     h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
     z, gz, tc = np.empty((batch, 4 * n), np.float32), np.empty((batch, 4 * n), np.float32), np.empty((batch, n), np.float32)
     out = np.empty((steps, batch, n), np.float32)
-    for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-        np.matmul(h, wh, out=z)
-        z += np.take(table, x[t], axis=0, out=gz, mode="clip")
-        np.tanh(z, out=z)
-        gates = z[:, : 3 * n]
-        gates += 1
-        gates *= 0.5
-        c *= z[:, n : 2 * n]
-        c += z[:, :n] * z[:, 3 * n :]
-        np.tanh(c, out=tc)
-        h = out[t]
-        np.multiply(z[:, 2 * n : 3 * n], tc, out=h)
+
+    def shares(v: np.ndarray) -> None:
+        np.exp(v, out=v)
+        v += 1
+        np.reciprocal(v, out=v)
+
+    with np.errstate(over="ignore"):
+        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+            np.matmul(h, wh, out=z)
+            z += np.take(table, x[t], axis=0, out=gz, mode="clip")
+            shares(z)
+            g = z[:, 3 * n :]
+            g *= 2
+            g -= 1
+            c *= z[:, n : 2 * n]
+            c += z[:, :n] * g
+            np.multiply(c, -2, out=tc)
+            shares(tc)
+            tc *= 2
+            tc -= 1
+            h = out[t]
+            np.multiply(z[:, 2 * n : 3 * n], tc, out=h)
     return out
 
 
