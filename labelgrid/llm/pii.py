@@ -28,7 +28,7 @@ _CLUE = re.compile(r"[0-9@]")
 _PHONE_LOOSE = re.compile(r"\+?[0-9(][\x20()./0-9-]+[0-9]")
 
 #: Windows of WIDTH characters, STEP apart: they overlap by WIDTH - STEP.
-WIDTH, STEP = 160, 128
+WIDTH, STEP = 256, 224
 _EDGE = (WIDTH - STEP) // 2
 #: Windows scored together, and so what is held of a text's scores at once; runs decoded together. Products of
 #: this size are too small for NumPy's BLAS to share among threads, which cost more CPU time than they save.
