@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bpe, byte_cnn, line_dedup, media, oracle, packing, pii, quality_rules, sharding, simhash
+from . import archive, bpe, byte_cnn, fill_middle, line_dedup, media, oracle, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         media.op8_interleaved_media,
         archive.op9_content_archive,
         bpe.op10_prefix_dp_bpe,
+        fill_middle.op11_fill_in_middle,
     ]
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelgrid.llm import archive, bpe, byte_cnn, line_dedup, media, packing, pii, quality_rules, sharding, simhash
+from labelgrid.llm import archive, bpe, byte_cnn, fill_middle, line_dedup, media, packing, pii, quality_rules, sharding, simhash
 
 from .test_operators import brute_fingerprint, brute_lines, brute_quality, prose, roots, tokenizer  # noqa: F401
 
@@ -226,6 +226,28 @@ def test_op10(spark, folder, none, tokenizer):  # noqa: F811
     assert bpe.op10_prefix_dp_bpe(spark, none).count() == 0
 
 
+def brute_middle(i, t):
+    t, x = t or "", hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(x[8 * k : 8 * k + 8], 16) for k in range(4))
+    n = len(t)
+    if not t or h3 % 100 >= 90 or any(m in t for m in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, t
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    if h4 % 100 < 20:
+        return n, "spm", a, b - a, "<S>" + t[b:] + "<P>" + t[:a] + "<M>" + t[a:b]
+    return n, "psm", a, b - a, "<P>" + t[:a] + "<S>" + t[b:] + "<M>" + t[a:b]
+
+
+def test_op11(spark, folder, none):
+    want = collections.Counter()
+    for i, t in rows():
+        *parts, out = brute_middle(i, t)
+        want[(i, *parts, sha(out), sha(t or ""))] += 1
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    assert held(fill_middle.op11_fill_in_middle(spark, folder), *names) == want
+    assert fill_middle.op11_fill_in_middle(spark, none).count() == 0
+
+
 def test_pipeline(spark, folder, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     now = docs
