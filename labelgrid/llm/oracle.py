@@ -56,4 +56,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(t) AS restored_sha256 FROM p
 """
 
-SQL = {"op3_quality_cascade": QUALITY, "op4_line_dedup": LINES, "op9_content_archive": ARCHIVE, "op11_fill_in_middle": FILL_MIDDLE}
+PREFIX_TRIE = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(sha256(role) || text)) AS t FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))) % 9 AS h FROM l),
+r AS (SELECT h.conv_id, coalesce(g.t[1 : h.h], []) || h.t[h.h + 1 :] AS t FROM h LEFT JOIN l g ON g.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(t) AS n, d, t[1 : d] AS k FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM r)),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(k[d].text) ELSE 0 END AS saved FROM n LEFT JOIN c USING (d, k)),
+s AS (SELECT a AS d, k[1 : a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, CAST(m.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (d, k) LEFT JOIN n u ON u.d = m.d - 1 AND u.k = m.k[1 : m.d - 1]
+"""
+
+EXACT = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
+SQL = {"op3_quality_cascade": QUALITY, "op4_line_dedup": LINES, "op9_content_archive": ARCHIVE, "op11_fill_in_middle": FILL_MIDDLE, "op12_prefix_trie": PREFIX_TRIE, "op13_exact_dedup": EXACT}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bpe, byte_cnn, fill_middle, line_dedup, media, oracle, packing, pii, quality_rules, sharding, simhash
+from . import archive, bpe, byte_cnn, exact_dedup, fill_middle, line_dedup, media, oracle, packing, pii, prefix_trie, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         archive.op9_content_archive,
         bpe.op10_prefix_dp_bpe,
         fill_middle.op11_fill_in_middle,
+        prefix_trie.op12_prefix_trie,
+        exact_dedup.op13_exact_dedup,
     ]
     return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 

@@ -1,4 +1,4 @@
-"""The ten query functions and the pipeline over one small table of awkward rows, each held to brute force.
+"""The query functions and the pipeline over one small table of awkward rows, each held to brute force.
 
 The table has null ids, null, blank, empty and long texts, ties, rows repeated whole, ids repeated with other
 texts, and columns called like those that operators add.
@@ -15,8 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelgrid.llm import archive, bpe, byte_cnn, fill_middle, line_dedup, media, packing, pii, quality_rules, sharding, simhash
+from labelgrid.llm import archive, bpe, byte_cnn, exact_dedup, fill_middle, line_dedup, media, packing, pii, prefix_trie, quality_rules, sharding, simhash
 
+from . import test_exact_dedup, test_prefix_trie
 from .test_operators import brute_fingerprint, brute_lines, brute_quality, prose, roots, tokenizer  # noqa: F401
 
 CLASHING = ["shard", "slot", "region", "fp", "node", "component", "words", "lines", "digest", "ids", "sequence_id", "score", "n_lines", "__doc", "part", "row", "id", "spans", "page"]
@@ -54,13 +55,15 @@ def folder(spark, tmp_path_factory):
     html = ["<p>a</p>", None, "<p>a</p>", "", "é" * 50, "<p>a</p>"]
     pages = [(i, f"http://x/{i}", h) for i, h in enumerate(html)] + [(0, "http://x/0", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "alone")]
     spark.createDataFrame(pages, "page_id long, url string, html string").select("*", *extra).write.parquet(str(root / "pages.parquet"))
+    talks = spark.createDataFrame(test_prefix_trie.conversations(31, 25), "conv_id long, turn int, role string, text string")
+    talks.select("*", *extra).repartition(3).write.parquet(str(root / "conversations.parquet"))
     return str(root)
 
 
 @pytest.fixture(scope="module")
 def none(spark, folder, tmp_path_factory):
     root = tmp_path_factory.mktemp("none")
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(root / f"{name}.parquet"))
     return str(root)
 
@@ -248,6 +251,18 @@ def test_op11(spark, folder, none):
     assert fill_middle.op11_fill_in_middle(spark, none).count() == 0
 
 
+def test_op12(spark, folder, none):
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert held(prefix_trie.op12_prefix_trie(spark, folder), *test_prefix_trie.COLUMNS) == test_prefix_trie.brute(rows)
+    assert prefix_trie.op12_prefix_trie(spark, none).count() == 0
+
+
+def test_op13(spark, folder, none):
+    df = exact_dedup.op13_exact_dedup(spark, folder)
+    assert held(df, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == test_exact_dedup.brute(rows())
+    assert exact_dedup.op13_exact_dedup(spark, none).count() == 0
+
+
 def test_pipeline(spark, folder, none):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     now = docs
