@@ -2,8 +2,9 @@
 
 Only different fingerprints enter the trie (trie.py), so copies cost nothing, and tasks return links
 that join what was not yet joined, never all pairs. Two forms: near_duplicate_components() links
-64-bit fingerprints within a few bits; similar_components() takes turns of a long fingerprint, of which
-some come close for any two texts as similar as asked, and checks what meets on whole shingle sets.
+64-bit fingerprints within a few bits; similar_components() spreads the trie of a long fingerprint over
+cells of least hashes, some of which any two texts as similar as asked have in common, however many
+texts there are, and checks what meets on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from .common import free_name, table, tune, written
 from .components import connected_components
 
 BITS = 64
-#: Bits of a long fingerprint; bits of a turn that only the check reads, when links are looked for among all
-#: fingerprints and among those of torn components; differing bits a turn's trie allows.
-LONG, CHECK, FULL_CHECK, TURN_BUDGET = 512, 128, 448, 2
-#: Share of pairs of the similarity asked that may share no turn.
-MISSED = 0.001
+#: Bits of a long fingerprint, and of what is checked behind a trie's 64 bits when links are first looked for.
+LONG, CHECK = 512, 128
+#: Least hashes of a shingle set; how many make the key of a cell and how many cells a text is in, at first and
+#: in place of cells of more than CELL texts.
+LEAST, BANDS, CELL = 64, ((3, 10), (6, 32)), 1 << 12
+#: Rounds in which torn components are joined by single links before all their pairs are compared.
+ROUNDS = 3
 
 
 def _shingle_hashes(text: str | None, width: int, seed: int) -> Iterator[bytes]:
@@ -148,18 +151,6 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def turns(n: int, similarity: float) -> tuple[int, int]:
-    """(bits a turn's trie has, number of turns) for n fingerprints.
-
-    Bits grow with log2(n), so unlike texts meet no more often in a larger table; turns are as many as
-    keep a pair of this similarity from missing all of them in all but MISSED of cases.
-    """
-    bits = min(64, max(18, math.ceil(math.log2(max(n, 1))) + 6))
-    p = differing_share(similarity)
-    met = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(TURN_BUDGET + 1))
-    return bits, max(1, math.ceil(math.log(MISSED) / math.log1p(-met))) if met < 1 else 1
-
-
 def _bound(bits: int, similarity: float, deviations: float = 4.0) -> int:
     """Differing bits among bits that only one in some 30,000 pairs of this similarity exceeds (3.1 deviations: one in 1,000)."""
     p = differing_share(similarity)
@@ -172,75 +163,132 @@ def _node(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+_FACTORS = np.random.default_rng(7).integers(0, 2**64, LEAST, np.uint64) | np.uint64(1)
+
+
+def least_hashes(found: np.ndarray) -> np.ndarray:
+    """The least of LEAST different 32-bit hashes over a set; each is shared by two sets in as many cases as their similarity says."""
+    least = np.full(LEAST, 2**32 - 1, np.uint32)
+    for at in range(0, len(found), 4096):
+        least = np.minimum(least, ((found[at : at + 4096, None] * _FACTORS) >> np.uint64(32)).min(axis=0).astype(np.uint32))
+    return least
+
+
+def bands(level: int) -> np.ndarray:
+    """Which least hashes make each cell's key: rows of places."""
+    size, n = BANDS[level]
+    if size * n <= LEAST:
+        return np.arange(size * n).reshape(n, size)
+    return np.argsort(np.random.default_rng(level).random((n, LEAST)), axis=1)[:, :size]
+
+
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc, node, bits): node is a digest of the shingle set, so equal sets are one node; bits its long fingerprint."""
+    """(doc, node, bits, least): node is a digest of the shingle set, so equal sets are one node; bits its long fingerprint, least its least hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(_node, sets), pa.binary()), pa.array(map(long_fingerprint, sets), pa.binary())],
-                ["doc", "node", "bits"],
-            )
+            made = [map(f, sets) for f in (_node, long_fingerprint, lambda x: least_hashes(x).tobytes())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.binary()) for x in made]], ["doc", "node", "bits", "least"])
 
-    return docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, f"doc {kind}, node binary, bits binary")
+    return docs.select(F.col("doc_id").alias("doc"), "text").mapInArrow(run, f"doc {kind}, node binary, bits binary, least binary")
 
 
-def _turned(nodes: DataFrame, bits: int, n_turns: int, check: int) -> DataFrame:
-    """A row for each turn of each node's fingerprint: cell (the turn), rest (its first bits), c0 … (those after), id and label, if there is one.
+def _in_bands(nodes: DataFrame, level: int, turn: int, check: int) -> DataFrame:
+    """A row for each cell of a node: cell, id, key (64 bits of its fingerprint), c0 … (the next check bits), and label, if there is one.
 
-    A turn is a fixed order of the fingerprint's bits.
+    turn says at which word of the fingerprint its 64 bits begin.
     """
-    orders = np.argsort(np.random.default_rng(11).random((n_turns, LONG)), axis=1)[:, : bits + check]
-    checked = [f"c{k}" for k in range(check // 64)]
+    places = bands(level)
+    n_words = 1 + check // 64
     kept = ["id", *[c for c in ("label",) if c in nodes.columns]]
+    names = ["cell", "key", *[f"c{k}" for k in range(n_words - 1)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            raw = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1)
-            for t, order in enumerate(orders):
-                turned = np.zeros((n, 64 + check), np.uint8)
-                turned[:, 64 - bits : 64], turned[:, 64:] = raw[:, order[:bits]], raw[:, order[bits:]]
-                words = np.packbits(turned, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-                columns = [pa.array(np.full(n, t, np.int64)), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(words.shape[1])]]
-                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], ["cell", "rest", *checked, *kept])
-
-    ddl = ", ".join(f"{c} long" for c in ("cell", "rest", *checked, *kept))
-    return nodes.select("bits", *kept).mapInArrow(run, ddl)
-
-
-def candidate_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of ids of nodes (id, bits) that come close in some turn.
-
-    As many as join the same components; with a column label all such pairs of unlike labels.
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(n, -1).astype(np.uint64).view(np.int64)
+            words = [pa.array(np.ascontiguousarray(words[:, (turn + k) % words.shape[1]])) for k in range(n_words)]
+            least = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, LEAST).astype(np.uint64)
+            for t, at in enumerate(places):
+                cell = np.full(n, level << 32 | t, np.uint64)
+                for k in at:
+                    cell = (cell ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                    cell ^= cell >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *words, *batch.columns[2:]], [*names, *kept])
+
+    ddl = ", ".join(f"{c} long" for c in (*names, *kept))
+    return nodes.select("bits", "least", *kept).mapInArrow(run, ddl)
+
+
+def _too_large(rows: DataFrame) -> DataFrame:
+    """(cell, n, heavy): cells of more than CELL rows; heavy is the label that most of them have, if there are labels."""
+    if "label" not in rows.columns:
+        return rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
+    most = rows.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cell")
+    return most.agg(F.sum("k").alias("n"), F.max_by("label", "k").alias("heavy"), F.max("k").alias("k")).where(F.col("n") > CELL)
+
+
+def _parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows of too large cells in cells of about CELL.
+
+    Without labels each row goes to one part. With labels those of a cell's most frequent label go to one part
+    each, and the others, which may be linked with any, to all parts; should they be many too, to pairs of parts.
+    A cell of one label has nothing to link.
     """
-    all_pairs = "label" in nodes.columns
-    bits, n_turns = turns(nodes.count(), similarity)
-    # Turns of 64 bits leave fewer than FULL_CHECK for the check.
-    check = min(FULL_CHECK, (LONG - bits) // 64 * 64) if all_pairs else CHECK
-    most = _bound(check, similarity, 3.1 if all_pairs else 4.0)
-
-    def links(rows: DataFrame, width: int) -> DataFrame:
-        budgets = [TURN_BUDGET] * (width + 1) + [TURN_BUDGET + _bound(k, similarity) for k in range(1, 64 - width + 1)]
-
-        def key(rows):
-            return rows["rest"].view(np.uint64) << np.uint64(64 - width) | rows["c0"].view(np.uint64) >> np.uint64(width)
-
-        def found(rows, keys, bounds):
-            checked = [rows[f"c{k}"].view(np.uint64) for k in range(check // 64)]
-            near = lambda i, j: sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in checked) <= most
-            pairs = trie.walk(keys, bounds, 64, budgets, near, rows["label"] if all_pairs else None, all_pairs)
-            yield from _pairs(rows, pairs, "id", pa.int64())
-
-        return trie.over_cells(rows, key, found, "u long, v long")
-
-    rows = _turned(nodes, bits, n_turns, check)
-    found = functools.reduce(DataFrame.unionByName, [links(*part) for part in trie.in_cells(rows, bits, TURN_BUDGET)])
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    parts = F.ceil(F.col("n") / (CELL // 2)).cast("int")
+    met = rows.join(hot, "cell").withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    if "label" not in rows.columns:
+        return met.select(F.xxhash64("cell", "own").alias("cell"), *[c for c in rows.columns if c != "cell"])
+    light = F.col("label") != F.col("heavy")
+    few = F.col("n") - F.col("k") <= CELL // 2
+    every = F.sequence(F.lit(0), parts - 1)
+    met = met.where(F.col("k") < F.col("n")).withColumn("other", F.explode(F.when(few & ~light, F.array("own")).otherwise(every)))
+    pair = F.when(few, F.array(F.col("other"), F.col("other"))).otherwise(F.array(F.least("own", "other"), F.greatest("own", "other")))
+    return met.select(F.xxhash64("cell", pair).alias("cell"), *[c for c in rows.columns if c != "cell"])
+
+
+def _walked(rows: DataFrame, similarity: float, check: int, deviations: float, all_pairs: bool) -> DataFrame:
+    """(u, v) of ids in a cell whose keys stay within what texts of this similarity differ in, on the way down and in the bits behind."""
+    most = _bound(check, similarity, deviations)
+    budgets = [_bound(k, similarity) for k in range(65)]
+    labelled = "label" in rows.columns
+
+    def found(rows, keys, bounds):
+        checked = [rows[f"c{k}"].view(np.uint64) for k in range(check // 64)]
+        near = lambda i, j: sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int16) for c in checked) <= most
+        yield from _pairs(rows, trie.walk(keys, bounds, 64, budgets, near, rows["label"] if labelled else None, all_pairs), "id", pa.int64())
+
+    return trie.over_cells(rows, lambda rows: rows["key"].view(np.uint64), found, "u long, v long")
+
+
+def candidate_links(nodes: DataFrame, similarity: float, turn: int = 0, all_pairs: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(u, v) of ids of nodes (id, bits, least) that meet in a cell and come close there; and what was left out.
+
+    As many links as join the same components, of unlike labels if there is a column label; with all_pairs all pairs of unlike
+    labels. A node is in a fixed number of cells, whatever their number; nodes of too large cells are in
+    others of more hashes too. What is too large then is cut to parts; without labels rows of different parts don't meet,
+    and those cells come second, (cell, id), for a call with labels.
+    """
+    labelled = "label" in nodes.columns
+    check, deviations = (LONG - 64, 3.1) if labelled else (CHECK, 4.0)
+    rows = _in_bands(nodes, 0, turn, check)
+    hot = written(_too_large(rows))
+    links = [_walked(rows.join(hot.select("cell"), "cell", "left_anti"), similarity, check, deviations, all_pairs)]
+    left = None
+    if not hot.isEmpty():
+        again = nodes.join(written(rows.join(hot.select("cell"), "cell", "left_semi").select("id").distinct()), "id", "left_semi")
+        rows = _in_bands(again, 1, turn, check)
+        hot = written(_too_large(rows))
+        links.append(_walked(rows.join(hot.select("cell"), "cell", "left_anti"), similarity, check, deviations, all_pairs))
+        if not hot.isEmpty():
+            links.append(_walked(_parted(rows, hot), similarity, check, deviations, all_pairs))
+            left = None if labelled else rows.join(hot.select("cell"), "cell", "left_semi").select("cell", "id")
+    found = functools.reduce(DataFrame.unionByName, links)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), left
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -255,7 +303,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
             )
 
     wanted = written(
-        pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(nodes.select("id", "node", "least"), "id")
+        pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct().join(nodes.select("id", "node", F.col("doc").alias("least")), "id")
     )
     # Rows that share a doc_id may have other texts; a node is read from one that has its set.
     met = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("least"))
@@ -271,29 +319,52 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     """(doc, component_id): the smallest doc_id among documents linked by a Jaccard similarity of at least similarity.
 
     Compared are the sets of shingles of width words. Equal sets are one node of the trie. Candidates
-    that join its components are checked first; where some fail the check, all further candidates
-    between the parts of that component are checked too, so every candidate pair is joined or was
-    compared. Texts without words are one set, unlike all others; rows without a doc_id are left out;
+    that join its components are checked first; where some fail the check, others between the parts of that
+    component are, in a few rounds one for each part and then all that are left, so every candidate pair
+    is joined or was compared. Texts without words are one set, unlike all others; rows without a doc_id are left out;
     repeated rows give equal rows; an empty table gives none.
     """
     tune(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull())
     rows = written(_signatures(docs, width))
-    nodes = written(
-        rows.groupBy("node").agg(F.min("doc").alias("least"), F.first("bits").alias("bits")).withColumn("id", F.monotonically_increasing_id())
-    )
-    first = written(candidate_links(nodes, similarity))
-    near = written(_similar(first, nodes, docs, width, similarity))
+    nodes = rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("bits").alias("bits"), F.first("least").alias("least"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
+    met, left = candidate_links(nodes, similarity)
+    met = written(met)
+    near = written(_similar(met, nodes, docs, width, similarity))
     labels = written(connected_components(near))
-    if near.count() < first.count():
-        loose = written(connected_components(first)).withColumnRenamed("component", "loose")
+
+    def further(apart: DataFrame, turn: int, all_pairs: bool) -> int:
+        """Looks for links among nodes (node) of unlike components; how many candidates there were."""
+        nonlocal met, near, labels
+        again = apart.select(F.col("node").alias("id")).distinct().join(nodes.select("id", "bits", "least"), "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        again = written(again.select("id", "bits", "least", F.coalesce("component", "id").alias("label")))
+        rest = written(candidate_links(again, similarity, turn, all_pairs)[0].join(met, ["u", "v"], "left_anti"))
+        if rest.isEmpty():
+            return 0
+        met = met.unionByName(rest)
+        near = near.unionByName(written(_similar(rest, nodes, docs, width, similarity)))
+        labels = written(connected_components(near))
+        return rest.count()
+
+    if left is not None:
+        of = written(left.join(labels.withColumnRenamed("node", "id"), "id", "left").select("cell", F.col("id").alias("node"), F.coalesce("component", "id").alias("label")))
+        mixed = of.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cell")
+        further(of.join(mixed, "cell", "left_semi"), 0, False)
+
+    def torn() -> DataFrame:
+        """Nodes of components of candidate links that the checked links leave in parts."""
+        loose = written(connected_components(met)).withColumnRenamed("component", "loose")
         parts = loose.join(labels, "node", "left").select("node", "loose", F.coalesce("component", "node").alias("label"))
-        torn = written(parts.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose"))
-        again = written(parts.join(torn, "loose").select(F.col("node").alias("id"), "label").join(nodes.select("id", "bits"), "id"))
-        rest = written(candidate_links(again, similarity).join(first, ["u", "v"], "left_anti"))
-        labels = written(connected_components(near.unionByName(_similar(rest, nodes, docs, width, similarity))))
-    own = nodes.join(labels, nodes["id"] == labels["node"], "left").select(nodes["node"], "least", F.coalesce("component", "id").alias("component"))
-    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+        return parts.join(parts.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose"), "loose", "left_semi")
+
+    # Single links first, each time in another order: they join most parts, and few pairs are left to compare.
+    for turn in range(1, ROUNDS + 2):
+        apart = written(torn())
+        if apart.isEmpty() or (not further(apart, turn, turn > ROUNDS) and turn > ROUNDS):
+            break
+    own = nodes.join(labels, nodes["id"] == labels["node"], "left").select(nodes["node"], "doc", F.coalesce("component", "id").alias("component"))
+    least = own.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_node = written(own.join(least, "component").select("node", "component_id"))
     return rows.select("doc", "node").join(by_node, "node").select(F.col("doc").alias("id"), "component_id")
 

@@ -120,8 +120,11 @@ def _in_order(rows: Rows, key, found) -> Iterator[pa.RecordBatch]:
 class Forest:
     """Union-find over 0..n-1 that keeps the links that joined something."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, labels: np.ndarray | None = None):
         self.up = list(range(n))
+        if labels is not None:  # rows of one label are joined from the start, to the first of them
+            _, first, of = np.unique(labels, return_index=True, return_inverse=True)
+            self.up = first[of].tolist()
         self.links: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
@@ -169,10 +172,10 @@ def walk(
     differ above depth d; near(i, j): a mask for arrays of rows. A trie node is a run of a cell's
     keys. Pairs of nodes go down together: each splits by its next bit, a pair of unlike bits costs
     one, and pairs over budget end there. Pairs of nodes of one component end too: of the pairs found
-    so far, of which only those that join components are given, or with all_pairs of labels, and
-    then all pairs between components are given.
+    so far, of which only those that join components are given, and of labels; with all_pairs of labels
+    alone, and then all pairs between them are given.
     """
-    forest = None if all_pairs else Forest(len(keys))
+    forest = None if all_pairs else Forest(len(keys), labels)
     change = None if labels is None else np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
     ones: dict[int, np.ndarray] = {}
     linked = 0
