@@ -388,4 +388,8 @@ def digest_documents(df: DataFrame, id_col: str, text_col: str, path: str | None
 
 
 def op10_prefix_dp_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens, digest of the ids and digest of what they decode to, for every document.
+
+    A null text is an empty one and has no ids; a null doc_id is kept; repeated rows give equal rows; no rows give none.
+    """
     return digest_documents(table(spark, sf_dir, "documents"), "doc_id", "text")

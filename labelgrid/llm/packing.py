@@ -255,4 +255,8 @@ def pack_documents(
 
 
 def op6_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 4096 tokens.
+
+    A null or empty text is its end mark alone; a null doc_id is kept; repeated rows are packed one by one; no rows give none.
+    """
     return pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)

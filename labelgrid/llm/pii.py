@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,7 +20,6 @@ Span = tuple[int, int, int]  # start, kind, end
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A match ends at the end of a run of digits, so the next begins at the start of one.
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -68,7 +68,7 @@ def is_phone(s: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Leftmost matches of _EMAIL in linear time: each takes the run of local letters before an @."""
+    """Leftmost matches of the address pattern in linear time: each takes the run of local letters before an @."""
     done, at = 0, text.find("@")
     while at >= 0:
         start = at
@@ -203,7 +203,8 @@ def _good(kind: int, s: str) -> bool:
     """Whether a tagged string can be what its tag says, though the base pattern did not take it.
 
     An address may lack a dot or have letters the pattern does not know; an IP or a card number may stand among other
-    digits, with which the pattern took it and let it go; a phone number may lack the plus sign.
+    digits, with which the pattern took it and let it go; a phone number may lack the plus sign, and then has 10 digits, or 11
+    with a leading 1: that is how numbers are written within a country, and shorter or longer runs are mostly not numbers to call.
     """
     if kind == 0:
         return s.count("@") == 1 and 0 < s.index("@") < len(s) - 1 and not any(map(str.isspace, s))
@@ -216,7 +217,7 @@ def _good(kind: int, s: str) -> bool:
 
 def added_spans(text: str, tagged: list[Span], base: list[Span]) -> list[Span]:
     """Tagged spans, grown to the edges of their words, that pass _good() and meet no base span."""
-    held = sorted((a, b) for a, _, b in base)
+    starts, ends = _covered(base)
     out: list[Span] = []
     for start, kind, end in tagged:
         if kind in (0, 3):
@@ -228,12 +229,27 @@ def added_spans(text: str, tagged: list[Span], base: list[Span]) -> list[Span]:
             start += 1
         while end > start and (text[end - 1].isspace() or text[end - 1] in ".,;:"):
             end -= 1
-        if start < end and _good(kind, text[start:end]) and not any(a < end and start < b for a, b in held):
+        k = bisect.bisect_left(starts, end)  # of what is covered only the last run that begins before end can reach past start
+        if start < end and (not k or ends[k - 1] <= start) and _good(kind, text[start:end]):
             out.append((start, kind, end))
-            held.append((start, end))
+            starts.insert(k, start)
+            ends.insert(k, end)
     return out
 
 
+def _covered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that spans, by start, cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def spelled(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
