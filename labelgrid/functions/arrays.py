@@ -29,9 +29,10 @@ def total(bands: Column) -> Column:
 
 
 def softmax(bands: Column) -> Column:
-    """exp(x - max) over its sum."""
-    raised = F.transform(F.array(bands), lambda b: F.transform(b, lambda x: F.exp(x - F.array_max(b))))[0]
-    return F.transform(F.array(raised), lambda e: F.transform(e, lambda x: x / total(e)))[0]
+    """exp(x - max) over its sum; both are taken once for an array."""
+    one = lambda v, use: F.transform(F.array(v), use)[0]
+    raised = one(F.struct(bands.alias("b"), F.array_max(bands).alias("top")), lambda s: F.transform(s["b"], lambda x: F.exp(x - s["top"])))
+    return one(raised, lambda e: one(F.struct(e.alias("e"), total(e).alias("sum")), lambda s: F.transform(s["e"], lambda x: x / s["sum"])))
 
 
 def group_max(bands: Column, groups: dict[int, int], n: int) -> Column:

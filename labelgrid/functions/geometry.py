@@ -33,6 +33,29 @@ def utm(lat: Column, lon: Column, epsg: int) -> Column:
     return F.struct((F.lit(500000.0) + scale * x).alias("x"), (scale * y).alias("y"))
 
 
+# The inverse series, in the third flattening: from the plane to the conformal sphere, and from conformal to geodetic latitude.
+_BETA = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, 1 / 48 * _N**2 + 1 / 15 * _N**3, 17 / 480 * _N**3)
+_DELTA = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+
+
+def lat_lon(x: Column, y: Column, epsg: int) -> Column:
+    """Struct (lat, lon) in degrees of metres in a northern UTM zone (EPSG 326zz): what utm() undoes to well under a millimetre."""
+    zone = epsg - 32600
+    if not 1 <= zone <= 60:
+        raise ValueError(f"EPSG {epsg} is not a northern UTM zone")
+    scale = F.lit(0.9996 * _RADIUS)
+    xi, eta = y / scale, (x - F.lit(500000.0)) / scale
+    a, b = xi, eta
+    for j, k in enumerate(_BETA, 1):
+        a = a - F.lit(k) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - F.lit(k) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    phi = chi
+    for j, k in enumerate(_DELTA, 1):
+        phi = phi + F.lit(k) * F.sin(2 * j * chi)
+    return F.struct(F.degrees(phi).alias("lat"), (F.degrees(F.atan2(F.sinh(b), F.cos(a))) + F.lit(zone * 6.0 - 183.0)).alias("lon"))
+
+
 def cell(x: Column, y: Column, x0: float, y0: float, res: float, height: int, width: int) -> Column:
     """Struct (row, col) of the nearest cell of a north-up grid; points outside go to its edge."""
     hold = lambda v, n: F.greatest(F.lit(0), F.least(F.floor(v).cast("long"), F.lit(n - 1))).cast("int")

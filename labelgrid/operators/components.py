@@ -7,34 +7,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .raster import opened
+from .tables import materialised, numbered, shared_folder
+
 #: Rows and columns of a block that one task labels.
 BLOCK = 64
 
 
-def _folder_for_checkpoints(pixels: DataFrame) -> None:
-    """Checkpoints go to spark.checkpoint.dir; unset, a local master gets a temporary folder and a cluster an error."""
-    spark = pixels.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="labelgrid-"))
-
+def block_regions(labels: np.ndarray, there: np.ndarray, diagonal: np.ndarray | None = None) -> np.ndarray:
+    """For each cell the least flat index of its region of equal label; cells not there stand alone.
 
-def block_regions(labels: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """For each cell the least flat index of its 4-connected region of equal label; cells not there stand alone."""
+    Cells are joined over their sides, and over their corners where diagonal is true of both.
+    """
     h, w = labels.shape
     region = np.arange(h * w).reshape(h, w)
-    down = (labels[1:] == labels[:-1]) & there[1:] & there[:-1]
-    right = (labels[:, 1:] == labels[:, :-1]) & there[:, 1:] & there[:, :-1]
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if diagonal is not None and diagonal.any() else [])
+    pairs = []
+    for i, j in steps:
+        a = (slice(0, h - i), slice(max(0, -j), w - max(0, j)))
+        b = (slice(i, h), slice(max(0, j), w - max(0, -j)))
+        same = (labels[a] == labels[b]) & there[a] & there[b]
+        pairs.append((a, b, same & diagonal[a] & diagonal[b] if i and j else same))
     while True:
         new = region.copy()
-        new[1:] = np.where(down, np.minimum(new[1:], region[:-1]), new[1:])
-        new[:-1] = np.where(down, np.minimum(new[:-1], region[1:]), new[:-1])
-        new[:, 1:] = np.where(right, np.minimum(new[:, 1:], region[:, :-1]), new[:, 1:])
-        new[:, :-1] = np.where(right, np.minimum(new[:, :-1], region[:, 1:]), new[:, :-1])
+        for a, b, same in pairs:
+            new[b] = np.where(same, np.minimum(new[b], region[a]), new[b])
+            new[a] = np.where(same, np.minimum(new[a], region[b]), new[a])
         new = new.ravel()[new]  # a shortcut: that cell's own region
         if np.array_equal(new, region):
             return region
@@ -71,31 +69,70 @@ def _contracted(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges
 
 
-def regions(pixels: DataFrame, keys: list[str], label: str, height: int, width: int) -> DataFrame:
+def regions(pixels: DataFrame, keys: list[str], label: str, height: int, width: int, diagonal: str | None = None) -> DataFrame:
     """pixels with region: the smallest row * width + col of its 4-connected region of equal label.
 
-    Blocks are labelled by themselves; then only regions that meet over a block's border are joined, by
+    Pixels where the column diagonal is true are joined over corners too. Blocks are labelled by themselves; then only regions that meet over a block's border are joined, by
     contraction, and the narrow result is joined back. keys and labels must not be null.
     """
-    _folder_for_checkpoints(pixels)
-    cells = pixels.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(label).alias("label"))
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in [*keys, "row", "col", "label"])
+    shared_folder(pixels.sparkSession)  # sets a folder for checkpoints where none is set
+    cells = pixels.select(
+        *keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(label).alias("label"), (F.col(diagonal) if diagonal else F.lit(False)).alias("__d")
+    )
+    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in [*keys, "row", "col", "label", "__d"])
 
     def own(t: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = t["row"].min() // BLOCK * BLOCK, t["col"].min() // BLOCK * BLOCK
         i, j = (t["row"] - r0).to_numpy(), (t["col"] - c0).to_numpy()
-        codes, there = np.full((BLOCK, BLOCK), -1), np.zeros((BLOCK, BLOCK), bool)
-        codes[i, j], there[i, j] = pd.factorize(t["label"])[0], True
-        least = block_regions(codes, there)[i, j]
+        codes, there, over = np.full((BLOCK, BLOCK), -1), np.zeros((BLOCK, BLOCK), bool), np.zeros((BLOCK, BLOCK), bool)
+        codes[i, j], there[i, j], over[i, j] = pd.factorize(t["label"])[0], True, t["__d"]
+        least = block_regions(codes, there, over)[i, j]
         at = (r0 + least // BLOCK).astype("int64") * width + c0 + least % BLOCK
-        return t[[*keys, "row", "col", "label"]].assign(region=at)
+        return t[[*keys, "row", "col", "label", "__d"]].assign(region=at)
 
     block = [F.floor(F.col("row") / BLOCK).alias("__br"), F.floor(F.col("col") / BLOCK).alias("__bc")]
     local = cells.select("*", *block).groupBy(*keys, "__br", "__bc").applyInPandas(own, f"{kinds}, region long").checkpoint()
     first = lambda c, d: local.where(F.col(c) % BLOCK == BLOCK - 1).select(*keys, "row", "col", "label", F.col("region").alias("u")).withColumn(c, F.col(c) + d)
     other = local.where((F.col("row") % BLOCK == 0) | (F.col("col") % BLOCK == 0)).select(*keys, "row", "col", "label", F.col("region").alias("v"))
     met = first("row", 1).unionByName(first("col", 1)).join(other, [*keys, "row", "col", "label"]).select(*keys, "u", "v")
+    if diagonal:
+        # Over corners: a pixel at a block's lower or right border, or at its left one for the block to the lower left.
+        rim = (F.col("row") % BLOCK == BLOCK - 1) | (F.col("col") % BLOCK == BLOCK - 1) | (F.col("col") % BLOCK == 0)
+        below = F.inline(F.array(*[F.struct((F.col("row") + 1).alias("__r"), (F.col("col") + d).alias("__c")) for d in (-1, 1)]))
+        ends = local.where(rim & F.col("__d")).select(*keys, "label", F.col("region").alias("u"), below).withColumnsRenamed({"__r": "row", "__c": "col"})
+        met = met.unionByName(ends.join(local.where("__d").select(*keys, "row", "col", "label", F.col("region").alias("v")), [*keys, "row", "col", "label"]).where("u <> v").select(*keys, "u", "v"))
     joined = _contracted(met, keys).select(*keys, F.col("u").alias("region"), F.col("v").alias("__least"))
     return local.join(joined, [*keys, "region"], "left").select(
         *keys, "row", "col", F.col("label").alias(label), F.coalesce("__least", "region").alias("region")
     )
+
+
+def split_segments(pixels: DataFrame, keys: list[str], label: str, height: int, width: int, opening: int = 0) -> DataFrame:
+    """(keys, row, col, segment): pixels' segments split to connected parts and filled holes, numbered from 0 in each image.
+
+    Parts of a segment are its 8-connected regions; its holes are what they surround: 4-connected regions of all other
+    pixels that don't reach the image's border. Both have numbers, by segment, parts before holes, by first pixel. Segments are
+    drawn in order, each hole over what it is in, so a pixel has the number of the last segment that holds it
+    or surrounds it. With opening, segments are first eroded and widened by squares of that radius, and
+    pixels that nothing holds then have -1. Only a segment's own box, one pixel wider, is looked at. Absent pixels belong to no segment.
+    """
+    boxes = pixels.groupBy(*keys, F.col(label).alias("__s")).agg(
+        F.greatest(F.min("row") - 1, F.lit(0)).alias("r0"), F.least(F.max("row") + 1, F.lit(height - 1)).alias("r1"),
+        F.greatest(F.min("col") - 1, F.lit(0)).alias("c0"), F.least(F.max("col") + 1, F.lit(width - 1)).alias("c1"),
+    )
+    boxed = boxes.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    rim = (F.col("row") == F.col("r0")) | (F.col("row") == F.col("r1")) | (F.col("col") == F.col("c0")) | (F.col("col") == F.col("c1"))
+    named = pixels.select(*keys, "row", "col", F.col(label).alias("__l"))
+    cells = boxed.join(named, [*keys, "row", "col"], "left").select(
+        *keys, "__s", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), rim.alias("__rim"), F.coalesce(F.col("__l") == F.col("__s"), F.lit(False)).cast("int").alias("__on")
+    )
+    own = [*keys, "__s"]
+    if opening:
+        cells = opened(cells, own, "__on", opening)
+    cells = materialised(cells.withColumn("__d", F.col("__on") == 1))
+    found = regions(cells, own, "__on", height, width, "__d").join(cells.select(*own, "row", "col", "__rim"), [*own, "row", "col"])
+    found = materialised(found)
+    drawn = found.groupBy(*own, "__on", "region").agg(F.max("__rim").alias("__rim")).where("__on = 1 OR NOT __rim").withColumn("__hole", 1 - F.col("__on"))
+    ids = numbered(drawn.select(*own, "__on", "region", "__hole"), keys, ["__s", "__hole", "region"], "segment")
+    last = found.join(ids.drop("__hole"), [*own, "__on", "region"]).groupBy(*keys, "row", "col").agg(F.max_by("segment", "__s").alias("segment"))
+    return pixels.select(*keys, "row", "col").join(last, [*keys, "row", "col"], "left").withColumn("segment", F.coalesce("segment", F.lit(-1).cast("long")))

@@ -5,9 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import arrays
 from .metrics import exact_percentile
@@ -22,21 +25,79 @@ def disk(r: int) -> list[tuple[int, int]]:
     return [(i, j) for i, j in box(r) if i * i + j * j <= r * r]
 
 
-def _agg(kind: str, value: str) -> Column:
-    return {"max": F.max, "min": F.min, "sum": F.sum, "or": F.bit_or}[kind](value)
+#: Rows and columns of a block; a task's group is a block and its halo.
+FOCAL_BLOCK = 64
 
 
-def focal_dense(pixels: DataFrame, keys: list[str], value: str, r: int, kind: str) -> DataFrame:
-    """max, min, sum or bitwise or over the square of radius r around each pixel of images without gaps.
+def _along(a: np.ndarray, r: int, kind: str) -> np.ndarray:
+    """Of each place of a's first axis that has r places on both sides, the max, min, sum or bitwise or over it and them."""
+    width = 2 * r + 1
+    if kind == "sum":
+        total = np.concatenate([np.zeros_like(a[:1]), np.cumsum(a, axis=0)])
+        return total[width:] - total[:-width]
+    op = {"max": np.maximum, "min": np.minimum, "or": np.bitwise_or}[kind]
+    size = 1
+    while 2 * size <= width:  # runs of twice the length from two that meet
+        a, size = op(a[:-size], a[size:]), 2 * size
+    return op(a[: len(a) - (width - size)], a[width - size :]) if size < width else a
 
-    Separable: along rows, then along columns, so each pass holds one line of an image at a time.
-    """
-    w = lambda line, at: Window.partitionBy(*keys, line).orderBy(at).rangeBetween(-r, r)
-    return pixels.withColumn(value, _agg(kind, value).over(w("row", "col"))).withColumn(value, _agg(kind, value).over(w("col", "row")))
 
+def _neutral(kind: str, dtype: np.dtype):
+    if kind in ("sum", "or"):
+        return 0
+    ends = np.iinfo(dtype) if dtype.kind in "iu" else None
+    return (ends.min if kind == "max" else ends.max) if ends else (-np.inf if kind == "max" else np.inf)
 
-#: Rows and columns of a block; a task's group is a block and its halo.
-FOCAL_BLOCK = 64
+
+def focal_dense(pixels: DataFrame, keys: list[str], value: str, r: int, kind: str) -> DataFrame:
+    """max, min, sum or bitwise or over the square of radius r around each pixel; value is a number or an array of doubles of one length.
+
+    Images are cut to blocks, which a task holds with their halo. A pixel goes to its block with all columns, and to those it is in
+    the halo of with its value alone. Absent and null neighbours count for nothing.
+    """
+    out = pixels.schema[value].dataType
+    if kind == "sum" and not isinstance(out, ArrayType):
+        out = pixels.agg(F.sum(value).alias(value)).schema[value].dataType
+    side = FOCAL_BLOCK + 2 * r
+    others = [c for c in pixels.columns if c not in (*keys, "row", "col", value)]
+    lap = lambda c: F.sequence(F.floor((F.col(c) - r) / FOCAL_BLOCK), F.floor((F.col(c) + r) / FOCAL_BLOCK))
+    carried = F.struct(*others) if others else F.lit(0)
+    sent = pixels.select(*keys, "row", "col", value, carried.alias("__o"), F.explode(lap("row")).alias("__br")).select("*", F.explode(lap("col")).alias("__bc"))
+    own = (F.floor(F.col("row") / FOCAL_BLOCK) == F.col("__br")) & (F.floor(F.col("col") / FOCAL_BLOCK) == F.col("__bc"))
+    sent = sent.withColumn("__own", own).withColumn("__o", F.when(own, F.col("__o")))
+    kept = [*keys, "row", "col", "__o"]
+    schema = StructType([*[sent.schema[c] for c in kept], StructField(value, out)])
+
+    def one(t: pa.Table) -> pa.Table:
+        i = t["row"].to_numpy() - t["__br"][0].as_py() * FOCAL_BLOCK + r
+        j = t["col"].to_numpy() - t["__bc"][0].as_py() * FOCAL_BLOCK + r
+        column = t[value].combine_chunks()
+        there = column.is_valid().to_numpy(zero_copy_only=False)
+        if pa.types.is_list(column.type):
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            v = flat.reshape(int(there.sum()), -1)
+        else:
+            v = column.drop_null().to_numpy(zero_copy_only=False)[:, None]
+        dense = np.full((side, side, v.shape[1]), _neutral(kind, v.dtype), v.dtype)
+        dense[i[there], j[there]] = v
+        held = _along(_along(dense, r, kind).swapaxes(0, 1), r, kind).swapaxes(0, 1)
+        mine = t["__own"].to_numpy()
+        at_i, at_j = i, j
+        i, j, rows = i[mine] - r, j[mine] - r, t.filter(t["__own"])
+        found, none = held[i, j], None
+        if not there.all():
+            seen = np.zeros((side, side, 1), bool)
+            seen[at_i[there], at_j[there]] = True
+            none = ~_along(_along(seen, r, "or").swapaxes(0, 1), r, "or").swapaxes(0, 1)[i, j, 0]
+        if pa.types.is_list(column.type):
+            made = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), v.shape[1]).cast(column.type)
+            made = made if none is None else pc.if_else(pa.array(none), pa.scalar(None, column.type), made)
+        else:
+            made = pa.array(found[:, 0], mask=none)
+        return rows.select(kept).append_column(value, made)
+
+    found = sent.groupBy(*keys, "__br", "__bc").applyInArrow(one, schema)
+    return found.select(*[F.col("__o").getField(c).alias(c) if c in others else F.col(c) for c in pixels.columns])
 
 
 def focal(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], of: Callable[[Column], Column]) -> DataFrame:
@@ -99,12 +160,13 @@ def boundaries(pixels: DataFrame, keys: list[str], mask: str, name: str, r0: int
 def boundary_sums(pixels: DataFrame, keys: list[str], gt: str, pred: str, classes: list[int], r0: int = 1, r: int = 2, ignore: int = -1) -> DataFrame:
     """(keys, class, tp, tpfp, tn, tnfn) of label images, for boundary_f1().
 
-    The masks of all classes, true and predicted, are bits of one long, so they are widened together;
-    31 classes at most.
+    The masks of all classes, true and predicted, are bits of one long, so they are widened together; of more
+    than 31 classes each 31 have a long of their own.
     """
+    if len(classes) > 31:
+        parts = [boundary_sums(pixels, keys, gt, pred, classes[k : k + 31], r0, r, ignore) for k in range(0, len(classes), 31)]
+        return functools.reduce(DataFrame.unionByName, parts)
     n = len(classes)
-    if n > 31:
-        raise ValueError(f"{n} classes; a long holds the masks of 31")
     bit = lambda c, shift: functools.reduce(lambda out, k: F.when(F.col(c) == classes[k], F.lit(1 << (k + shift)).cast("long")).otherwise(out), range(n), F.lit(0).cast("long"))
     every = F.lit((1 << 2 * n) - 1).cast("long")
     masks = pixels.withColumn("__own", bit(gt, 0).bitwiseOR(bit(pred, n)))
@@ -122,15 +184,25 @@ def boundary_sums(pixels: DataFrame, keys: list[str], gt: str, pred: str, classe
 
 
 def soft_boundary_sums(pixels: DataFrame, keys: list[str], gt: str, probs: str, classes: list[int], r0: int = 1, r: int = 2, ignore: int = -1) -> DataFrame:
-    """boundary_sums() of class probabilities (an array by class) against labels: the boundary loss before its F1."""
-    each = pixels.withColumn("class", F.explode(F.array(*map(F.lit, classes))))
-    each = each.withColumn("__g", (F.col(gt) == F.col("class")).cast("double")).withColumn("__p", F.get(probs, F.col("class")))
-    lanes = [*keys, "class"]
-    seen = boundaries(boundaries(each, lanes, "__g", "gb", r0, r), lanes, "__p", "pb", r0, r).where(F.col(gt) != ignore)
-    return seen.groupBy(*lanes).agg(
-        F.sum(F.col("pb") * F.col("gb_ext")).alias("tp"), F.sum("pb").alias("tpfp"),
-        F.sum(F.col("pb_ext") * F.col("gb")).alias("tn"), F.sum("gb").alias("tnfn"),
-    )
+    """boundary_sums() of class probabilities (an array by class) against labels: the boundary loss before its F1.
+
+    The masks of all classes, true and predicted, are one array that is widened as a whole.
+    """
+    n = len(classes)
+    true = [F.when(F.col(gt) == k, 1.0).otherwise(0.0) for k in classes]
+    masks = F.array(*true, *[F.get(probs, F.lit(k)).cast("double") for k in classes])
+    inverse = pixels.select(*keys, "row", "col", gt, F.transform(masks, lambda v: 1 - v).alias("__m")).withColumn("__b", F.col("__m"))
+    inner = focal_dense(inverse, keys, "__b", r0, "max").withColumn("__b", F.zip_with("__b", "__m", lambda v, m: v - m)).drop("__m")
+    seen = focal_dense(inner.withColumn("__e", F.col("__b")), keys, "__e", r, "max").where(F.col(gt) != ignore)
+    at = lambda c, k: F.get(c, F.lit(k))
+    sums = F.array(*[
+        F.struct(
+            F.lit(c).alias("class"), F.sum(at("__b", n + k) * at("__e", k)).alias("tp"), F.sum(at("__b", n + k)).alias("tpfp"),
+            F.sum(at("__e", n + k) * at("__b", k)).alias("tn"), F.sum(at("__b", k)).alias("tnfn"),
+        )
+        for k, c in enumerate(classes)
+    ])
+    return seen.groupBy(*keys).agg(sums.alias("__sums")).select(*keys, F.inline("__sums"))
 
 
 def mosaic_first(tiles: DataFrame, cell: list[str], value: str, order: Column, nodata: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from . import warp
 from .raster import box, focal
 
 
@@ -24,42 +25,9 @@ def blurred(pixels: DataFrame, keys: list[str], value: str, r: int, sigma: float
     return focal(pixels, keys, value, list(weights), mean)
 
 
-def _corners(at: str, old: int, new: int) -> Column:
-    """Array of (source cell, weight) of the new cells' centres, linear."""
-    x = F.greatest(F.lit(0.0), F.least((F.col(at) + 0.5) * F.lit(old / new) - 0.5, F.lit(float(old - 1))))
-    low = F.floor(x).cast("int")
-    return F.array(
-        F.struct(low.alias("s"), (1 - (x - low)).alias("w")), F.struct(F.least(low + 1, F.lit(old - 1)).alias("s"), (x - low).alias("w"))
-    )
-
-
-def _cubic_corners(at: str, old: int, new: int) -> Column:
-    """Array of (source cell, weight) of the four cells around, by cubic convolution with a = -1/2; cells are held at the edges."""
-    x = (F.col(at) + 0.5) * F.lit(old / new) - 0.5
-    low = F.floor(x).cast("int")
-    t = x - low
-
-    def weight(d: Column) -> Column:
-        near = 1.5 * d * d * d - 2.5 * d * d + 1
-        far = -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2
-        return F.when(d <= 1, near).otherwise(far)
-
-    return F.array(*[
-        F.struct(F.greatest(F.lit(0), F.least(low + k, F.lit(old - 1))).alias("s"), weight(F.abs(t - k)).alias("w")) for k in (-1, 0, 1, 2)
-    ])
-
-
 def resampled(pixels: DataFrame, keys: list[str], value: str, old: tuple[int, int], new: tuple[int, int], kernel: str = "bilinear") -> DataFrame:
-    """Images of old (rows, columns) at new, by the kernel bilinear (4 neighbours) or cubic (16), held at the edges."""
-    corners = {"bilinear": _corners, "cubic": _cubic_corners}[kernel]
-    images = pixels.select(*keys).distinct() if keys else pixels.sparkSession.range(1).drop("id")
-    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = images.select("*", axis(new[0]).alias("row")).select("*", axis(new[1]).alias("col"))
-    asked = grid.select("*", F.explode(corners("row", old[0], new[0])).alias("__r")).select("*", F.explode(corners("col", old[1], new[1])).alias("__c"))
-    asked = asked.select(*keys, F.col("row").alias("__row"), F.col("col").alias("__col"), F.col("__r.s").alias("row"), F.col("__c.s").alias("col"), (F.col("__r.w") * F.col("__c.w")).alias("__w"))
-    return asked.join(pixels.select(*keys, "row", "col", value), [*keys, "row", "col"]).groupBy(*keys, "__row", "__col").agg(
-        F.sum(F.col("__w") * F.col(value)).alias(value)
-    ).withColumnsRenamed({"__row": "row", "__col": "col"})
+    """Images of old (rows, columns) at new, by the kernel nearest, bilinear (4 neighbours) or cubic (16), held at the edges."""
+    return warp.resized(pixels, keys, value, old, new, kernel)
 
 
 def bilinear(pixels: DataFrame, keys: list[str], value: str, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import tempfile
@@ -9,7 +10,8 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -77,3 +79,20 @@ def remove_older(spark: SparkSession, seconds: float) -> int:
         if re.match("(made|built)-", f.getPath().getName()) and f.getModificationTime() < 1000 * (time.time() - seconds):
             n += bool(store.delete(f.getPath(), True))
     return n
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with name: 0, 1, … without gaps in each group of keys, by order; order has to tell the rows of a group apart.
+
+    Rows are sorted over all tasks and counted by how many of their group the parts before hold, so a group may be of any size.
+    """
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    kept = materialised(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    runs = kept.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    # Under other names, as null keys have to meet too.
+    runs = runs.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), shift)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    met = kept.join(runs, functools.reduce(Column.__and__, same, F.col("__part") == F.col("__p")))
+    return met.select(*df.columns, (F.col("__at") + F.col("__shift")).alias(name))

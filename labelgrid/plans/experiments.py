@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import materialised
+
 
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     """One row for each combination of the axes' values."""
@@ -34,12 +38,23 @@ def random_search(spark: SparkSession, trials: int, ranges: dict[str, tuple[floa
     return spark.range(trials).select(F.col("id").alias("trial")).select("trial", *[draw(n, *r) for n, r in ranges.items()])
 
 
+#: Trials that are broadcast at once.
+TOGETHER = 4096
+
+
 def evaluated(trials: DataFrame, data: DataFrame, loss: Column, keys: list[str]) -> DataFrame:
-    """Mean loss of every trial over data, which is read once.
+    """Mean loss of every trial over data.
 
-    A plan of trials is small; Spark broadcasts it by its size. One too large for that is joined without.
+    Trials are broadcast, up to TOGETHER at once, and losses are summed up before anything is shuffled; data is read once for each
+    TOGETHER trials.
     """
-    return data.crossJoin(trials).groupBy(*keys).agg(F.avg(loss).alias("loss"))
+    n = trials.count()
+    if n <= TOGETHER:
+        return data.join(F.broadcast(trials)).groupBy(*keys).agg(F.avg(loss).alias("loss"))
+    slices = -(-n // (TOGETHER // 2))
+    dealt = materialised(trials.withColumn("__slice", F.monotonically_increasing_id() % slices))
+    each = [evaluated(dealt.where(F.col("__slice") == k).drop("__slice"), data, loss, keys) for k in range(slices)]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def noise(sigma: Column, *key: Column, seed: int) -> Column:
