@@ -139,6 +139,13 @@ def target_layouts(layouts: DataFrame, keys: list[str], epsg: int, res: float |
     return sized.select(*keys, n("y0", "y1").alias("height"), n("x0", "x1").alias("width"), c("b.x0").alias("x0"), c("b.y1").alias("y0"), c("r").alias("dx"), c("r").alias("dy"))
 
 
+def _asked(grid: DataFrame, keys: list[str], at: Column, y: str, x: str) -> DataFrame:
+    """(keys, row, col, sy, sx): where the points at (y, x) of grid lie in pixels of the source."""
+    # As a row of its own the point is reckoned once, and not anew in each condition on it.
+    found = grid.select(*keys, "row", "col", *[F.col(f"__{c}") for c in ("x0", "y0", "dx", "dy")], F.inline(F.array(at)))
+    return found.select(*keys, "row", "col", ((F.col("__y0") - F.col(y)) / F.col("__dy") - 0.5).alias("sy"), ((F.col(x) - F.col("__x0")) / F.col("__dx") - 0.5).alias("sx"))
+
+
 def to_utm(pixels: DataFrame, keys: list[str], value: str, layouts: DataFrame, targets: DataFrame, epsg: int, kernel: str = "nearest", block: int | None = None) -> DataFrame:
     """(keys, row, col, value): images in degrees (layouts as for target_layouts()) on the grids targets in metres of UTM.
 
@@ -147,9 +154,7 @@ def to_utm(pixels: DataFrame, keys: list[str], value: str, layouts: DataFrame, t
     source = layouts.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "dx", "dy")])
     grid = _grid(targets, keys).join(source, keys)
     at = geometry.lat_lon(F.col("x0") + (F.col("col") + 0.5) * F.col("dx"), F.col("y0") - (F.col("row") + 0.5) * F.col("dy"), epsg)
-    asked = grid.withColumn("__p", at).select(
-        *keys, "row", "col", ((F.col("__y0") - F.col("__p.lat")) / F.col("__dy") - 0.5).alias("sy"), ((F.col("__p.lon") - F.col("__x0")) / F.col("__dx") - 0.5).alias("sx")
-    )
+    asked = _asked(grid, keys, at, "lat", "lon")
     return sampled(pixels, keys, value, asked, layouts.select(*keys, "height", "width"), kernel, block).select(*keys, "row", "col", value)
 
 
@@ -158,7 +163,5 @@ def to_degrees(pixels: DataFrame, keys: list[str], value: str, layouts: DataFram
     source = layouts.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "dx", "dy")])
     grid = _grid(targets, keys).join(source, keys)
     at = geometry.utm(F.col("y0") - (F.col("row") + 0.5) * F.col("dy"), F.col("x0") + (F.col("col") + 0.5) * F.col("dx"), epsg)
-    asked = grid.withColumn("__p", at).select(
-        *keys, "row", "col", ((F.col("__y0") - F.col("__p.y")) / F.col("__dy") - 0.5).alias("sy"), ((F.col("__p.x") - F.col("__x0")) / F.col("__dx") - 0.5).alias("sx")
-    )
+    asked = _asked(grid, keys, at, "y", "x")
     return sampled(pixels, keys, value, asked, layouts.select(*keys, "height", "width"), kernel, block).select(*keys, "row", "col", value)
