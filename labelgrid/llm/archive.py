@@ -142,7 +142,8 @@ def archive_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, payloads), both written, of WARC records that exist: (page_id, record) with the records' exact bytes.
 
     The head of a record is all before its payload, WARC and HTTP headers alike, and is kept as it is;
-    a response's payload is stored once by its SHA-256. Records without a payload are heads alone.
+    payloads are stored once by their SHA-256. A block that is no HTTP message (warcinfo, metadata, a resource) is a
+    payload as a whole. Records without a payload are heads alone. Versions 1.0 and 1.1, names in any case.
     reconstruct() gives equal bytes back. A record that isn't whole raises; null records are left out.
     """
     tune(records.sparkSession)
@@ -170,16 +171,40 @@ def archive_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split.select("page_id", "digest", "head", "own"), written(payloads)
 
 
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Header lines as a map by lower-cased name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 def parse_record(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC fields, HTTP fields and payload of a record's bytes; raises if they don't agree."""
-    head, block = record.split(b"\r\n\r\n", 1)
-    version, *lines = head.decode("utf-8").split(_CRLF)
-    fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-    size = int(fields["Content-Length"])
-    if version != "WARC/1.1" or block[size:] != b"\r\n\r\n":
+    """WARC fields, HTTP fields and payload of the bytes of a record of version 1.0 or 1.1; raises if they don't agree.
+
+    Fields are named in lower case. The payload of an HTTP message, by its content type or, without one, by how it begins, is its body; of any other block, such as warcinfo or
+    metadata, it is the block, without HTTP fields.
+    """
+    head, _, block = record.partition(b"\r\n\r\n")
+    version, *lines = head.decode("utf-8", "surrogateescape").split(_CRLF)
+    fields = _fields(lines)
+    if version.strip() not in ("WARC/1.0", "WARC/1.1") or not fields.get("content-length", "").isdigit():
+        raise ValueError("not a whole WARC record")
+    size = int(fields["content-length"])
+    if block[size:] != b"\r\n\r\n":
         raise ValueError("not a whole WARC record")
-    http, payload = block[:size].split(b"\r\n\r\n", 1)
-    return fields, dict(x.split(": ", 1) for x in http.decode("utf-8").split(_CRLF)[1:]), payload
+    block = block[:size]
+    http, blank, payload = block.partition(b"\r\n\r\n")
+    kind = fields.get("content-type", "").lower()
+    if not blank or not (kind.startswith("application/http") if kind else block.startswith(b"HTTP/")):
+        return fields, {}, block
+    return fields, _fields(http.decode("utf-8", "surrogateescape").split(_CRLF)[1:]), payload
 
 
 def read_records(records: DataFrame) -> DataFrame:
@@ -200,18 +225,18 @@ def read_records(records: DataFrame) -> DataFrame:
             rows = []
             for page, key, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 fields, http, payload = parse_record(record.as_py())
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                size = int(http["Content-Length"])
-                if bare(fields["WARC-Record-ID"]) != ("" if page is None else str(page)):
+                digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                size = int(http["content-length"])
+                if bare(fields["warc-record-id"]) != ("" if page is None else str(page)):
                     raise ValueError(f"the record of page {page} names another")
-                if fields["WARC-Type"] == "response":
+                if fields["warc-type"] == "response":
                     found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     if (found, len(payload)) != (digest, size):
                         raise ValueError(f"the payload of page {page} differs from its header")
                     if hashlib.sha256(payload).hexdigest() != key:
                         raise ValueError(f"the payload of page {page} differs from its key {key}")
-                refers = fields.get("WARC-Refers-To")
-                rows.append((size, digest, fields["WARC-Type"], bare(refers) if refers else None))
+                refers = fields.get("warc-refers-to")
+                rows.append((size, digest, fields["warc-type"], bare(refers) if refers else None))
             columns = list(zip(*rows)) if rows else [()] * 4
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(

@@ -187,20 +187,24 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 256, least_seconds: float = 0.1) -> list[Estimate]:
+def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 256, least_seconds: float = 0.1, measured: bool = False) -> list[Estimate]:
     """The rules by falling share of rejected rows per second, on a sample of about sample_rows rows.
 
     Rows are drawn evenly over the whole table and written once; their number is bounded by four times
     sample_rows. A rule runs over so many copies of the sample that it takes least_seconds longer than
     a rule that does nothing, which outweighs what starting a job takes. The order sets only how soon a
-    row's verdict is known, never the verdict. An empty table keeps the rules' order.
+    row's verdict is known, never the verdict. An empty table keeps the rules' order. measured: the cascade that
+    is planned runs over with_measures(), so a rule costs what it does on columns that are there.
     """
     n = docs.count()
     if not n:
         return [Estimate(r, 0.0, 0.0) for r in rules]
     text, words = F.col("text"), F.col("words")
+    measures = Measures(text, words, **{c: F.col(c) for c in MEASURED}) if measured else Measures(text, words)
     drawn = docs.select("text").sample(min(1.0, sample_rows / n), 7).limit(4 * sample_rows)
     sample = written(drawn).withColumn("words", words_of(text))
+    if measured:
+        sample = written(with_measures(sample))
     n_sample = max(sample.count(), 1)
 
     def timed(condition: Column, copies: int) -> tuple[float, int]:
@@ -219,7 +223,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], sample_rows: int = 256, lea
     idle_for(1)
     found = []
     for rule in rules:
-        condition, copies = rule.rejects(Measures(text, words)), 1
+        condition, copies = rule.rejects(measures), 1
         timed(condition, copies)  # compiles it
         while True:
             seconds, rejected = timed(condition, copies)
@@ -250,6 +254,19 @@ def quality_filter(docs: DataFrame, rules: list[Rule] | None = None, sample_rows
     return docs.where(bind(words_of(text), lambda words: cascade(Measures(text, words), order)).isNull())
 
 
+#: The columns that with_measures() adds, named as in Measures.
+MEASURED = ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")
+
+
+def with_measures(docs: DataFrame) -> DataFrame:
+    """docs (text, words, …) with what the rules measure."""
+    text, words = F.col("text"), F.col("words")
+    return docs.select(
+        "*", F.size(words).cast("long").alias("n_words"), word_chars(words).alias("word_chars"), n_symbols(text).alias("n_symbols"), line_counts(text).alias("lines"),
+        n_repeat_words(words).alias("n_repeat_words"),
+    )
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document.
 
@@ -259,16 +276,9 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text, words = F.col("text"), F.col("words")
     own = [r for r in default_rules() if r.name not in ("too_short", "repeated_words")]
-    order = [e.rule for e in plan_cascade(docs, own)]
-    measured = docs.withColumn("words", words_of(text)).select(
-        "doc_id", "text", "words",
-        F.size(words).cast("long").alias("n_words"),
-        word_chars(words).alias("word_chars"),
-        n_symbols(text).alias("n_symbols"),
-        line_counts(text).alias("lines"),
-        n_repeat_words(words).alias("n_repeat_words"),
-    )
-    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "lines", "n_repeat_words")}
+    order = [e.rule for e in plan_cascade(docs, own, measured=True)]
+    measured = with_measures(docs.withColumn("words", words_of(text)))
+    known = {c: F.col(c) for c in MEASURED}
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dups").alias("n_dup_lines"), "n_repeat_words", "base_failed",

@@ -704,6 +704,54 @@ def test_records_that_exist_come_back_byte_by_byte(spark):
     assert got == given
 
 
+def plain_score(text, p):
+    """byte_cnn.score() of one text by loops over bytes, blocks and chunks."""
+    raw, taps, size = (text or "").encode(), byte_cnn.TAPS, byte_cnn.BLOCK
+    blocks = max(1, -(-(len(raw) + taps - 1) // size))
+    data = raw + bytes(blocks * size - len(raw))
+    peaks = []
+    for b in range(blocks):
+        places = [i for i in range(b * size, (b + 1) * size) if i + taps <= len(data)]
+        peaks.append([max(sum(float(p["kernel"][j][data[i + j]][f]) for j in range(taps)) for i in places) for f in range(byte_cnn.FILTERS)])
+    width = min(byte_cnn.CHUNK, blocks)
+    acts = [[np.tanh(max(peaks[k][f] for k in range(a, a + width)) + p["bias"][f]) for f in range(byte_cnn.FILTERS)] for a in range(blocks - width + 1)]
+    columns = list(zip(*acts))
+    x = [*map(np.mean, columns), *map(min, columns), *map(max, columns), np.log1p(len(raw)) / 8, 32 / (32 + len(raw))]
+    hidden = [np.tanh(sum(v * p["w1"][i][k] for i, v in enumerate(x)) + p["b1"][k]) for k in range(p["w1"].shape[1])]
+    return 1 / (1 + np.exp(-(sum(h * p["w2"][k][0] for k, h in enumerate(hidden)) + p["b2"][0])))
+
+
+def test_scores_against_plain_loops():
+    """Empty, short and long texts, at the edges of blocks and chunks; what stands beside a text in the batch has no say."""
+    rng = random.Random(15)
+    texts = ["good words here " * 9, "x#$ 77 !! " * 8] * 4
+    p = byte_cnn.train(texts, [1, 0] * 4, least_steps=12)
+    n = byte_cnn.BLOCK
+    given = [None, "", "a", "ab é🙂", *["".join(rng.choices("abc é#", k=k)) for k in (n - 6, n - 5, n - 4, n, 3 * n + 1, byte_cnn.CHUNK * n + 30)]]
+    assert np.allclose(byte_cnn.score(given, p), [plain_score(t, p) for t in given], atol=1e-4)
+
+
+def test_records_of_other_writers(spark):
+    """Version 1.0, names in any case, values without a space or over two lines, and blocks that are no HTTP messages."""
+    http = b"HTTP/1.0 200 OK\r\nserver:x\r\n\r\n<p>page</p>"
+    info = b"software: crawler/1\r\n\r\nformat: WARC"
+    given = {
+        1: b"WARC/1.0\r\nWARC-Type:response\r\nContent-type: application/http;\r\n msgtype=response\r\ncontent-length:%d\r\n\r\n" % len(http) + http + b"\r\n\r\n",
+        2: b"WARC/1.1\r\nwarc-type: warcinfo\r\nContent-Type: application/warc-fields\r\nCONTENT-LENGTH: %d\r\n\r\n" % len(info) + info + b"\r\n\r\n",
+        3: b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        4: b"WARC/1.0\r\nWARC-Type: request\r\nContent-Type: application/http\r\nContent-Length: 18\r\n\r\nGET / HTTP/1.0\r\n\r\n\r\n\r\n",
+    }
+    fields, own, payload = archive.parse_record(given[1])
+    assert (fields["warc-type"], fields["content-type"], own, payload) == ("response", "application/http; msgtype=response", {"server": "x"}, b"<p>page</p>")
+    assert archive.parse_record(given[2])[1:] == ({}, info)
+    headers, payloads = archive.archive_records(spark.createDataFrame(list(given.items()), "page_id long, record binary"))
+    assert {bytes(r["payload"]) for r in payloads.collect()} == {b"<p>page</p>", info}
+    assert {r["page_id"]: bytes(r["record"]) for r in archive.reconstruct(headers, payloads).collect()} == given
+    for bad in (given[1][:-1], b"WARC/0.9" + given[1][8:], b"", b"WARC/1.0\r\n\r\n"):
+        with pytest.raises(ValueError):
+            archive.parse_record(bad)
+
+
 def test_urls_keep_what_their_odd_bytes_were(spark):
     pages = spark.createDataFrame([(1, "http://x/a b\r\n\x7fé", "t")], "page_id long, url string, html string")
     headers, _ = archive.archive_pages(pages)
