@@ -32,7 +32,7 @@ WIDTH, STEP = 256, 224
 _EDGE = (WIDTH - STEP) // 2
 #: Windows scored together, and so what is held of a text's scores at once; runs decoded together. Products of
 #: this size are too small for NumPy's BLAS to share among threads, which cost more CPU time than they save.
-_BLOCK = 256
+_BLOCK = 1024
 #: Weights of a window's scores where windows overlap: a window knows least at its edges.
 _TAPER = np.minimum(1, np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)) / (WIDTH - STEP + 1)).astype(np.float32)
 

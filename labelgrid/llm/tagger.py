@@ -168,14 +168,15 @@ def _hidden(x: np.ndarray, p: dict) -> np.ndarray:
     In place, and with tanh(z) as 2 / (1 + exp(-2 z)) - 1, since NumPy's exp is much faster than its tanh.
     """
     steps, batch = x.shape
-    n = p["hf"].shape[0]
-    scale = np.full(4 * n, -1, np.float32)
-    scale[3 * n :] = -2
-    table = np.concatenate([(p[f"x{side}"] + p[f"c{side}"]) * scale for side in "fb"])
-    wh = np.stack([p[f"h{side}"] * scale for side in "fb"])
-    at = np.stack([x, x[::-1] + len(p["xf"])], axis=1).astype(np.intp)
+    n, classes = p["hf"].shape[0], len(p["xf"])
+    # Directions and gates come first, so that each gate's numbers lie together.
+    scale = np.array([-1, -1, -1, -2], np.float32)[:, None, None]
+    gates = lambda v: v.reshape(len(v), 4, n).transpose(1, 0, 2) * scale
+    table = np.concatenate([gates(p[f"x{side}"] + p[f"c{side}"]).reshape(-1, n) for side in "fb"])
+    wh = np.stack([gates(p[f"h{side}"]) for side in "fb"])
+    at = np.stack([x, x[::-1]], axis=1).astype(np.intp)[:, :, None] + (np.arange(8) * classes).reshape(2, 4, 1)
     h, c = np.zeros((2, batch, n), np.float32), np.zeros((2, batch, n), np.float32)
-    z, gz, tc = np.empty((2, batch, 4 * n), np.float32), np.empty((2, batch, 4 * n), np.float32), np.empty((2, batch, n), np.float32)
+    z, gz, tc = np.empty((2, 4, batch, n), np.float32), np.empty((2, 4, batch, n), np.float32), np.empty((2, batch, n), np.float32)
     out = np.empty((steps, 2, batch, n), np.float32)
 
     def shares(v: np.ndarray) -> None:
@@ -185,20 +186,21 @@ def _hidden(x: np.ndarray, p: dict) -> np.ndarray:
 
     with np.errstate(over="ignore"):
         for t in range(steps):
-            np.matmul(h, wh, out=z)
+            np.matmul(h[:, None], wh, out=z)
             z += np.take(table, at[t], axis=0, out=gz, mode="clip")
             shares(z)
-            g = z[..., 3 * n :]
+            g = z[:, 3]
             g *= 2
             g -= 1
-            c *= z[..., n : 2 * n]
-            c += z[..., :n] * g
+            g *= z[:, 0]
+            c *= z[:, 1]
+            c += g
             np.multiply(c, -2, out=tc)
             shares(tc)
             tc *= 2
             tc -= 1
             h = out[t]
-            np.multiply(z[..., 2 * n : 3 * n], tc, out=h)
+            np.multiply(z[:, 2], tc, out=h)
     return out
 
 
