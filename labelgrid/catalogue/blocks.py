@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import taxonomy
-from ..operators import components, relational, warp
+from ..operators import components, polygons, relational, superpixels, warp
 from ..plans import experiments, lattice_crf
 from ..registry import query, r6, table
 from .places import _utm_sql
@@ -122,3 +122,29 @@ def j06_optional_layers(spark, d):
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("value"))
     base = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
     return relational.aligned_layers(base, {"lines": lines, "depth": None}, ["o_orderkey"])
+
+
+# An outer ring with a bay and a hole for each nation.
+_OUTER = [(0, 0), (4, 0), (4, 1.5), (1.5, 1.5), (1.5, 4), (0, 3)]
+_HOLE = [(0.3, 0.3), (0.9, 0.35), (0.6, 1.1)]
+_RINGS = ", ".join(f"({r}, {k}, {x}, {y}, {ring[(k + 1) % len(ring)][0]}, {ring[(k + 1) % len(ring)][1]})" for r, ring in enumerate((_OUTER, _HOLE)) for k, (x, y) in enumerate(ring))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_acctbal / 1000.0::DOUBLE AS x, c_custkey % 97 / 10.0::DOUBLE AS y FROM customer),
+e AS (SELECT n_nationkey, n_nationkey % 6 + x0 AS x0, n_nationkey % 7 * 0.8::DOUBLE + y0 AS y0, n_nationkey % 6 + x1 AS x1, n_nationkey % 7 * 0.8::DOUBLE + y1 AS y1
+  FROM nation, (VALUES {_RINGS}) t(ring, k, x0, y0, x1, y1)),
+c AS (SELECT c_custkey, n_nationkey, count(*) AS n FROM p, e WHERE (y0 <= y) <> (y1 <= y) AND x0 + (y - y0) * (x1 - x0) / (y1 - y0) > x GROUP BY ALL)
+SELECT c_custkey, n_nationkey FROM c WHERE n % 2 = 1""")
+def j08_points_in_polygons(spark, d):
+    ring = lambda points: F.array(*[F.array(F.col("n_nationkey") % 6 + F.lit(float(x)), F.col("n_nationkey") % 7 * F.lit(0.8) + F.lit(float(y))) for x, y in points])
+    rings = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(ring(_OUTER), ring(_HOLE))).alias("ring"))
+    points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 97 / 10.0).alias("y"))
+    return polygons.points_in_polygons(points, polygons.edges_of(rings, "n_nationkey", "ring"), "n_nationkey", 0.7).select("c_custkey", "n_nationkey")
+
+
+@query()
+def m05_superpixels(spark, d):
+    """Superpixels of all images, small pieces joined to their neighbours; held to plain loops in the tests."""
+    px = images(spark, d).select("image", "row", "col", F.array(F.col("v") / 5000, F.col("label") * 20.0).alias("features"))
+    found = superpixels.slic(px, ["image"], "features", 40, 40, 16, rounds=2)
+    return superpixels.connected(found, ["image"], "segment", 40, 40, 12)
