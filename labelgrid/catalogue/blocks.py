@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import taxonomy
-from ..operators import components, polygons, relational, superpixels, warp
-from ..plans import experiments, lattice_crf
+from ..operators import components, equalise, polygons, relational, superpixels, warp
+from ..plans import experiments, inference, lattice_crf
 from ..registry import query, r6, table
 from .places import _utm_sql
 from .rasters import _IMAGES, _crf_input, image, images
@@ -148,3 +148,53 @@ def m05_superpixels(spark, d):
     px = images(spark, d).select("image", "row", "col", F.array(F.col("v") / 5000, F.col("label") * 20.0).alias("features"))
     found = superpixels.slic(px, ["image"], "features", 40, 40, 16, rounds=2)
     return superpixels.connected(found, ["image"], "segment", 40, 40, 12)
+
+
+@query(f"""WITH {_IMAGES}, g AS (SELECT image, row, col, CAST(floor(v) AS BIGINT) % 64 AS g FROM px),
+t AS (SELECT image, row // 10 AS ti, col // 10 AS tj, g, count(*) AS n FROM g GROUP BY ALL),
+a AS (SELECT image, ti, tj, sum(n) AS all_n FROM t GROUP BY ALL),
+h AS (SELECT a.image, a.ti, a.tj, l.l AS g, coalesce(t.n, 0) AS n, all_n, greatest(1, CAST(floor(2.0 * all_n / 64) AS BIGINT)) AS lim FROM a CROSS JOIN range(64) l(l) LEFT JOIN t ON t.image = a.image AND t.ti = a.ti AND t.tj = a.tj AND t.g = l.l),
+o AS (SELECT *, sum(greatest(0, n - lim)) OVER (PARTITION BY image, ti, tj) AS over_n FROM h),
+m AS (SELECT image, ti, tj, g, sum(least(n, lim) + CAST(over_n AS BIGINT) // 64 + CASE WHEN g < over_n % 64 THEN 1 ELSE 0 END) OVER (PARTITION BY image, ti, tj ORDER BY g) * 63.0::DOUBLE / all_n AS mapped FROM o),
+w AS (SELECT image, row, col, g, least(3, greatest(0, CAST(floor((row + 0.5) / 10 - 0.5) AS INT) + i.i)) AS ti, least(3, greatest(0, CAST(floor((col + 0.5) / 10 - 0.5) AS INT) + j.j)) AS tj,
+  abs(1 - i.i - ((row + 0.5) / 10 - 0.5 - floor((row + 0.5) / 10 - 0.5))) * abs(1 - j.j - ((col + 0.5) / 10 - 0.5 - floor((col + 0.5) / 10 - 0.5))) AS w FROM g, range(2) i(i), range(2) j(j))
+SELECT w.image, w.row, w.col, round(sum(w.w * m.mapped) / sum(w.w), 6) AS v FROM w JOIN m ON m.image = w.image AND m.ti = w.ti AND m.tj = w.tj AND m.g = w.g GROUP BY ALL""")
+def w12_r25_equalised(spark, d):
+    px = images(spark, d).select("image", "row", "col", (F.floor("v") % 64).cast("int").alias("v"))
+    return equalise.equalised(px, ["image"], "v", 40, 40, tile=10, clip=2.0, levels=64).withColumn("v", r6("v"))
+
+
+_LENS, _SIDE = (-0.3, 0.12, -0.02), (0.001, -0.0007)
+
+
+@query("""SELECT event_id, round((event_id % 640 - 320) / 400.0::DOUBLE, 6) AS x, round((user_id % 512 - 256) / 400.0::DOUBLE, 6) AS y FROM events""")
+def g17_lens_there_and_back(spark, d):
+    """Points bent by a lens and taken back are where they were."""
+    e = table(spark, d, "events").select("event_id", ((F.col("event_id") % 640 - 320) / 400.0).alias("x"), ((F.col("user_id") % 512 - 256) / 400.0).alias("y"))
+    bent = e.select("event_id", F.inline(F.array(geo.distorted(F.col("x"), F.col("y"), _LENS, _SIDE))))
+    back = bent.select("event_id", F.inline(F.array(geo.undistorted(F.col("x"), F.col("y"), _LENS, _SIDE, 60))))
+    zero = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return back.select("event_id", zero("x"), zero("y"))
+
+
+@query(f"""WITH {_IMAGES}, g AS (SELECT i.image, r.r AS row, c.c AS col, coalesce(px.v, 0) AS v FROM (SELECT DISTINCT image FROM px) i CROSS JOIN range(40) r(r) CROSS JOIN range(40) c(c)
+  LEFT JOIN px ON px.image = i.image AND px.row = r.r AND px.col = c.c)
+SELECT image, CAST(row AS INT) AS row, CAST(col AS INT) AS col, round(v + coalesce(lag(v) OVER l, 0) + coalesce(lead(v) OVER l, 0) + 1.5 * (coalesce(lag(v) OVER k, 0) + coalesce(lead(v) OVER k, 0)), 3) AS score FROM g
+WINDOW l AS (PARTITION BY image, row ORDER BY col), k AS (PARTITION BY image, col ORDER BY row)""")
+def m04_four_flips(spark, d):
+    """A model that looks to the right and down, over tiles turned four ways."""
+    px = images(spark, d)
+    dense = px.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct(F.col("row") * 40 + F.col("col"), "v"))).alias("m"))  # 1,600 pixels at most
+    tiles = dense.select("image", F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("data"))
+
+    def model():
+        import numpy as np
+
+        def score(x):
+            wide = np.pad(x, ((0, 0), (0, 1), (0, 1), (0, 0)))
+            return wide[:, :-1, :-1] + 2 * wide[:, :-1, 1:] + 3 * wide[:, 1:, :-1]
+
+        return score
+
+    said = inference.predicted(tiles, "data", (40, 40, 1), model, 1).select("image", F.posexplode("data").alias("k", "score"))
+    return said.select("image", F.floor(F.col("k") / 40).cast("int").alias("row"), (F.col("k") % 40).alias("col"), F.round("score", 3).alias("score"))

@@ -156,6 +156,54 @@ def distorted(x: Column, y: Column, k: tuple[float, ...], p: tuple[float, float]
     )
 
 
+def undistorted(x: Column, y: Column, k: tuple[float, ...], p: tuple[float, float], rounds: int = 20) -> Column:
+    """Struct (x, y) of the point that distorted() takes to (x, y).
+
+    Found by repeating: from a guess, what the lens adds there is taken off the point given. That settles where the lens
+    bends little and evenly, as within an image; the rounds are steps of one aggregate, so the expression doesn't grow with them.
+    """
+    p1, p2 = map(F.lit, p)
+
+    def step(s: Column, _: Column) -> Column:
+        r2 = s["x"] * s["x"] + s["y"] * s["y"]
+        radial = F.lit(1.0)
+        for n, c in enumerate(k, 1):
+            radial = radial + F.lit(c) * F.pow(r2, F.lit(float(n)))
+        side = (2 * p1 * s["x"] * s["y"] + p2 * (r2 + 2 * s["x"] * s["x"]), p1 * (r2 + 2 * s["y"] * s["y"]) + 2 * p2 * s["x"] * s["y"])
+        return F.struct(((x - side[0]) / radial).alias("x"), ((y - side[1]) / radial).alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), step)
+
+
+def optimal_camera(camera: list[list[float]], k: tuple[float, ...], p: tuple[float, float], width: int, height: int, all_seen: float = 0.0, steps: int = 9) -> list[list[float]]:
+    """The camera of an image without its lens's bending, of the same size.
+
+    Points along and within the border are taken back through the lens. At 0 the view is the largest box inside them, so every
+    pixel has a source; at 1 the box around them, so all of the image is seen; between, a mixture of both.
+    """
+    fx, fy, cx, cy = camera[0][0], camera[1][1], camera[0][2], camera[1][2]
+
+    def back(x: float, y: float) -> tuple[float, float]:
+        u, v = x, y
+        for _ in range(50):
+            r2 = u * u + v * v
+            radial = 1 + sum(c * r2**n for n, c in enumerate(k, 1))
+            u, v = (x - 2 * p[0] * u * v - p[1] * (r2 + 2 * u * u)) / radial, (y - p[0] * (r2 + 2 * v * v) - 2 * p[1] * u * v) / radial
+        return u, v
+
+    grid = [[back((j * (width - 1) / (steps - 1) - cx) / fx, (i * (height - 1) / (steps - 1) - cy) / fy) for j in range(steps)] for i in range(steps)]
+    every = [q for row in grid for q in row]
+    inner = (max(r[0][0] for r in grid), max(q[1] for q in grid[0]), min(r[-1][0] for r in grid), min(q[1] for q in grid[-1]))
+    outer = (min(q[0] for q in every), min(q[1] for q in every), max(q[0] for q in every), max(q[1] for q in every))
+
+    def fit(box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+        a, b = (width - 1) / (box[2] - box[0]), (height - 1) / (box[3] - box[1])
+        return a, b, -a * box[0], -b * box[1]
+
+    a, b, c, d = ((1 - all_seen) * i + all_seen * o for i, o in zip(fit(inner), fit(outer)))
+    return [[a, 0.0, c], [0.0, b, d], [0.0, 0.0, 1.0]]
+
+
 def envelope(u: Column, points: list[tuple[Column, Column]]) -> Column:
     """Height at u of the line through points of growing u; flat beyond the ends."""
     out = points[-1][1]

@@ -165,3 +165,13 @@ def to_degrees(pixels: DataFrame, keys: list[str], value: str, layouts: DataFram
     at = geometry.utm(F.col("y0") - (F.col("row") + 0.5) * F.col("dy"), F.col("x0") + (F.col("col") + 0.5) * F.col("dx"), epsg)
     asked = _asked(grid, keys, at, "y", "x")
     return sampled(pixels, keys, value, asked, layouts.select(*keys, "height", "width"), kernel, block).select(*keys, "row", "col", value)
+
+
+def without_lens(pixels: DataFrame, keys: list[str], value: str, height: int, width: int, camera: list[list[float]], k: tuple[float, ...], p: tuple[float, float], new_camera: list[list[float]], kernel: str = "bilinear", block: int | None = None) -> DataFrame:
+    """(keys, row, col, value): images of this size seen through a lens, as new_camera sees them without; null where it sees past the image."""
+    images = pixels.select(*keys).distinct() if keys else pixels.sparkSession.range(1).drop("id")
+    sizes = images.withColumns({"height": F.lit(height), "width": F.lit(width)})
+    x, y = ((F.col(c) - F.lit(float(new_camera[i][2]))) / F.lit(float(new_camera[i][i])) for i, c in enumerate(("col", "row")))
+    seen = _grid(sizes, keys).select(*keys, "row", "col", F.inline(F.array(geometry.distorted(x, y, k, p))))
+    sy, sx = F.col("y") * F.lit(float(camera[1][1])) + F.lit(float(camera[1][2])), F.col("x") * F.lit(float(camera[0][0])) + F.lit(float(camera[0][2]))
+    return sampled(pixels, keys, value, seen.select(*keys, "row", "col", sy.alias("sy"), sx.alias("sx")), sizes, kernel, block).select(*keys, "row", "col", value)
