@@ -39,16 +39,19 @@ def metrics_text(ious: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_headed_csv(spark: SparkSession, path: str, mark: str, columns: list[str]) -> DataFrame:
-    """Rows of each file after its first line that contains mark, under columns; cells trimmed.
+    """Rows of each file after its first line that contains mark, under columns; cells trimmed, and quoted ones may hold commas.
 
-    Every file has a header of its own; one without is an error when it is read.
+    Every file has a header of its own; one without is an error when it is read. A file is read by as many tasks as its size asks for:
+    a first pass keeps no more than where each file's header is. Empty and missing cells are null; a cell ends with its line.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    header = F.array_position(F.transform("lines", lambda x: x.contains(mark)), True).cast("int")
-    found = F.when(header == 0, F.raise_error(F.concat(F.lit(f"no line with {mark!r} in "), F.col("file"))).cast("int")).otherwise(header)
-    line = files.select(F.explode(F.slice("lines", found + 1, F.size("lines"))).alias("line")).where(F.trim("line") != "")
-    cells = F.split("line", ",")
-    return line.select(*[F.trim(F.get(cells, k)).alias(c) for k, c in enumerate(columns)])
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    headers = lines.groupBy("file").agg(F.min(F.when(F.col("value").contains(mark), F.col("place"))).alias("header"))
+    missing = F.raise_error(F.concat(F.lit(f"no line with {mark!r} in "), F.col("file"))).cast("boolean")
+    after = F.when(F.col("header").isNull(), missing).otherwise(F.col("place") > F.col("header"))
+    names = ", ".join(f"`{c}` string" for c in columns)
+    cells = F.from_csv("value", names, {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE"})
+    return lines.join(headers, "file").where(after & (F.trim("value") != "")).select(cells.alias("c")).select(*[F.col("c").getField(c).alias(c) for c in columns])
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
@@ -153,12 +156,10 @@ def read_trials(spark: SparkSession, url: str, table: str, **options: str) -> Da
 
 def _unavailable(what: str):
     def read(*_, **__):
-        raise NotImplementedError(f"{what}: needs a decoder, network or weights that this library does not bring; convert to Parquet pixel tables first")
+        raise NotImplementedError(f"{what} needs a network or weights that this library does not bring")
 
     return read
 
 
-read_geotiff = _unavailable("GeoTIFF reading")
-write_image = _unavailable("image writing")
 download = _unavailable("downloading")
-run_network = _unavailable("network inference")
+run_network = _unavailable("network inference without a model brought along (plans.inference)")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.operators import tables
 from labelgrid.sources import png, rasters, tiff
+from labelgrid.sources import tables as sources
 
 
 def lzw(raw):
@@ -170,6 +171,19 @@ def test_png_there_and_back(spark, tmp_path):
     assert np.array_equal(array(rasters.read_png(spark, str(tmp_path)), 60, 40, 3), image)
 
 
+def test_a_large_headed_csv_is_read_by_several_tasks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = [(f"a{k}.png", f"x, {k}", str(k)) for k in range(2000)]
+        (tmp_path / "big.csv").write_text("junk, a\n" * 300 + "image,note,n\n" + "".join(f'{a}, "{b}" ,{c}\n' for a, b, c in rows) + "image again,,\n")
+        out = sources.read_headed_csv(spark, str(tmp_path), "image", ["image", "note", "n"])
+        assert sorted(map(tuple, out.collect())) == sorted([*rows, ("image again", None, None)])
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_built_tables_are_found_again(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     runs = []

@@ -182,8 +182,8 @@ def test_confusion_stream(spark, tmp_path):
 
 
 def test_unavailable_sources_say_so():
-    with pytest.raises(NotImplementedError, match="GeoTIFF"):
-        tables.read_geotiff("x")
+    with pytest.raises(NotImplementedError, match="downloading"):
+        tables.download("x")
     assert rasters.image is not None
 
 
