@@ -107,11 +107,24 @@ def boxes_meet(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
 
 
 def binned_box_join(points: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """points (x, y) with the boxes (x0, y0, x1, y1) that hold them, by equal bins instead of all pairs."""
-    bins = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-    spread = boxes.withColumn("__bx", F.explode(bins("x0", "x1"))).withColumn("__by", F.explode(bins("y0", "y1")))
-    placed = points.withColumn("__bx", F.floor(F.col("x") / size).cast("long")).withColumn("__by", F.floor(F.col("y") / size).cast("long"))
-    return placed.join(spread, ["__bx", "__by"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__bx", "__by")
+    """points (x, y) with the boxes (x0, y0, x1, y1) that hold them, by equal bins instead of all pairs.
+
+    A box lies in bins of size, or of as many doublings of it as make the box at most one bin wide and high, so it is in four bins at
+    most, however wide; a point looks in its bin of each of the sizes that there are.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(float(size)))
+    sized = boxes.where("x0 <= x1 AND y0 <= y1").withColumn("__level", F.ceil(F.log2(side / size)).cast("int"))
+    # One for each power of two between the smallest and the largest box: some tens at most.
+    levels = sorted(r[0] for r in sized.select("__level").distinct().collect() if r[0] is not None)
+    if not levels:
+        levels = [0]
+    scale = lambda level: F.pow(F.lit(2.0), level) * size
+    bins = lambda lo, hi: F.sequence(F.floor(F.col(lo) / scale(F.col("__level"))).cast("long"), F.floor(F.col(hi) / scale(F.col("__level"))).cast("long"))
+    spread = sized.withColumn("__bx", F.explode(bins("x0", "x1"))).withColumn("__by", F.explode(bins("y0", "y1")))
+    placed = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    at = lambda c: F.floor(F.col(c) / scale(F.col("__level"))).cast("long")
+    met = placed.withColumns({"__bx": at("x"), "__by": at("y")}).join(spread, ["__level", "__bx", "__by"])
+    return met.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))).drop("__level", "__bx", "__by")
 
 
 def asserted(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:

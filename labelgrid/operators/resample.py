@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from . import warp
 from .raster import box, focal
+from .tables import materialised
 
 
 def blurred(pixels: DataFrame, keys: list[str], value: str, r: int, sigma: float) -> DataFrame:
@@ -47,14 +48,32 @@ def warped(pixels: DataFrame, keys: list[str], value: str, targets: DataFrame, x
     return asked.join(named, [*keys, "__row", "__col"], "left").drop("__row", "__col")
 
 
+#: Targets of a bin from which bins are halved, and how often at most.
+CROWD, HALVINGS = 64, 24
+
+
 def nearest_within(points: DataFrame, targets: DataFrame, key: str, target: str, reach: float) -> DataFrame:
     """key and target: the nearest target (x, y) of each point within reach; the smaller target of equals.
 
-    Points go to bins of side reach and meet targets of the nine bins around theirs.
+    Points meet the targets of the nine bins around theirs. Bins are as small as leaves few targets in each; a point that has
+    one within a bin's side has its nearest there, the others go on to bins of twice the side, up to reach. So where
+    targets are dense a point meets few of them. Targets at one place are one target.
     """
-    at = lambda c: F.floor(F.col(c) / reach).cast("long")
-    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    near = targets.select(target, F.col("x").alias("__x"), F.col("y").alias("__y"), around("x").alias("__bx")).select("*", F.explode(F.sequence(F.floor(F.col("__y") / reach).cast("long") - 1, F.floor(F.col("__y") / reach).cast("long") + 1)).alias("__by"))
-    met = points.select("*", at("x").alias("__bx"), at("y").alias("__by")).join(near, ["__bx", "__by"])
-    d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
-    return met.where(d2 <= reach * reach).groupBy(key).agg(F.min_by(target, F.struct(d2, target)).alias(target))
+    targets = targets.groupBy("x", "y").agg(F.min(target).alias(target))
+    bin_of = lambda c, side: F.floor(F.col(c) / side).cast("long")
+    sides = [float(reach)]
+    while len(sides) <= HALVINGS and (targets.groupBy(bin_of("x", sides[-1]), bin_of("y", sides[-1])).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        sides.append(sides[-1] / 2)
+    found, left = None, points
+    for side in reversed(sides):
+        around = lambda c, side=side: F.explode(F.sequence(bin_of(c, side) - 1, bin_of(c, side) + 1))
+        near = targets.select(target, F.col("x").alias("__x"), F.col("y").alias("__y"), around("x").alias("__bx")).withColumn("__by", around("__y"))
+        met = left.select("*", bin_of("x", side).alias("__bx"), bin_of("y", side).alias("__by")).join(near, ["__bx", "__by"])
+        d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
+        here = met.where(d2 <= side * side).groupBy(key).agg(F.min_by(target, F.struct(d2, target)).alias(target))
+        if len(sides) == 1:
+            return here
+        here = materialised(here)
+        found = here if found is None else found.unionByName(here)
+        left = materialised(left.join(here.select(key), key, "left_anti"))
+    return found

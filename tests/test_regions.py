@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from labelgrid.operators import polygons, superpixels
+from labelgrid.operators import polygons, relational, resample, superpixels
 
 
 def pixels(spark, a):
@@ -93,3 +93,28 @@ def test_points_in_polygons(spark):
     for size in (0.3, 2.0, 50.0):
         got = polygons.points_in_polygons(px, edges, "k", size)
         assert got.columns == ["i", "x", "y", "mine", "k"] and {(r["i"], r["k"]) for r in got.collect()} == want
+
+
+def test_nearest_where_targets_are_dense(spark):
+    """Two clusters, one place with many targets, and points with none in reach: as all pairs have it."""
+    rng = random.Random(6)
+    targets = [(k, rng.gauss(0, 0.01), rng.gauss(0, 0.01)) for k in range(400)] + [(500 + k, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(60)] + [(700 + k, 5.0, 5.0) for k in range(90)]
+    points = [(i, rng.gauss(0, 0.02), rng.gauss(0, 0.02)) for i in range(200)] + [(300 + i, rng.uniform(-12, 12), rng.uniform(-12, 12)) for i in range(200)] + [(900, 5.0, 5.2)]
+    want = {}
+    for i, x, y in points:
+        d, t = min(((x - a) * (x - a) + (y - b) * (y - b), k) for k, a, b in targets)
+        if d <= 1.5 * 1.5:
+            want[i] = t
+    got = resample.nearest_within(spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(targets, "t int, x double, y double"), "i", "t", 1.5)
+    assert {r["i"]: r["t"] for r in got.collect()} == want and want[900] == 700
+
+
+def test_boxes_of_all_sizes(spark):
+    rng = random.Random(7)
+    boxes = [(k, x, y, x + w, y + w * rng.random()) for k in range(80) for x, y, w in [(rng.uniform(-50, 50), rng.uniform(-50, 50), 10 ** rng.uniform(-3, 3))]] + [(99, 1.0, 1.0, 1.0, 1.0)]
+    points = [(i, rng.uniform(-60, 60), rng.uniform(-60, 60)) for i in range(400)] + [(999, 1.0, 1.0)]
+    want = {(i, k) for i, x, y in points for k, a, b, c, d in boxes if a <= x <= c and b <= y <= d}
+    px, bx = spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(boxes, "k int, x0 double, y0 double, x1 double, y1 double")
+    got = relational.binned_box_join(px, bx, 1.0)
+    assert {(r["i"], r["k"]) for r in got.collect()} == want and (999, 99) in want
+    assert relational.binned_box_join(px, bx.limit(0), 1.0).count() == 0
