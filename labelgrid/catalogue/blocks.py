@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions import taxonomy
+from ..functions import palettes, taxonomy
 from ..operators import components, equalise, polygons, relational, superpixels, warp
 from ..plans import experiments, inference, lattice_crf
 from ..registry import query, r6, table
@@ -198,3 +198,16 @@ def m04_four_flips(spark, d):
 
     said = inference.predicted(tiles, "data", (40, 40, 1), model, 1).select("image", F.posexplode("data").alias("k", "score"))
     return said.select("image", F.floor(F.col("k") / 40).cast("int").alias("row"), (F.col("k") % 40).alias("col"), F.round("score", 3).alias("score"))
+
+
+_COLOURS = ", ".join(f"('{name}', {k}, {r}, {g}, {b})" for name, p in palettes.PALETTES.items() for k, (r, g, b) in p.items())
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_COLOURS}) t(palette, label, r, g, b)), l AS (SELECT l_orderkey % 15 AS label FROM lineitem)
+SELECT p.palette, coalesce(c.r, 0) AS r, coalesce(c.g, 0) AS g, coalesce(c.b, 0) AS b, count(*) AS n FROM l CROSS JOIN (SELECT DISTINCT palette FROM c) p
+LEFT JOIN c ON c.palette = p.palette AND c.label = l.label GROUP BY ALL""")
+def r22_palettes(spark, d):
+    """Labels as colours of each of the palettes."""
+    labels = table(spark, d, "lineitem").select((F.col("l_orderkey") % 15).alias("label"))
+    shown = F.array(*[F.struct(F.lit(name).alias("palette"), palettes.colour(F.col("label"), p).alias("c")) for name, p in palettes.PALETTES.items()])
+    return labels.select(F.inline(shown)).select("palette", "c.*").groupBy("palette", "r", "g", "b").agg(F.count("*").alias("n"))
