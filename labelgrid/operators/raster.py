@@ -219,14 +219,19 @@ def mosaic_last(tiles: DataFrame, cell: list[str], value: str, order: Column) ->
 
 def clean_elevation(pixels: DataFrame, keys: list[str], value: str, nodata: float = -9000.0, top: float = 0.999) -> DataFrame:
     """No-data to zero, then held between 0 and the image's percentile top (interpolated); null keys are an image."""
-    zeroed = pixels.withColumn(value, F.when(F.col(value) <= nodata, 0.0).otherwise(F.col(value)))
-    ceiling = exact_percentile(zeroed, keys, value, top, "__top")
-    return with_groups(zeroed, ceiling, keys).withColumn(value, F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("__top"))).drop("__top")
+    return _held_to_top(pixels.withColumn(value, F.when(F.col(value) <= nodata, 0.0).otherwise(F.col(value))), keys, value, top)
 
 
-def surface_height(pixels: DataFrame, keys: list[str], dsm: str, dem: str, name: str = "height", nodata: float = -9000.0) -> DataFrame:
+def _held_to_top(pixels: DataFrame, keys: list[str], value: str, top: float) -> DataFrame:
+    """value at least 0, and then at most the image's percentile top of what it was."""
+    ceiling = exact_percentile(pixels, keys, value, top, "__top")
+    return with_groups(pixels, ceiling, keys).withColumn(value, F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("__top"))).drop("__top")
+
+
+def surface_height(pixels: DataFrame, keys: list[str], dsm: str, dem: str, name: str = "height", nodata: float = -9000.0, top: float = 0.999) -> DataFrame:
+    """Difference of two elevations, whose no-data is zero first; a difference has no no-data, so its percentile is of all of them, however low."""
     zero = lambda c: F.when(F.col(c) <= nodata, 0.0).otherwise(F.col(c))
-    return clean_elevation(pixels.withColumn(name, zero(dsm) - zero(dem)), keys, name, nodata)
+    return _held_to_top(pixels.withColumn(name, zero(dsm) - zero(dem)), keys, name, top)
 
 
 def min_max_8bit(pixels: DataFrame, keys: list[str], value: str) -> DataFrame:
