@@ -136,7 +136,8 @@ e AS (SELECT n_nationkey, n_nationkey % 6 + x0 AS x0, n_nationkey % 7 * 0.8::DOU
 c AS (SELECT c_custkey, n_nationkey, count(*) AS n FROM p, e WHERE (y0 <= y) <> (y1 <= y) AND x0 + (y - y0) * (x1 - x0) / (y1 - y0) > x GROUP BY ALL)
 SELECT c_custkey, n_nationkey FROM c WHERE n % 2 = 1""")
 def j08_points_in_polygons(spark, d):
-    ring = lambda points: F.array(*[F.array(F.col("n_nationkey") % 6 + F.lit(float(x)), F.col("n_nationkey") % 7 * F.lit(0.8) + F.lit(float(y))) for x, y in points])
+    tenth = lambda v: F.lit(str(v)).cast("decimal(3,1)")  # noqa: E731  x in decimals, as SQL has it: a side's width is exact
+    ring = lambda points: F.array(*[F.struct((F.col("n_nationkey") % 6 + tenth(x)).alias("x"), (F.col("n_nationkey") % 7 * F.lit(0.8) + F.lit(float(y))).alias("y")) for x, y in points])
     rings = table(spark, d, "nation").select("n_nationkey", F.explode(F.array(ring(_OUTER), ring(_HOLE))).alias("ring"))
     points = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 97 / 10.0).alias("y"))
     return polygons.points_in_polygons(points, polygons.edges_of(rings, "n_nationkey", "ring"), "n_nationkey", 0.7).select("c_custkey", "n_nationkey")

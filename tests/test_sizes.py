@@ -1,8 +1,10 @@
 """What only shows on larger tables: long numbers, points on sides, low values, many rows in one place."""
 
+from unittest import mock
+
 from pyspark.sql import functions as F
 
-from labelgrid.operators import raster
+from labelgrid.operators import polygons, raster
 
 
 def test_a_height_has_no_nodata(spark):
@@ -10,3 +12,30 @@ def test_a_height_has_no_nodata(spark):
     px = spark.createDataFrame([(0, 100.0, 100.0 + 10000.0 * k) for k in range(2, 6)] + [(1, 5.0, 2.0), (1, -9999.0, 1.0)], "image int, dsm double, dem double")
     got = sorted((r["image"], round(r["height"], 6)) for r in raster.surface_height(px, ["image"], "dsm", "dem").collect())
     assert got == [(0, -20030.0)] * 4 + [(1, 0.0), (1, 2.996)]
+
+
+def test_long_numbers_of_paths(spark):
+    """Numbers of more digits than a path has room for are cut, as the query's SQL has it."""
+    from labelgrid.catalogue import more
+
+    n = [7, 999999, 1000000, 2630264]
+    rows = spark.createDataFrame([(k, "O", "2-HIGH") for k in n], "o_orderkey long, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.lit("2000-12-31").cast("timestamp"))
+    with mock.patch.object(more, "table", lambda *_: rows):
+        got = {r["o_orderkey"]: r["pair"] for r in more.j11_x03_x04_x09_x12_paths_and_dates(spark, "").collect()}
+    assert got == {7: "pair-000007.png", 999999: "pair-999999.png", 1000000: "pair-100000.png", 2630264: "pair-263026.png"}
+
+
+def test_points_on_slanted_sides(spark):
+    """Where a side crosses a point's height is reckoned from its first end, with the plain rule's rounding."""
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 1.5), (1.5, 1.5), (1.5, 4.0), (0.0, 3.0)], [(0.3, 0.3), (0.9, 0.35), (0.6, 1.1)]]
+    rings = {k: [[(k % 6 + x, k % 7 * 0.8 + y) for x, y in ring] for ring in rings] for k in range(25)}
+    on = {(a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]), y) for rs in rings.values() for ring in rs for a, b in zip(ring, ring[1:] + ring[:1]) if a[1] != b[1] for y in (i / 10 for i in range(97))}
+    points = [(i, x, y) for i, (x, y) in enumerate(sorted(on))]
+
+    def holds(x, y, ring):
+        return sum((a[1] <= y) != (b[1] <= y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x for a, b in zip(ring, ring[1:] + ring[:1]))
+
+    want = {(i, k) for i, x, y in points for k, rs in rings.items() if sum(holds(x, y, r) for r in rs) % 2}
+    shapes = spark.createDataFrame([(k, [list(p) for p in r]) for k, rs in rings.items() for r in rs], "k int, ring array<array<double>>")
+    got = polygons.points_in_polygons(spark.createDataFrame(points, "i int, x double, y double"), polygons.edges_of(shapes, "k", "ring"), "k", 0.7)
+    assert {(r["i"], r["k"]) for r in got.collect()} == want
