@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,19 +163,25 @@ def undistorted(x: Column, y: Column, k: tuple[float, ...], p: tuple[float, floa
     """Struct (x, y) of the point that distorted() takes to (x, y).
 
     Found by repeating: from a guess, what the lens adds there is taken off the point given. That settles where the lens
-    bends little and evenly, as within an image; the rounds are steps of one aggregate, so the expression doesn't grow with them.
+    bends little and evenly, as within an image. Points of a batch take the rounds together.
     """
-    p1, p2 = map(F.lit, p)
-
-    def step(s: Column, _: Column) -> Column:
-        r2 = s["x"] * s["x"] + s["y"] * s["y"]
-        radial = F.lit(1.0)
-        for n, c in enumerate(k, 1):
-            radial = radial + F.lit(c) * F.pow(r2, F.lit(float(n)))
-        side = (2 * p1 * s["x"] * s["y"] + p2 * (r2 + 2 * s["x"] * s["x"]), p1 * (r2 + 2 * s["y"] * s["y"]) + 2 * p2 * s["x"] * s["y"])
-        return F.struct(((x - side[0]) / radial).alias("x"), ((y - side[1]) / radial).alias("y"))
+    p1, p2 = p
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")), step)
+    def back(given_x: pa.Array, given_y: pa.Array) -> pa.Array:
+        none = pc.or_(given_x.is_null(), given_y.is_null()).to_numpy(zero_copy_only=False)
+        x, y = (v.fill_null(0.0).to_numpy(zero_copy_only=False) for v in (given_x, given_y))
+        u, v = x, y
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                r2 = u * u + v * v
+                radial = np.zeros(len(r2))
+                for c in reversed(k):
+                    radial = (radial + c) * r2
+                radial += 1.0
+                u, v = (x - (2 * p1 * u * v + p2 * (r2 + 2 * u * u))) / radial, (y - (p1 * (r2 + 2 * v * v) + 2 * p2 * u * v)) / radial
+        return pa.StructArray.from_arrays([pa.array(u, mask=none), pa.array(v, mask=none)], ["x", "y"])
+
+    return F.arrow_udf(back, "struct<x: double, y: double>")(x.cast("double"), y.cast("double"))
 
 
 def optimal_camera(camera: list[list[float]], k: tuple[float, ...], p: tuple[float, float], width: int, height: int, all_seen: float = 0.0, steps: int = 9) -> list[list[float]]:
