@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
 from ..functions import arrays
 from .metrics import exact_percentile
@@ -100,28 +100,43 @@ def focal_dense(pixels: DataFrame, keys: list[str], value: str, r: int, kind: st
     return found.select(*[F.col("__o").getField(c).alias(c) if c in others else F.col(c) for c in pixels.columns])
 
 
-def focal(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], of: Callable[[Column], Column]) -> DataFrame:
-    """of(array) over the neighbours at offsets, for each pixel there is; absent neighbours are null elements.
+def windows(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], of: Callable[[np.ndarray, np.ndarray], pa.Array], out: DataType) -> DataFrame:
+    """(keys, row, col, value): of(near, there) for the pixels there are; near and there have a row for each offset and a column for each pixel.
 
-    Images are cut to blocks. A pixel is shuffled to its block and to those it is in the halo of; inside
-    a block neighbours are found by their place. Values must not be null.
+    Images are cut to blocks, which a task holds with their halo. A pixel goes to its block and to those it is in the halo of.
+    Values must not be null.
     """
     r = max(max(abs(i), abs(j)) for i, j in offsets)
     side = FOCAL_BLOCK + 2 * r
-    met = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / FOCAL_BLOCK), F.floor((F.col(c) + r) / FOCAL_BLOCK)))
-    sent = pixels.select(*keys, "row", "col", F.col(value).alias("__v"), met("row").alias("__br")).select("*", met("col").alias("__bc"))
-    place = (F.col("row") - F.col("__br") * FOCAL_BLOCK + r) * side + F.col("col") - F.col("__bc") * FOCAL_BLOCK + r
-    blocks = sent.groupBy(*keys, "__br", "__bc").agg(F.map_from_entries(F.collect_list(F.struct(place.cast("int").alias("at"), F.col("__v").alias("v")))).alias("__held"))
-    dense = blocks.select(*keys, "__br", "__bc", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("__held", i)).alias("__dense"))
-    centre = lambda i: (F.floor(i / FOCAL_BLOCK) + r) * side + i % FOCAL_BLOCK + r
-    around = lambda i: F.array(*[F.get("__dense", (centre(i) + di * side + dj).cast("int")) for di, dj in offsets])
-    own = F.filter(F.sequence(F.lit(0), F.lit(FOCAL_BLOCK * FOCAL_BLOCK - 1)), lambda i: F.get("__dense", centre(i).cast("int")).isNotNull())
-    each = F.transform(own, lambda i: F.struct(i.alias("i"), of(around(i)).alias("v")))
-    out = dense.select(*keys, "__br", "__bc", F.explode(each).alias("__e"))
-    return out.select(
-        *keys, (F.col("__br") * FOCAL_BLOCK + F.floor(F.col("__e.i") / FOCAL_BLOCK)).cast("int").alias("row"),
-        (F.col("__bc") * FOCAL_BLOCK + F.col("__e.i") % FOCAL_BLOCK).cast("int").alias("col"), F.col("__e.v").alias(value),
-    )
+    lap = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / FOCAL_BLOCK), F.floor((F.col(c) + r) / FOCAL_BLOCK)))
+    sent = pixels.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).alias("__v"), lap("row").alias("__br")).select("*", lap("col").alias("__bc"))
+    kept = [*keys, "row", "col"]
+    schema = StructType([*[sent.schema[c] for c in kept], StructField(value, out)])
+
+    def one(t: pa.Table) -> pa.Table:
+        i = t["row"].to_numpy() - t["__br"][0].as_py() * FOCAL_BLOCK + r
+        j = t["col"].to_numpy() - t["__bc"][0].as_py() * FOCAL_BLOCK + r
+        v = t["__v"].to_numpy()
+        dense, there = np.zeros((side, side), v.dtype), np.zeros((side, side), bool)
+        dense[i, j], there[i, j] = v, True
+        mine = (i >= r) & (i < side - r) & (j >= r) & (j < side - r)
+        a, b = i[mine], j[mine]
+        around = lambda held: np.stack([held[a + di, b + dj] for di, dj in offsets])
+        return t.filter(pa.array(mine)).select(kept).append_column(value, of(around(dense), around(there)))
+
+    return sent.groupBy(*keys, "__br", "__bc").applyInArrow(one, schema)
+
+
+def focal(pixels: DataFrame, keys: list[str], value: str, offsets: list[tuple[int, int]], of: Callable[[Column], Column]) -> DataFrame:
+    """of(array) over the neighbours at offsets, for each pixel there is; absent neighbours are null elements. Values must not be null."""
+    k = len(offsets)
+
+    def listed(near: np.ndarray, there: np.ndarray) -> pa.Array:
+        each = pa.array(near.T.reshape(-1), mask=~there.T.reshape(-1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k, dtype=np.int32)), each)
+
+    found = windows(pixels, keys, value, offsets, listed, ArrayType(pixels.schema[value].dataType))
+    return found.withColumn(value, of(F.col(value)))
 
 
 def opened(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
@@ -135,8 +150,14 @@ def closed(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
 
 def median(pixels: DataFrame, keys: list[str], value: str, r: int) -> DataFrame:
     """Median over the square of radius r; missing neighbours count as zero."""
-    middle = (2 * r + 1) ** 2 // 2 + 1
-    return focal(pixels, keys, value, box(r), lambda near: F.element_at(F.array_sort(F.transform(near, lambda v: F.coalesce(v, F.lit(0.0)))), middle))
+    offsets = box(r)
+    middle = len(offsets) // 2
+    values = pixels.withColumn(value, F.col(value).cast("double"))
+
+    def of(near: np.ndarray, there: np.ndarray) -> pa.Array:
+        return pa.array(np.partition(np.where(there, near, 0.0), middle, axis=0)[middle])
+
+    return windows(values, keys, value, offsets, of, DoubleType())
 
 
 def border_mode_fill(pixels: DataFrame, keys: list[str], value: str, hole: int = 255, r: int = 2) -> DataFrame:
@@ -331,6 +352,19 @@ def tiled(pixels: DataFrame, height: int, width: int, tile: int, step: int | Non
     )
 
 
+def dense_tiles(pixels: DataFrame, keys: list[str], value: str, height: int, width: int, absent: float = 0.0, name: str = "data") -> DataFrame:
+    """(keys, name): each image as one array of doubles, row by row; absent and null pixels have a value of their own."""
+    cells = pixels.select(*keys, (F.col("row") * width + F.col("col")).cast("int").alias("__k"), F.coalesce(F.col(value).cast("double"), F.lit(absent)).alias("__v"))
+    schema = StructType([*[cells.schema[c] for c in keys], StructField(name, ArrayType(DoubleType()))])
+
+    def one(t: pa.Table) -> pa.Table:
+        data = np.full(height * width, absent)
+        data[t["__k"].to_numpy()] = t["__v"].to_numpy()
+        return t.slice(0, 1).select(keys).append_column(name, pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), pa.array(data)))
+
+    return cells.groupBy(*keys).applyInArrow(one, schema)
+
+
 def blend_count(size: int, patch: int, stride: int) -> int:
     return -(-(size - patch) // stride) + 1 if size > patch else 1
 
