@@ -32,13 +32,19 @@ def predicted(tiles: DataFrame, column: str, shape: tuple[int, int, int], model:
 
     def load() -> Callable[[np.ndarray], np.ndarray]:
         score = model()
-        return lambda x: np.asarray(score(x), np.float64).reshape(len(x), -1)
+
+        def turned(x: np.ndarray, down: bool, across: bool) -> np.ndarray:
+            return x[:, :: -1 if down else 1, :: -1 if across else 1]
+
+        def mean(x: np.ndarray) -> np.ndarray:
+            said = 0.0
+            for down in (False, True):
+                for across in (False, True):
+                    scores = np.asarray(score(np.ascontiguousarray(turned(x, down, across))), np.float64).reshape(len(x), height, width, classes)
+                    said = said + turned(scores, down, across)
+            return (said / 4).reshape(len(x), -1)
+
+        return mean
 
     run = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[[height, width, bands]])
-    ways = [(down, across) for down in (False, True) for across in (False, True)]
-    said = tiles
-    for k, (down, across) in enumerate(ways):
-        said = said.withColumn(f"__said{k}", run(flipped(F.col(column).cast("array<double>"), height, width, bands, down, across)))
-    back = [flipped(F.col(f"__said{k}"), height, width, classes, down, across) for k, (down, across) in enumerate(ways)]
-    mean = F.transform(F.arrays_zip(*[b.alias(f"b{k}") for k, b in enumerate(back)]), lambda s: (s["b0"] + s["b1"] + s["b2"] + s["b3"]) / 4)
-    return said.withColumn(column, mean).drop(*[f"__said{k}" for k in range(len(ways))])
+    return tiles.withColumn(column, run(F.col(column).cast("array<double>")))
