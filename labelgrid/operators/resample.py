@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geometry
 from . import warp
-from .raster import box, focal
+from .raster import box, windows
 from .tables import materialised
 
 
@@ -18,12 +21,15 @@ def blurred(pixels: DataFrame, keys: list[str], value: str, r: int, sigma: float
     weights = {o: math.exp(-(o[0] ** 2 + o[1] ** 2) / (2 * sigma**2)) for o in box(r)}
     total = sum(weights.values())
     share = [w / total for w in weights.values()]
+    values = pixels.withColumn(value, F.col(value).cast("double"))
 
-    def mean(near: Column) -> Column:
-        parts = F.zip_with(near, F.array(*map(F.lit, share)), lambda v, w: F.coalesce(v, F.lit(0.0)) * w)
-        return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+    def mean(near: np.ndarray, there: np.ndarray) -> pa.Array:
+        total = np.zeros(near.shape[1])
+        for v, here, w in zip(near, there, share):
+            total += np.where(here, v, 0.0) * w
+        return pa.array(total)
 
-    return focal(pixels, keys, value, list(weights), mean)
+    return windows(values, keys, value, list(weights), mean, DoubleType())
 
 
 def resampled(pixels: DataFrame, keys: list[str], value: str, old: tuple[int, int], new: tuple[int, int], kernel: str = "bilinear") -> DataFrame:
@@ -64,16 +70,20 @@ def nearest_within(points: DataFrame, targets: DataFrame, key: str, target: str,
     sides = [float(reach)]
     while len(sides) <= HALVINGS and (targets.groupBy(bin_of("x", sides[-1]), bin_of("y", sides[-1])).count().agg(F.max("count")).first()[0] or 0) > CROWD:
         sides.append(sides[-1] / 2)
-    found, left = None, points
+    # Points at one place ask once.
+    found, left = None, points.select("x", "y").where("x IS NOT NULL AND y IS NOT NULL").distinct()
     for side in reversed(sides):
         around = lambda c, side=side: F.explode(F.sequence(bin_of(c, side) - 1, bin_of(c, side) + 1))
+        # The targets around a bin are one array, so a place stays one row.
         near = targets.select(target, F.col("x").alias("__x"), F.col("y").alias("__y"), around("x").alias("__bx")).withColumn("__by", around("__y"))
+        near = near.groupBy("__bx", "__by").agg(F.collect_list(F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"), F.col(target).alias("t"))).alias("__near"))
         met = left.select("*", bin_of("x", side).alias("__bx"), bin_of("y", side).alias("__by")).join(near, ["__bx", "__by"])
-        d2 = (F.col("x") - F.col("__x")) * (F.col("x") - F.col("__x")) + (F.col("y") - F.col("__y")) * (F.col("y") - F.col("__y"))
-        here = met.where(d2 <= side * side).groupBy(key).agg(F.min_by(target, F.struct(d2, target)).alias(target))
-        if len(sides) == 1:
-            return here
-        here = materialised(here)
+        apart = lambda t: (F.col("x") - t["x"]) * (F.col("x") - t["x"]) + (F.col("y") - t["y"]) * (F.col("y") - t["y"])
+        first = F.array_min(F.transform("__near", lambda t: F.struct(apart(t).alias("__d2"), t["t"].alias("__t"))))
+        here = met.select("x", "y", F.inline(F.array(first))).where(F.col("__d2") <= side * side)
+        if len(sides) > 1:
+            here = materialised(here)
+            left = materialised(left.join(here.select("x", "y"), ["x", "y"], "left_anti"))
         found = here if found is None else found.unionByName(here)
-        left = materialised(left.join(here.select(key), key, "left_anti"))
-    return found
+    # Rows of one key, if there are several, have one nearest target.
+    return points.select(key, "x", "y").join(found, ["x", "y"]).groupBy(key).agg(F.min_by("__t", F.struct("__d2", "__t")).alias(target))
