@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,22 +19,33 @@ _ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N*
 _ECC = 2 * math.sqrt(_N) / (1 + _N)
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where value is reckoned once however often of names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def utm(lat: Column, lon: Column, epsg: int) -> Column:
     """Struct (x, y) in metres of degrees north and east, in a northern UTM zone (EPSG 326zz)."""
     zone = epsg - 32600
     if not 1 <= zone <= 60:
         raise ValueError(f"EPSG {epsg} is not a northern UTM zone")
-    phi, lam = F.radians(lat), F.radians(lon - F.lit(zone * 6.0 - 183.0))
     atanh = lambda v: F.lit(0.5) * F.ln((1 + v) / (1 - v))
-    s = F.sin(phi)
-    t = F.sinh(atanh(s) - F.lit(_ECC) * atanh(F.lit(_ECC) * s))
-    xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        y = y + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    scale = F.lit(0.9996 * _RADIUS)
-    return F.struct((F.lit(500000.0) + scale * x).alias("x"), (scale * y).alias("y"))
+
+    def sphere(p: Column) -> Column:
+        angle = lambda t: F.struct(F.atan2(t, F.cos(p["lam"])).alias("xi"), atanh(F.sin(p["lam"]) / F.sqrt(1 + t * t)).alias("eta"))
+        return _once(F.sinh(atanh(p["s"]) - F.lit(_ECC) * atanh(F.lit(_ECC) * p["s"])), angle)
+
+    def plane(p: Column) -> Column:
+        xi, eta = p["xi"], p["eta"]
+        x, y = eta, xi
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + F.lit(a) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            y = y + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        scale = F.lit(0.9996 * _RADIUS)
+        return F.struct((F.lit(500000.0) + scale * x).alias("x"), (scale * y).alias("y"))
+
+    given = F.struct(F.sin(F.radians(lat)).alias("s"), F.radians(lon - F.lit(zone * 6.0 - 183.0)).alias("lam"))
+    return _once(_once(given, sphere), plane)
 
 
 # The inverse series, in the third flattening: from the plane to the conformal sphere, and from conformal to geodetic latitude.

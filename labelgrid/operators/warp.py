@@ -19,6 +19,8 @@ from .tables import materialised
 BLOCK, HALO = 128, 2
 #: Places of a block that one task reads at once.
 PLACES = 1 << 19
+#: Pixels of blocks, and places, that a task's group has when blocks are small.
+PACKED_PIXELS, PACKED_PLACES = 1 << 20, 1 << 17
 KERNELS = {"nearest": 0, "bilinear": 1, "cubic": 2}
 
 
@@ -31,16 +33,16 @@ def _weights(t: np.ndarray, kernel: str) -> tuple[range, np.ndarray]:
     return range(-1, 3), np.stack([far(t + 1), near(t), near(1 - t), far(2 - t)])
 
 
-def _read(block: np.ndarray, y: np.ndarray, x: np.ndarray, kernel: str, zero: bool) -> np.ndarray:
-    """Values of block at places y, x of its pixels' centres; nearest is null where its pixel is, the others are made of the pixels there are."""
+def _read(held: np.ndarray, cell: np.ndarray, y: np.ndarray, x: np.ndarray, kernel: str, zero: bool) -> np.ndarray:
+    """Values of the blocks held at places y, x of cells' pixels' centres; nearest is null where its pixel is, the others are made of the pixels there are."""
     if kernel == "nearest":
-        return block[np.floor(y + 0.5).astype(int), np.floor(x + 0.5).astype(int)]
+        return held[cell, np.floor(y + 0.5).astype(int), np.floor(x + 0.5).astype(int)]
     i, j = np.floor(y).astype(int), np.floor(x).astype(int)
     (rows, u), (cols, v) = _weights(y - i, kernel), _weights(x - j, kernel)
     total, weight, some = np.zeros(len(y)), np.zeros(len(y)), np.zeros(len(y), bool)
     for a, di in enumerate(rows):
         for b, dj in enumerate(cols):
-            value, w = block[i + di, j + dj], u[a] * v[b]
+            value, w = held[cell, i + di, j + dj], u[a] * v[b]
             there = ~np.isnan(value)
             total[there] += w[there] * value[there]
             weight[there] += w[there]
@@ -65,43 +67,63 @@ def sampled(pixels: DataFrame, keys: list[str], value: str, places: DataFrame, s
         raise ValueError(f"blocks have at least {2 * HALO} rows")
     near = places.join(sizes.select(*keys, F.col("height").alias("__h"), F.col("width").alias("__w")), keys) if keys else places.join(F.broadcast(sizes.select(F.col("height").alias("__h"), F.col("width").alias("__w"))))
     hold = lambda c, n: F.greatest(F.lit(0.0), F.least(F.col(c).cast("double"), F.col(n) - 1.0))
-    inside = (F.col("sy") >= -0.5) & (F.col("sx") >= -0.5) & (F.col("sy") <= F.col("__h") - 0.5) & (F.col("sx") <= F.col("__w") - 0.5)
     of = lambda c: F.floor(c / block).cast("long")
     asked = near.withColumns({"__y": F.col("sy").cast("double"), "__x": F.col("sx").cast("double"), "__br": of(hold("sy", "__h")), "__bc": of(hold("sx", "__w"))})
+    asked = materialised(asked)  # places are often reckoned at some cost, and are read several times here
+    inside = (F.col("__y") >= -0.5) & (F.col("__x") >= -0.5) & (F.col("__y") <= F.col("__h") - 0.5) & (F.col("__x") <= F.col("__w") - 0.5)
     own = [c for c in places.columns if c not in keys]
     cell = [*keys, "__br", "__bc"]
     met = asked.where(inside)
+    counts = materialised(met.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")))
     # A block that very many places ask for is held by several tasks, each with some of the places.
-    crowded = materialised(met.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / PLACES).alias("__n")).where("__n > 1"))
+    crowded = counts.select(*cell, F.ceil(F.col("__n") / PLACES).alias("__n")).where("__n > 1")
     shares = not crowded.isEmpty()
     # Pixels go to their own block and to those whose rim they are in.
     lap = lambda c: F.array_distinct(F.transform(F.array(F.lit(-HALO), F.lit(0), F.lit(HALO)), lambda d: F.floor((F.col(c) + d) / block).cast("long")))
-    source = pixels.select(*keys, "row", "col", F.col(value).cast("double").alias("__v")).withColumn("__br", F.explode(lap("row"))).withColumn("__bc", F.explode(lap("col")))
+    source = pixels.select(*[F.col(k).cast(met.schema[k].dataType).alias(k) for k in keys], "row", "col", F.col(value).cast("double").alias("__v")).withColumn("__br", F.explode(lap("row"))).withColumn("__bc", F.explode(lap("col")))
     if shares:
         n = F.coalesce("__n", F.lit(1))
         met = with_groups(met, crowded, cell, "left").withColumn("__part", F.pmod(F.xxhash64("__y", "__x"), n)).drop("__n")
         source = with_groups(source, crowded, cell, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("__n")
         cell = [*cell, "__part"]
+    # Small blocks go to a task many at a time: as many as have some ten thousands of places and some millions of pixels.
+    side = block + 2 * HALO
+    n_cells, n_places = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("__n"), F.lit(0))).first()
+    packs = 1 + max(n_cells * side * side // PACKED_PIXELS, n_places // PACKED_PLACES)
+    pack = F.pmod(F.xxhash64(*cell), F.lit(packs))
+    met = met.withColumn("__pack", pack)
     place_kinds = [met.schema[c] for c in (*keys, *own)]
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame({c.name: [] for c in place_kinds} | {value: []})
-        br, bc, h, w = (int(a[c].iloc[0]) for c in ("__br", "__bc", "__h", "__w"))
-        r0, c0 = br * block - HALO, bc * block - HALO
-        held = np.full((block + 2 * HALO, block + 2 * HALO), np.nan)
-        at = b["row"].to_numpy() - r0, b["col"].to_numpy() - c0
-        kept = (at[0] >= 0) & (at[0] < len(held)) & (at[1] >= 0) & (at[1] < len(held))
-        held[at[0][kept], at[1][kept]] = b["__v"].to_numpy(float)[kept]
-        rows, cols = (np.clip(np.arange(len(held)) + o, 0, n - 1) - o for o, n in ((r0, h), (c0, w)))
-        held = held[np.clip(rows, 0, len(held) - 1)][:, np.clip(cols, 0, len(held) - 1)]
-        found = _read(held, a["__y"].to_numpy() - r0, a["__x"].to_numpy() - c0, kernel, zero)
+        b = b.rename(columns={f"__k{i}": c for i, c in enumerate(cell)})
+        of = a.groupby(cell, dropna=False, sort=False).ngroup().to_numpy()
+        first = a.iloc[np.unique(of, return_index=True)[1]]
+        b = b.merge(first[cell].assign(__of=np.arange(len(first))), on=cell)
+        r0, c0 = (first[c].to_numpy().astype(np.int64) * block - HALO for c in ("__br", "__bc"))
+        found = np.full(len(a), np.nan)
+        by, bx, bv, bof = b["row"].to_numpy(), b["col"].to_numpy(), b["__v"].to_numpy(float), b["__of"].to_numpy()
+        ay, ax = a["__y"].to_numpy(), a["__x"].to_numpy()
+        step = max(1, PACKED_PIXELS // (side * side))
+        for s in range(0, len(first), step):  # so many blocks are held at a time
+            mine, theirs = (of >= s) & (of < s + step), (bof >= s) & (bof < s + step)
+            k, p = of[mine] - s, bof[theirs] - s
+            o = r0[s : s + step], c0[s : s + step]
+            held = np.full((len(o[0]), side, side), np.nan)
+            i, j = by[theirs] - o[0][p], bx[theirs] - o[1][p]
+            kept = (i >= 0) & (i < side) & (j >= 0) & (j < side)
+            held[p[kept], i[kept], j[kept]] = bv[theirs][kept]
+            sizes = (first[c].to_numpy().astype(np.int64)[s : s + step, None] for c in ("__h", "__w"))
+            rows, cols = (np.clip(np.clip(np.arange(side) + low[:, None], 0, n - 1) - low[:, None], 0, side - 1) for low, n in zip(o, sizes))
+            held = held[np.arange(len(held))[:, None, None], rows[:, :, None], cols[:, None, :]]
+            found[mine] = _read(held, k, ay[mine] - o[0][k], ax[mine] - o[1][k], kernel, zero)
         return a[[c.name for c in place_kinds]].assign(**{value: pd.Series(found, index=a.index).replace({np.nan: None})})
 
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in place_kinds), f"`{value}` double"])
     # Under other names, since places are often made from the pixels themselves.
-    source = source.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cell)], "row", "col", "__v")
-    found = met.groupBy(*cell).cogroup(source.groupBy(*[f"__k{i}" for i in range(len(cell))])).applyInPandas(one, ddl)
+    source = source.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(cell)], "row", "col", "__v", pack.alias("__kp"))
+    found = met.groupBy("__pack").cogroup(source.groupBy("__kp")).applyInPandas(one, ddl)
     return found.unionByName(asked.where(~inside | F.col("sy").isNull() | F.col("sx").isNull()).select(*keys, *own).withColumn(value, F.lit(None).cast("double")))
 
 
