@@ -39,3 +39,36 @@ def test_points_on_slanted_sides(spark):
     shapes = spark.createDataFrame([(k, [list(p) for p in r]) for k, rs in rings.items() for r in rs], "k int, ring array<array<double>>")
     got = polygons.points_in_polygons(spark.createDataFrame(points, "i int, x double, y double"), polygons.edges_of(shapes, "k", "ring"), "k", 0.7)
     assert {(r["i"], r["k"]) for r in got.collect()} == want
+
+
+def test_small_blocks_share_a_task(spark, monkeypatch):
+    """Very many small images are read in a few groups, and as they are one by one."""
+    from labelgrid.operators import warp
+
+    monkeypatch.setattr(warp, "PACKED_PLACES", 50)
+    px = spark.createDataFrame([(k, r, c, float(k + r * c)) for k in range(40) for r in range(4) for c in range(4)], "image int, row int, col int, v double")
+    sizes = px.select("image").distinct().withColumns({"height": F.lit(4), "width": F.lit(4)})
+    places = px.select("image", "row", "col", F.col("row").cast("double").alias("sy"), (F.col("col") * 0.5).alias("sx"))
+    out = warp.sampled(px, ["image"], "v", places, sizes, "bilinear", block=4)
+    got = {(r["image"], r["row"], r["col"]): r["v"] for r in out.collect()}
+    assert got == {(k, r, c): k + r * c * 0.5 for k in range(40) for r in range(4) for c in range(4)}
+    assert "__pack" in out._jdf.queryExecution().toString()
+
+
+def test_frames_drawn_where_they_are(spark):
+    """Meshes of frames, partly behind the near plane, as drawn() has them triangle by triangle."""
+    import random
+
+    from labelgrid.operators import meshes
+
+    rng = random.Random(8)
+    mesh = [(0, 1, 2), (1, 3, 2), (2, 3, 4), (0, 4, 1)]
+    frames = [(f, [(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.uniform(-2, 12), rng.randrange(4)) for _ in range(5)]) for f in range(30)]
+    camera = [[10.0, 0.5, 10.0, 0.0], [0.0, 10.0, 8.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+    p = "struct<right: double, down: double, ahead: double, label: long>"
+    rows = spark.createDataFrame(frames, f"f int, p array<{p}>")
+    each = rows.select("f", F.explode(F.array(*[F.array(*map(F.lit, t)) for t in mesh])).alias("t"), "p")
+    v = lambda k: F.get("p", F.get("t", F.lit(k)))
+    tri = each.select("f", *[F.struct(v(k)["right"].alias("right"), v(k)["down"].alias("down"), v(k)["ahead"].alias("ahead")).alias(n) for k, n in enumerate("abc")], v(2)["label"].alias("label"))
+    want = {tuple(r) for r in meshes.drawn(tri, ["f"], "label", camera, 20, 16, 1.0).collect()}
+    assert {tuple(r) for r in meshes.drawn_frames(rows, ["f"], "p", mesh, camera, 20, 16, 1.0).collect()} == want and len(want) > 500
