@@ -95,3 +95,28 @@ def test_small_images_have_whole_superpixels(spark, monkeypatch):
     monkeypatch.setattr(components, "BLOCK", 8)
     for mine, theirs in zip(every, cut(some)):
         assert {r for r in mine if r[0] in few} == {tuple(r) for r in theirs.collect()}
+
+
+def test_a_lattice_moves_blocks(spark, monkeypatch):
+    """Whatever blocks and cells there are, probabilities are the same; no table has a row for each pixel, much less for each corner."""
+    from labelgrid.plans import lattice_crf
+
+    rng = np.random.default_rng(13)
+    rows = [(k, r, c, [p, 1 - p], [float(rng.normal(c, 5)), float(rng.normal(0, 9))], float(rng.random())) for k in range(2) for r in range(21) for c in range(26) for p in [float(rng.random())]]
+    px = spark.createDataFrame(rows, "image int, row int, col int, probs array<double>, features array<double>, z double").repartition(3)
+    kept, write = [], lattice_crf.materialised
+
+    def watched(df):
+        kept.append(write(df))
+        return kept[-1]
+
+    monkeypatch.setattr(lattice_crf, "materialised", watched)
+    found = []
+    for block, cell in ((128, 48), (7, 3)):
+        monkeypatch.setattr(lattice_crf, "BLOCK", block, raising=False)
+        monkeypatch.setattr(lattice_crf, "CELL", cell, raising=False)
+        out = lattice_crf.refined_on_lattice(px, ["image"], 2, 4.0, [9.0, 12.0], 1.5, (1.0, 2.0), 2, "z", (0.7, 0.9))
+        found.append({(r["image"], r["row"], r["col"]): r["classes"] for r in out.collect()})
+    assert len(found[0]) == len(rows) and found[0].keys() == found[1].keys()
+    assert max(abs(a - b) for p in found[0] for a, b in zip(found[0][p], found[1][p])) < 1e-9
+    assert max(t.count() for t in kept) < len(rows) / 20
