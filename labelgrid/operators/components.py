@@ -3,40 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .raster import opened
 from .tables import materialised, numbered, shared_folder
+from .whole import beside, codes, least_reached, sorted_places, with_whole_groups
 
-#: Rows and columns of a block that one task labels.
-BLOCK = 64
-
-
-def block_regions(labels: np.ndarray, there: np.ndarray, diagonal: np.ndarray | None = None) -> np.ndarray:
-    """For each cell the least flat index of its region of equal label; cells not there stand alone.
-
-    Cells are joined over their sides, and over their corners where diagonal is true of both.
-    """
-    h, w = labels.shape
-    region = np.arange(h * w).reshape(h, w)
-    steps = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if diagonal is not None and diagonal.any() else [])
-    pairs = []
-    for i, j in steps:
-        a = (slice(0, h - i), slice(max(0, -j), w - max(0, j)))
-        b = (slice(i, h), slice(max(0, j), w - max(0, -j)))
-        same = (labels[a] == labels[b]) & there[a] & there[b]
-        pairs.append((a, b, same & diagonal[a] & diagonal[b] if i and j else same))
-    while True:
-        new = region.copy()
-        for a, b, same in pairs:
-            new[b] = np.where(same, np.minimum(new[b], region[a]), new[b])
-            new[a] = np.where(same, np.minimum(new[a], region[b]), new[a])
-        new = new.ravel()[new]  # a shortcut: that cell's own region
-        if np.array_equal(new, region):
-            return region
-        region = new
+#: Rows and columns of a block that one task labels; and cells of boxes that are held at once where whole images are split.
+BLOCK, CELLS = 64, 1 << 21
 
 
 def _contracted(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,19 +57,29 @@ def regions(pixels: DataFrame, keys: list[str], label: str, height: int, width:
     cells = pixels.select(
         *keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(label).alias("label"), (F.col(diagonal) if diagonal else F.lit(False)).alias("__d")
     )
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in [*keys, "row", "col", "label", "__d"])
-
-    def own(t: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = t["row"].min() // BLOCK * BLOCK, t["col"].min() // BLOCK * BLOCK
-        i, j = (t["row"] - r0).to_numpy(), (t["col"] - c0).to_numpy()
-        codes, there, over = np.full((BLOCK, BLOCK), -1), np.zeros((BLOCK, BLOCK), bool), np.zeros((BLOCK, BLOCK), bool)
-        codes[i, j], there[i, j], over[i, j] = pd.factorize(t["label"])[0], True, t["__d"]
-        least = block_regions(codes, there, over)[i, j]
-        at = (r0 + least // BLOCK).astype("int64") * width + c0 + least % BLOCK
-        return t[[*keys, "row", "col", "label", "__d"]].assign(region=at)
-
     block = [F.floor(F.col("row") / BLOCK).alias("__br"), F.floor(F.col("col") / BLOCK).alias("__bc")]
-    local = cells.select("*", *block).groupBy(*keys, "__br", "__bc").applyInPandas(own, f"{kinds}, region long").checkpoint()
+    own = [*keys, "row", "col", "label", "__d"]
+    schema = StructType([*[cells.schema[c] for c in own], StructField("region", LongType())])
+
+    def several(t: pa.Table, of: np.ndarray) -> pa.Table:
+        row, col = t["row"].to_numpy(), t["col"].to_numpy()
+        order, at, across = sorted_places(of, row, col)
+        code, over = codes(t["label"])[0][order], t["__d"].to_numpy()[order]
+        pairs = []
+        for step in (1, across, across + 1, across - 1) if over.any() else (1, across):
+            a, b = beside(at, step)
+            met = code[a] == code[b]
+            met = met & over[a] & over[b] if abs(step - across) == 1 else met
+            pairs.append((a[met], b[met]))
+        least = order[least_reached(len(at), *(np.concatenate(x) for x in zip(*pairs)))]
+        region = np.empty(len(at), np.int64)
+        region[order] = row[least].astype(np.int64) * width + col[least]
+        return t.select(own).append_column("region", pa.array(region))
+
+    local = with_whole_groups(cells.select("*", *block), [*keys, "__br", "__bc"], several, schema)
+    if max(height, width) <= BLOCK:
+        return local.select(*keys, "row", "col", F.col("label").alias(label), "region")
+    local = local.checkpoint()
     first = lambda c, d: local.where(F.col(c) % BLOCK == BLOCK - 1).select(*keys, "row", "col", "label", F.col("region").alias("u")).withColumn(c, F.col(c) + d)
     other = local.where((F.col("row") % BLOCK == 0) | (F.col("col") % BLOCK == 0)).select(*keys, "row", "col", "label", F.col("region").alias("v"))
     met = first("row", 1).unionByName(first("col", 1)).join(other, [*keys, "row", "col", "label"]).select(*keys, "u", "v")
@@ -107,6 +95,57 @@ def regions(pixels: DataFrame, keys: list[str], label: str, height: int, width:
     )
 
 
+def _whole_split(image: np.ndarray, row: np.ndarray, col: np.ndarray, label: np.ndarray, height: int, width: int, at_once: int) -> np.ndarray:
+    """The segment of each pixel of several images, as split_segments() has it; boxes are looked at a few at a time, in order."""
+    place = lambda image, row, col: (image * height + row) * width + col
+    pixels = place(image, row.astype(np.int64), col.astype(np.int64))
+    order = np.argsort(pixels, kind="stable")
+    at, labels = pixels[order], label[order]
+    # Boxes in order of image and segment.
+    kinds = int(label.max()) + 1
+    boxes, of = np.unique(image * kinds + label, return_inverse=True)
+    ends = []
+    for v, size in ((row, height), (col, width)):
+        low, high = np.full(len(boxes), size), np.full(len(boxes), -1)
+        np.minimum.at(low, of, v)
+        np.maximum.at(high, of, v)
+        ends += [np.maximum(low - 1, 0), np.minimum(high + 1, size - 1)]
+    r0, r1, c0, c1 = ends
+    area = (r1 - r0 + 1) * (c1 - c0 + 1)
+    out, numbers = np.full(len(row), -1), np.zeros(int(image.max()) + 1, np.int64)
+    chunk = (np.cumsum(area) - area) // at_once
+    for first, after in zip(np.searchsorted(chunk, np.unique(chunk)), [*np.searchsorted(chunk, np.unique(chunk))[1:], len(boxes)]):
+        box = np.repeat(np.arange(first, after), area[first:after])
+        k = np.arange(len(box)) - np.repeat(np.cumsum(area[first:after]) - area[first:after], area[first:after])
+        i, j = r0[box] + k // (c1 - c0 + 1)[box], c0[box] + k % (c1 - c0 + 1)[box]
+        pixel = place(boxes[box] // kinds, i, j)
+        found = np.minimum(np.searchsorted(at, pixel), len(at) - 1)
+        there = at[found] == pixel
+        on = there & (labels[found] == boxes[box] % kinds)
+        rim = (i == r0[box]) | (i == r1[box]) | (j == c0[box]) | (j == c1[box])
+        _, held, across = sorted_places(box - first, i, j)  # cells are in this order
+        pairs = []
+        for step in (1, across, across + 1, across - 1):
+            a, b = beside(held, step)
+            met = on[a] & on[b] if abs(step - across) == 1 else on[a] == on[b]
+            pairs.append((a[met], b[met]))
+        region = least_reached(len(box), *(np.concatenate(x) for x in zip(*pairs)))
+        outside = np.zeros(len(box), bool)
+        outside[region[rim]] = True
+        drawn = np.flatnonzero((region == np.arange(len(box))) & (on | ~outside))
+        drawn = drawn[np.lexsort((drawn, ~on[drawn], box[drawn]))]
+        # Numbered from 0 in each image, on from the boxes before.
+        owner = boxes[box[drawn]] // kinds
+        each = np.bincount(owner, minlength=len(numbers))
+        number = np.full(len(box), -1)
+        number[drawn] = np.arange(len(drawn)) - (np.cumsum(each) - each)[owner] + numbers[owner]
+        numbers += each
+        number = number[region]
+        shown = there & (number >= 0)
+        out[found[shown]] = number[shown]  # of those at one pixel the last stays, which is that of the last segment
+    return out[np.searchsorted(at, pixels)]
+
+
 def split_segments(pixels: DataFrame, keys: list[str], label: str, height: int, width: int, opening: int = 0) -> DataFrame:
     """(keys, row, col, segment): pixels' segments split to connected parts and filled holes, numbered from 0 in each image.
 
@@ -115,7 +154,20 @@ def split_segments(pixels: DataFrame, keys: list[str], label: str, height: int,
     drawn in order, each hole over what it is in, so a pixel has the number of the last segment that holds it
     or surrounds it. With opening, segments are first eroded and widened by squares of that radius, and
     pixels that nothing holds then have -1. Only a segment's own box, one pixel wider, is looked at. Absent pixels belong to no segment.
+    Images no larger than a block of regions() are held as a whole by a task, many at a time.
     """
+    if keys and not opening and max(height, width) <= BLOCK:
+        px = pixels.select(*keys, "row", "col", F.col(label).alias("__l"))
+        cells_at_once = CELLS
+
+        def several(t: pa.Table, image: np.ndarray) -> pa.Table:
+            code, values = codes(t["__l"])
+            rank = np.argsort(pc.array_sort_indices(values).to_numpy())
+            found = _whole_split(image, t["row"].to_numpy(), t["col"].to_numpy(), rank[code], height, width, cells_at_once)
+            return t.select([*keys, "row", "col"]).append_column("segment", pa.array(found))
+
+        schema = StructType([*[px.schema[c] for c in (*keys, "row", "col")], StructField("segment", LongType())])
+        return with_whole_groups(px, keys, several, schema)
     boxes = pixels.groupBy(*keys, F.col(label).alias("__s")).agg(
         F.greatest(F.min("row") - 1, F.lit(0)).alias("r0"), F.least(F.max("row") + 1, F.lit(height - 1)).alias("r1"),
         F.greatest(F.min("col") - 1, F.lit(0)).alias("c0"), F.least(F.max("col") + 1, F.lit(width - 1)).alias("c1"),

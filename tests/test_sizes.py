@@ -120,3 +120,29 @@ def test_a_lattice_moves_blocks(spark, monkeypatch):
     assert len(found[0]) == len(rows) and found[0].keys() == found[1].keys()
     assert max(abs(a - b) for p in found[0] for a, b in zip(found[0][p], found[1][p])) < 1e-9
     assert max(t.count() for t in kept) < len(rows) / 20
+
+
+def test_small_images_are_split_whole(spark, monkeypatch):
+    """Very many small images, some with holes, are split without a join, and as images are that have many blocks."""
+    rng = np.random.default_rng(14)
+    rows = [(str(k) if k else None, r, c, "abc"[int(rng.integers(0, 3))]) for k in range(30) for r in range(9) for c in range(11) if rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "image string, row int, col int, label string").repartition(3)
+    monkeypatch.setattr(whole, "ROWS", 250)
+    monkeypatch.setattr(components, "CELLS", 400)
+    whole_ones = components.split_segments(px, ["image"], "label", 9, 11)
+    assert "Join" not in whole_ones._jdf.queryExecution().toString()
+    every = {tuple(r) for r in whole_ones.collect()}
+    assert len(every) == len(rows) and {r[0] for r in every} == {str(k) if k else None for k in range(30)}
+    some = px.where("image IS NOT NULL")
+    monkeypatch.setattr(components, "BLOCK", 5)
+    assert {r for r in every if r[0] is not None} == {tuple(r) for r in components.split_segments(some, ["image"], "label", 9, 11).collect()}
+
+
+def test_small_blocks_of_regions_share_a_task(spark):
+    """Blocks are labelled many at a time: no group of its own for each."""
+    px = spark.createDataFrame([(k, r, c, (r * c + k) % 2) for k in range(40) for r in range(4) for c in range(4)], "image int, row int, col int, label int")
+    out = components.regions(px, ["image"], "label", 4, 4)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Join" not in plan
+    got = {(r["image"], r["row"], r["col"]): r["region"] for r in out.collect()}
+    assert len(got) == 640 and got[0, 3, 2] == got[0, 0, 0] == 0 and got[0, 3, 3] == 15 and got[1, 3, 3] == 15
