@@ -81,8 +81,8 @@ def w11_contour_split(spark, d):
 
 @query()
 def m01_lattice_crf(spark, d):
-    """One image of all orders, two steps of mean field; held to all pairs of a tile in the tests."""
-    out = lattice_crf.refined_on_lattice(_crf_input(image(spark, d)), ["image"], 3, 5.0, 20.0, 2.0, (3.0, 5.0), 1)
+    """One image of all orders, five steps of mean field; held to all pairs of a tile in the tests."""
+    out = lattice_crf.refined_on_lattice(_crf_input(image(spark, d)), ["image"], 3, 5.0, 20.0, 2.0, (3.0, 5.0), 5)
     return out.select("row", "col", "label", F.round("prob", 4).alias("prob"))
 
 

@@ -204,7 +204,8 @@ class Lattices:
             return out
 
         back = blocks.mapInArrow(send, sent_as).groupBy(*self.keys, "__kind", "__cell").applyInArrow(blur, back_as)
-        return materialised(blocks.groupBy(*self.block).cogroup(back.groupBy(*self.block)).applyInArrow(read, schema))
+        # Shares q have been sent; who reads what came back needs them no more.
+        return materialised(blocks.drop("q").groupBy(*self.block).cogroup(back.groupBy(*self.block)).applyInArrow(read, schema))
 
 
 def refined_on_lattice(

@@ -1,6 +1,7 @@
 """Operators on images cut to blocks: focal windows, warps, reprojection, contour splits, and the lattice of the dense CRF."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -232,6 +233,24 @@ def test_lattice_against_all_pairs(spark):
     assert np.quantile(apart, 0.9) < 0.05 and (got.argmax(2) == want.argmax(2)).mean() > 0.99 and (got.argmax(2) == truth).mean() > 0.98
 
 
+def test_lattice_query_takes_all_steps(spark):
+    """The query ends where five steps over all pairs end, and well away from where one does; steps that are not named are five."""
+    from labelgrid.catalogue import blocks, rasters
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    px = rasters._crf_input(rasters.image(spark, d))
+    rows = sorted(px.collect(), key=lambda r: (r["row"], r["col"]))
+    got = {(r["row"], r["col"]): r["prob"] for r in blocks.m01_lattice_crf(spark, d).collect()}
+    every = {(r["row"], r["col"]): r["prob"] for r in lattice_crf.refined_on_lattice(px, ["image"], 3, 5.0, 20.0, 2.0, (3.0, 5.0)).collect()}
+    assert len(got) == len(rows) and got.keys() == every.keys() and max(abs(got[p] - every[p]) for p in got) < 1e-4
+    held = [np.array([r[c] for r in rows], float) for c in ("probs", "features")]
+    at = np.array([[r["row"], r["col"]] for r in rows], float)
+    off = [np.abs(exact(-np.log(held[0] + 1e-3), at, held[1], (5.0, np.array([20.0]), 2.0), (3.0, 5.0), n).max(1) - [got[r["row"], r["col"]] for r in rows]).mean() for n in (1, 5)]
+    assert off[1] < off[0] / 2
+
+
 def test_corners_of_a_lattice():
     """Weights are shares, corners of neighbours meet, and a filter of ones has the shape of a Gaussian."""
     f = np.random.default_rng(11).random((1500, 3)) * 4
