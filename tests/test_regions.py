@@ -118,3 +118,42 @@ def test_boxes_of_all_sizes(spark):
     got = relational.binned_box_join(px, bx, 1.0)
     assert {(r["i"], r["k"]) for r in got.collect()} == want and (999, 99) in want
     assert relational.binned_box_join(px, bx.limit(0), 1.0).count() == 0
+
+
+def test_the_fewer_of_points_and_boxes_move_often(spark, monkeypatch):
+    """Many boxes go to one bin each and few points to several, and the other way round; boxes beyond all points stay where they are."""
+    rng = random.Random(8)
+    some = lambda n: [(i, rng.uniform(0, 50), rng.uniform(0, 50)) for i in range(n)]
+    moved = []
+
+    def watched(df, *to):
+        moved.append(df)
+        return deal(df, *to)
+
+    deal = type(spark.range(1)).repartition
+    for n, m in ((60, 2000), (2000, 60)):
+        points = [*some(n), (9000, math.nan, 1.0), (9001, math.inf, 1.0), (9002, None, 1.0), (9003, 3.0, 3.0)]
+        boxes = [(k, x, y, x + 8.0, y + 3.0) for k, x, y in some(m)] + [(9100, 3.0, 3.0, 11.0, 6.0), (9101, None, 1.0, 2.0, 2.0), (9102, 5.0, 5.0, 4.0, 9.0), *[(k, 1e6, 1e6, 1e6 + 8, 1e6 + 3) for k in range(9200, 9300)]]
+        want = {(i, k) for i, x, y in points for k, a, b, c, d in boxes if None not in (x, a) and a <= x <= c and b <= y <= d}
+        px, bx = spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(boxes, "k int, x0 double, y0 double, x1 double, y1 double")
+        found = relational.binned_box_join(px.where("NOT isnan(x) AND x < 1e9"), bx, 8.0).collect()
+        moved.clear()
+        monkeypatch.setattr(type(px), "repartition", watched)
+        got = relational.binned_box_join(px, bx, 8.0)
+        monkeypatch.undo()
+        for rows in (got.collect(), found):
+            assert len(rows) == len(want) and {(r["i"], r["k"]) for r in rows} == want and (9003, 9100) in want
+        assert len(moved) == 2 and sum(df.count() for df in moved) < 2 * max(n, m)
+
+
+def test_many_boxes_at_far_places(spark):
+    """Boxes so narrow, and so far away, that sides and differences are rounded; points lie on their corners."""
+    rng = random.Random(9)
+    for far, wide in ((1e9, 1e-3), (1e15, 0.3), (-3e7, 1e-7), (0.0, 0.1)):
+        corners = [(far + rng.randrange(40) * wide / 4, far + rng.randrange(40) * wide / 4) for _ in range(300)]
+        boxes = [(k, x, y, x + wide, y + wide) for k, (x, y) in enumerate(corners)]
+        points = [(i, *at) for i, at in enumerate(rng.sample([at for _, a, b, c, d in boxes for at in ((a, b), (c, d), (a, d))], 80))]
+        want = sorted((i, k) for i, x, y in points for k, a, b, c, d in boxes if a <= x <= c and b <= y <= d)
+        px, bx = spark.createDataFrame(points, "i int, x double, y double"), spark.createDataFrame(boxes, "k int, x0 double, y0 double, x1 double, y1 double")
+        for size in (wide, 1.0):
+            assert sorted((r["i"], r["k"]) for r in relational.binned_box_join(px, bx, size).collect()) == want and len(want) > 300
